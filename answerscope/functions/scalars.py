@@ -308,27 +308,44 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once: a large expression used many times stays one node."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _v4_hex(ip: Column) -> Column:
-    parts = F.transform(F.split(ip, r"\."), lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0"))
-    return F.array_join(parts, "")
+    part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint")
+    return F.lpad(F.lower(F.hex(part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4))), 8, "0")
 
 
 def _v6_groups(ip: Column) -> Column:
     """Eight 4-digit hex groups of an IPv6 address, or NULL."""
+    no_groups = F.array().cast("array<string>")
+
+    def side(halves: Column, i: int) -> Column:
+        h = F.coalesce(F.get(halves, F.lit(i)), F.lit(""))
+        return F.when(h == "", no_groups).otherwise(F.split(h, ":"))
+
+    def checked(s: Column) -> Column:
+        gap = F.array_repeat(F.lit("0"), F.greatest(8 - s["have"], F.lit(0)))
+        shape = ((s["n"] == 1) & (s["have"] == 8)) | ((s["n"] == 2) & (s["have"] <= 7))
+        return let(
+            F.concat(s["left"], gap, s["right"]),
+            lambda g: F.when(
+                shape & F.forall(g, lambda x: x.rlike(r"\A[0-9a-f]{1,4}\z")), F.transform(g, lambda x: F.lpad(x, 4, "0"))
+            ),
+        )
+
+    def halved(halves: Column) -> Column:
+        left, right = side(halves, 0), side(halves, 1)
+        return F.struct(left.alias("left"), right.alias("right"), F.size(halves).alias("n"), (F.size(left) + F.size(right)).alias("have"))
+
     low = F.lower(ip)
     tail = F.regexp_extract(low, rf":({_V4})\z", 1)
     tail_hex = _v4_hex(tail)
     as_hex = F.concat(F.regexp_replace(low, rf"{_V4}\z", ""), F.left(tail_hex, F.lit(4)), F.lit(":"), F.right(tail_hex, F.lit(4)))
     text = F.when(tail != "", as_hex).otherwise(low)
-    halves = F.split(text, "::")
-    side = lambda h: F.when(F.coalesce(h, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(h, ":"))
-    left, right = side(F.get(halves, F.lit(0))), side(F.get(halves, F.lit(1)))
-    have = F.size(left) + F.size(right)
-    gap = F.array_repeat(F.lit("0"), F.greatest(8 - have, F.lit(0)))
-    groups = F.concat(left, gap, right)
-    shape = ((F.size(halves) == 1) & (have == 8)) | ((F.size(halves) == 2) & (have <= 7))
-    good = shape & F.forall(groups, lambda g: g.rlike(r"\A[0-9a-f]{1,4}\z"))
-    return F.when(good, F.transform(groups, lambda g: F.lpad(g, 4, "0")))
+    return let(F.split(text, "::"), lambda h: let(halved(h), checked))
 
 
 def ip_key(ip: Column) -> Column:
@@ -343,12 +360,14 @@ def ip_key(ip: Column) -> Column:
 
 def truncate_ip(ip: Column) -> Column:
     """IPv4 without its last octet, IPv6 without its last 64 bits, `invalid` for anything else."""
-    groups = F.slice(_v6_groups(ip), 1, 4)
-    hexes = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, r"\A0{1,3}", "")), ":")
-    v6 = F.concat(F.regexp_replace(hexes, r"(\A|:)0(:0)*\z", ""), F.lit("::"))
+
+    def network(groups: Column) -> Column:
+        hexes = F.array_join(F.transform(F.slice(groups, 1, 4), lambda g: F.regexp_replace(g, r"\A0{1,3}", "")), ":")
+        return F.concat(F.regexp_replace(hexes, r"(\A|:)0(:0)*\z", ""), F.lit("::"))
+
     return (
         F.when(ip.rlike(rf"\A{_V4}\z"), F.regexp_replace(ip, r"[0-9]+\z", "0"))
-        .when(ip.contains(":") & groups.isNotNull(), v6)
+        .when(ip.contains(":"), F.coalesce(let(_v6_groups(ip), network), F.lit("invalid")))
         .otherwise(F.when(ip.isNotNull(), F.lit("invalid")))
     )
 
@@ -375,22 +394,28 @@ def store_ip(df: DataFrame, mode: str, salt: str = "", col: str = "client_ip") -
 
 def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
     """First and last address of a CIDR block as ip_key text; NULL for a malformed block."""
-    net = F.split_part(cidr, F.lit("/"), F.lit(1))
-    key = ip_key(net)
-    family, digits = F.left(key, F.lit(2)), F.substring(key, 3, 32)
-    bits = F.length(digits) * 4
-    prefix = F.coalesce(F.expr("CAST(NULL AS INT)"), F.regexp_extract(cidr, r"/([0-9]{1,3})\z", 1).try_cast("int"), bits)
-    whole, rest = F.floor(prefix / 4).cast("int"), prefix % 4
-    nibble = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
-    span = F.element_at(F.array(F.lit(16), F.lit(8), F.lit(4), F.lit(2)), rest + 1)
-    low_n = (F.floor(nibble / span) * span).cast("int")
-    mid = lambda v: F.when(whole * 4 < bits, F.lower(F.hex(v))).otherwise(F.lit(""))
-    pad = lambda ch: F.repeat(F.lit(ch), F.greatest(F.length(digits) - whole - 1, F.lit(0)))
-    head = F.concat(family, F.left(digits, whole))
-    ok = prefix <= bits
-    lo = F.when(ok, F.concat(head, mid(low_n), pad("0")))
-    hi = F.when(ok, F.concat(head, mid((low_n + span - 1).cast("int")), pad("f")))
-    return lo, hi
+
+    def bounds(x: Column) -> Column:
+        digits, whole, rest = x["digits"], F.floor(x["prefix"] / 4).cast("int"), x["prefix"] % 4
+        nibble = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+        span = F.element_at(F.array(F.lit(16), F.lit(8), F.lit(4), F.lit(2)), rest + 1)
+        low_n = (F.floor(nibble / span) * span).cast("int")
+        mid = lambda v: F.when(whole < F.length(digits), F.lower(F.hex(v))).otherwise(F.lit(""))
+        pad = lambda ch: F.repeat(F.lit(ch), F.greatest(F.length(digits) - whole - 1, F.lit(0)))
+        head = F.concat(x["family"], F.left(digits, whole))
+        ok = x["prefix"] <= F.length(digits) * 4
+        return F.struct(
+            F.when(ok, F.concat(head, mid(low_n), pad("0"))).alias("lo"),
+            F.when(ok, F.concat(head, mid((low_n + span - 1).cast("int")), pad("f"))).alias("hi"),
+        )
+
+    def parts(key: Column) -> Column:
+        digits = F.substring(key, 3, 32)
+        given = F.regexp_extract(cidr, r"/([0-9]{1,3})\z", 1).try_cast("int")
+        return F.struct(F.left(key, F.lit(2)).alias("family"), digits.alias("digits"), F.coalesce(given, F.length(digits) * 4).alias("prefix"))
+
+    both = let(let(ip_key(F.split_part(cidr, F.lit("/"), F.lit(1))), parts), bounds)
+    return both["lo"], both["hi"]
 
 
 def ip_in_cidr(ip: Column, cidr: Column) -> Column:

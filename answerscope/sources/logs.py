@@ -70,26 +70,23 @@ def read_custom_log(lines: DataFrame, pattern: str, source: str, as_of) -> DataF
 
 def _json_hits(df: DataFrame, source: str, keys: dict[str, list[str]], default_status: int) -> DataFrame:
     """One mapper for all JSON sources. The first present alias decides, even when its type is wrong."""
-    doc = F.try_parse_json("value")
-
-    def chosen(names: list[str]) -> tuple[Column, Column]:
-        """Type and text of the first alias present."""
-        kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for n in reversed(names):
-            here = F.try_variant_get(doc, f"$['{n}']", "variant")
-            kind = F.when(here.isNotNull(), F.schema_of_variant(here)).otherwise(kind)
-            text = F.when(here.isNotNull(), F.try_variant_get(doc, f"$['{n}']", "string")).otherwise(text)
-        return kind, text
+    # Staged so that the document is parsed once and each alias is looked up once.
+    parsed = df.select("value", F.try_parse_json("value").alias("__d"))
+    picked = parsed.select(
+        "value", *[F.coalesce(*[F.try_variant_get("__d", f"$['{k}']", "variant") for k in ks]).alias(f"__{n}") for n, ks in keys.items()]
+    )
+    # Type and text of the chosen alias per field.
+    typed = picked.select("value", *[
+        e for n in keys for e in (F.schema_of_variant(f"__{n}").alias(f"{n}_type"), F.try_variant_get(f"__{n}", "$", "string").alias(f"{n}_text"))
+    ])
 
     def string(name: str) -> Column:
-        kind, text = chosen(keys[name])
-        return F.when(kind == "STRING", text)
-
-    ts_kind, ts_text = chosen(keys["ts"])
-    ts = F.when(ts_kind == "STRING", _rfc3339(ts_text)).when(ts_kind == "BIGINT", F.timestamp_micros(ts_text.try_cast("long")))
-    st_kind, st_text = chosen(keys["status"])
-    code = F.when(st_kind == "BIGINT", st_text.try_cast("long"))
-    rows = df.select(
+        return F.when(F.col(f"{name}_type") == "STRING", F.col(f"{name}_text"))
+
+    ts_text = F.col("ts_text")
+    ts = F.when(F.col("ts_type") == "STRING", _rfc3339(ts_text)).when(F.col("ts_type") == "BIGINT", F.timestamp_micros(ts_text.try_cast("long")))
+    code = F.when(F.col("status_type") == "BIGINT", F.col("status_text").try_cast("long"))
+    rows = typed.select(
         F.coalesce(string("id"), line_id(source, F.col("value"))).alias("raw_event_id"), ts.alias("ts"), string("user_agent").alias("user_agent"),
         string("path").alias("path"), F.coalesce(F.when(code.between(0, 65535), code), F.lit(default_status)).cast("int").alias("status"),
         F.lit(source).alias("source_adapter"), string("ip").alias("client_ip"), string("region").alias("region"),
