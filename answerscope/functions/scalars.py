@@ -20,6 +20,15 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def compute_once(df: DataFrame, *cols) -> DataFrame:
+    """select(*cols) behind a one-element explode.
+
+    A filter on a plain projection is pushed below it with its expressions copied, so a parsed field
+    would be parsed again for the filter. Nothing is pushed below a generator's own output.
+    """
+    return df.select(F.explode(F.array(F.struct(*cols))).alias("__row")).select("__row.*")
+
+
 # --- time, rates, rounding ---------------------------------------------------------------------
 
 

@@ -98,9 +98,9 @@ def origin(url: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, link, kind): kind `owned` for crawlable links of the same origin, `outbound` for other origins."""
     hrefs = pages.select("url", F.explode(F.array_distinct(href_values(F.col("html")))).alias("href"))
-    links = hrefs.select("url", resolve_url(F.col("url"), F.col("href")).alias("link")).filter("link IS NOT NULL")
+    links = S.compute_once(hrefs, "url", resolve_url(F.col("url"), F.col("href")).alias("link")).filter("link IS NOT NULL")
     kind = F.when(origin(F.col("url")) == origin(F.col("link")), F.when(S.is_crawlable(F.col("link")), "owned")).otherwise("outbound")
-    return links.withColumn("kind", kind).filter("kind IS NOT NULL").distinct()
+    return S.compute_once(links, "url", "link", kind.alias("kind")).filter("kind IS NOT NULL").distinct()
 
 
 def outbound_links(url: Column, html: Column) -> Column:

@@ -143,7 +143,8 @@ def extract_citations(answers: DataFrame, emails: bool = True, keys: tuple[str,
     dotted = answers.filter(text.contains("."))
     by_url = dotted.filter(text.contains("://")).select(*keys, F.inline(urls))
     host, path = _url_parts(F.col("url"))
-    a = by_url.select(*keys, host.alias("domain"), "url", S.source_type(host, path).alias("source_type")).filter("domain IS NOT NULL")
+    parts = S.compute_once(by_url, *keys, host.alias("domain"), "url", path.alias("__path")).filter("domain IS NOT NULL")
+    a = parts.select(*keys, "domain", "url", S.source_type(F.col("domain"), F.col("__path")).alias("source_type"))
     by_name = dotted.select(*keys, F.inline(bare))
     b = by_name.select(
         *keys, "domain", F.lit(None).cast("string").alias("url"), S.source_type(F.col("domain"), F.lit("/")).alias("source_type")
@@ -158,8 +159,9 @@ def citations_from_annotations(runs: DataFrame, keys: tuple[str, ...] = ("run_id
     choices = has.select(*keys, F.explode(F.from_json("raw_response", shape)["choices"]).alias("c"))
     urls = choices.select(*keys, F.explode("c.message.annotations").alias("a")).select(*keys, _trim_url(F.col("a.url_citation.url")).alias("url"))
     host, path = _url_parts(F.col("url"))
-    rows = urls.select(*keys, host.alias("domain"), "url", S.source_type(host, path).alias("source_type"))
-    return _count_surfaces(rows.filter("domain IS NOT NULL"), list(keys))
+    parts = S.compute_once(urls, *keys, host.alias("domain"), "url", path.alias("__path")).filter("domain IS NOT NULL")
+    rows = parts.select(*keys, "domain", "url", S.source_type(F.col("domain"), F.col("__path")).alias("source_type"))
+    return _count_surfaces(rows, list(keys))
 
 
 def extract_claims(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -183,8 +185,8 @@ def extract_claims(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
     rows = spans.select("project_id", "run_id", "entity", F.inline(kept))
     lead = F.octet_length("s") - F.octet_length(F.regexp_replace("s", r"(?U)\A\s+", ""))
-    return rows.select(
-        "project_id", "run_id", "entity", S.squeeze(F.col("s")).alias("claim_text"), F.lit(C.CLAIM_KIND).alias("claim_kind"),
+    return S.compute_once(
+        rows, "project_id", "run_id", "entity", S.squeeze(F.col("s")).alias("claim_text"), F.lit(C.CLAIM_KIND).alias("claim_kind"),
         (F.col("o") + lead).alias("char_offset"), F.lit(C.CLAIM_CONFIDENCE).alias("confidence"), F.lit(C.CLAIM_LANE).alias("extractor_lane"),
     ).filter(F.col("claim_text") != "")
 
@@ -219,8 +221,8 @@ def answers_of(runs: DataFrame) -> DataFrame:
     text = answer_text(F.col("raw_response"))
     if "response_text" in runs.columns:
         text = F.coalesce(F.when(S.squeeze(F.col("response_text")) != "", F.col("response_text")), text)
-    ok = runs.filter(F.col("status") == "ok").withColumn("text", text)
-    return ok.filter(F.col("text").isNotNull()).select("project_id", "run_id", "text")
+    ok = S.compute_once(runs.filter(F.col("status") == "ok"), "project_id", "run_id", text.alias("text"))
+    return ok.filter(F.col("text").isNotNull())
 
 
 def resolve_domains(df: DataFrame) -> DataFrame:

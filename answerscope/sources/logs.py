@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.scalars import as_ts
+from ..functions.scalars import as_ts, compute_once
 
 RFC3339 = r"\A\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})\z"
 CDN_KEYS = {
@@ -59,7 +59,9 @@ def read_custom_log(lines: DataFrame, pattern: str, source: str, as_of) -> DataF
     field = lambda name: F.get("__p", F.lit(at[name])) if name in at else none
     agent, status = field("ua") if "ua" in at else field("user_agent"), field("status")
     code = F.when(status.rlike(r"\A\+?\d+\z"), status.try_cast("int"))
-    rows = lines.withColumn("__p", parts).filter(F.size("__p") == len(labels)).select(
+    split = compute_once(lines, "value", parts.alias("__p")).filter(F.size("__p") == len(labels))
+    rows = compute_once(
+        split,
         F.coalesce(field("id"), line_id(source, F.col("value"))).alias("raw_event_id"),
         F.coalesce(_rfc3339(field("ts")), as_ts(as_of)).alias("ts"), agent.alias("user_agent"), field("path").alias("path"),
         F.coalesce(F.when(code <= 65535, code), F.lit(0)).alias("status"), F.lit(source).alias("source_adapter"),
@@ -86,7 +88,8 @@ def _json_hits(df: DataFrame, source: str, keys: dict[str, list[str]], default_s
     ts_text = F.col("ts_text")
     ts = F.when(F.col("ts_type") == "STRING", _rfc3339(ts_text)).when(F.col("ts_type") == "BIGINT", F.timestamp_micros(ts_text.try_cast("long")))
     code = F.when(F.col("status_type") == "BIGINT", F.col("status_text").try_cast("long"))
-    rows = typed.select(
+    rows = compute_once(
+        typed,
         F.coalesce(string("id"), line_id(source, F.col("value"))).alias("raw_event_id"), ts.alias("ts"), string("user_agent").alias("user_agent"),
         string("path").alias("path"), F.coalesce(F.when(code.between(0, 65535), code), F.lit(default_status)).cast("int").alias("status"),
         F.lit(source).alias("source_adapter"), string("ip").alias("client_ip"), string("region").alias("region"),
