@@ -59,9 +59,10 @@ def signature_overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Exact Jaccard of two sets given as distinct arrays; 0 when both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union > 0, both / union).otherwise(0.0)
+    return S.let(
+        F.size(F.array_intersect(a, b)),
+        lambda both: F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both)).otherwise(0.0),
+    )
 
 
 def similar_to(
@@ -82,7 +83,9 @@ def similar_to(
     else:
         side, col, score = minhash(index, text_col), "signature", signature_overlap
         probe = minhash(query).select("signature")
-    scored = side.withColumn("score", score(F.col(col), probe.scalar()))
+    # The probe is a column of its own first: a scalar subquery may not stand inside a lambda.
+    paired = S.compute_once(side, "*", probe.scalar().alias("__q"))
+    scored = S.compute_once(paired, "*", score(F.col(col), F.col("__q")).alias("score")).drop("__q")
     return scored.filter(F.col("score") >= threshold).orderBy(F.col("score").desc(), name).limit(limit).drop(col)
 
 

@@ -90,7 +90,8 @@ def _(v):
     return X.extract_claims(v.answers, v.dictionary)
 
 
-@query("answer_text", "X-8", sql("SELECT project_id, run_id, text FROM answers WHERE run_id % 6 < 5 AND run_id % 9 < 8", "answers"))
+@query("answer_text", "X-8", sql("""SELECT project_id, run_id, CASE WHEN run_id % 6 = 1 THEN text || chr(10) || 'skip' ELSE text END AS text
+  FROM answers WHERE run_id % 6 < 5 AND run_id % 9 < 8""", "answers"))
 def _(v):
     return X.answers_of(v.responses)
 
