@@ -75,8 +75,8 @@ def consent_as_of(runs: DataFrame, consent: DataFrame, tier: str, current_terms:
     """Each run with the consent in force when it was observed, and whether that is an active opt-in."""
     mine = consent.filter(F.col("tier") == tier)
     out = as_of_join(runs, mine, ["project_id"], "observed_at", "created_at", ["event", "terms_version"], ["consent_id"])
-    active = (F.col("event") == "optin") & (F.col("terms_version") == current_terms)
-    return out.withColumnsRenamed({"event": "consent_event"}).withColumn("opted_in", F.coalesce(active, F.lit(False)))
+    active = (F.col("consent_event") == "optin") & (F.col("terms_version") == current_terms)
+    return out.withColumnRenamed("event", "consent_event").withColumn("opted_in", F.coalesce(active, F.lit(False)))
 
 
 def contribution_decision(runs: DataFrame, consent: DataFrame, tier: str, current_terms: str) -> DataFrame:

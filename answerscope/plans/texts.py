@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import audit as A
 from ..operators import extract as X
 from ..operators import similarity as M
-from .catalog import lst, query, r
+from .catalog import query, r
 from .views import sql
 
 

@@ -243,7 +243,7 @@ class Views:
         return self.table("orders").select(
             o.alias("consent_id"), (F.col("o_custkey") % 50).alias("project_id"), pick(o, "benchmark", "named").alias("tier"),
             F.when(F.col("o_orderstatus") == "F", "optout").otherwise("optin").alias("event"), pick(o, "v2", "v2", "v2", "v1").alias("terms_version"),
-            F.timestamp_seconds(F.lit(1704067200) + (o * 37) % 2592000).alias("created_at"),
+            F.timestamp_seconds(F.lit(1704067200) + (o * 7919) % 2592000).alias("created_at"),
         )
 
     @cached_property
@@ -304,7 +304,7 @@ class Views:
         key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
         return self.table("lineitem").select(
             F.col("l_orderkey").alias("rec_id"), F.concat_ws("-", *[F.col(c).cast("string") for c in key[1:4]], F.round(F.col("l_extendedprice") * 100).cast("long").cast("string")).alias("event_id"),
-            F.col("l_shipdate").cast("timestamp").alias("at"),
+            F.col("l_shipdate").cast("timestamp").alias("changed_at"),
             pick(F.col("l_linenumber") + F.col("l_partkey") % 2, "generated", "surfaced", "acknowledged", "acted", "measured", "dismissed", "stale").alias("state"),
         )
 
@@ -543,7 +543,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT 'b' || s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN upper(s_name) WHEN 1 THEN s_name || ' !!' WHEN 2 THEN s_name || ' Group' ELSE replace(s_name, 'e', 'е') || 'x' END FROM supplier"""),
     "consent": ((), f"""SELECT o_orderkey AS consent_id, o_custkey % 50 AS project_id, {case('o_orderkey', 'benchmark', 'named')} AS tier,
         CASE WHEN o_orderstatus = 'F' THEN 'optout' ELSE 'optin' END AS event, {case('o_orderkey', 'v2', 'v2', 'v2', 'v1')} AS terms_version,
-        {_secs('1704067200 + (o_orderkey * 37) % 2592000')} AS created_at FROM orders"""),
+        {_secs('1704067200 + (o_orderkey * 7919) % 2592000')} AS created_at FROM orders"""),
     "observed": (("runs",), f"""SELECT run_id, prompt_id % 50 AS project_id, CASE WHEN run_id % 10 = 0 THEN 'Prompt ' ELSE 'prompt-' END || prompt_id AS prompt_slug, provider, model,
         started_at AS observed_at, run_id % 7 AS observed_rank, {case('run_id', 'v2', 'v2', 'v1')} AS terms, run_id % 3 < 2 AS contribute FROM runs"""),
     "contributions": ((), f"""SELECT o_orderkey AS contribution_id, o_custkey % 40 AS project_id, CASE WHEN o_orderkey % 9 < 8 THEN 'd' || (o_custkey % 100) || '.example.com' END AS entity_domain,
@@ -558,7 +558,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "recommendations": ((), f"""SELECT o_orderkey AS rec_id, o_custkey % 3 AS project_id, 'kind' || (o_orderkey % 7) AS kind,
         {case('o_orderkey', 'generated', 'surfaced', 'acknowledged', 'acted', 'measured', 'dismissed', 'stale')} AS state, CASE WHEN o_orderkey % 10 = 0 THEN 'demo' END AS plugin_source,
         o_orderdate AS generated_at, sha256('f' || (o_orderkey % 997)) AS input_fingerprint FROM orders"""),
-    "lifecycle": ((), f"""SELECT l_orderkey AS rec_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS event_id, l_shipdate AS at,
+    "lifecycle": ((), f"""SELECT l_orderkey AS rec_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS event_id, l_shipdate AS changed_at,
         {case('l_linenumber + l_partkey % 2', 'generated', 'surfaced', 'acknowledged', 'acted', 'measured', 'dismissed', 'stale')} AS state FROM lineitem"""),
     "acted": ((), f"SELECT o_orderkey AS rec_id, o_orderkey % 3 AS project_id, {_secs('1704067200 + (o_orderkey * 71) % 2000000')} AS acted_at, (o_orderkey % 100) / 100.0::DOUBLE AS value_at_acted FROM orders"),
     "tool_calls": ((), "SELECT event_id AS id, event_type AS tool_name, CASE WHEN event_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CAST(round(value * 10) AS INT) AS latency_ms, ts AS called_at FROM events"),
