@@ -47,7 +47,7 @@ def tail_logs(spark: SparkSession, folder: str, source: str, as_of, max_files: i
 ADMIT_STATE = "accepted array<bigint>"
 
 
-def admitter(max_hits: int, window_s: int, id_type: str = "bigint", ts: str = "ts", key: str = "key", event: str = "event_id") -> Callable:
+def admitter(max_hits: int, window_s: int, ts: str = "ts", key: str = "key", event: str = "event_id") -> Callable:
     """Per-key update that keeps only the accepted times of the trailing window: at most `max_hits` integers."""
     span = window_s * 1_000_000
 
@@ -67,23 +67,27 @@ def admitter(max_hits: int, window_s: int, id_type: str = "bigint", ts: str = "t
                 accepted.append(now)
             verdicts.append(ok)
         state.update((accepted,))
-        state.setTimeoutDuration((window_s + 1) * 1000)
+        # The times mean nothing once the watermark is past the window of the last one.
+        state.setTimeoutTimestamp(max(accepted[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({event: rows[event].to_numpy(), key: k[0], "accepted": verdicts})
 
     return update
 
 
-def admit(events: DataFrame, key: str, max_hits: int = 60, window_s: int = 60, event: str = "event_id", ts: str = "ts") -> DataFrame:
+def admit(
+    events: DataFrame, key: str, max_hits: int = 60, window_s: int = 60, event: str = "event_id", ts: str = "ts", watermark: str = "10 minutes",
+) -> DataFrame:
     """At most `max_hits` accepted events per key in the trailing window; rejected ones do not count.
 
     The admission is sequential per key by definition. A key's state is at most `max_hits` times, and a
-    micro-batch bounds the rows a key brings at once (set the source's rate limit for that).
+    micro-batch bounds the rows a key brings at once (set the source's rate limit for that). A key is
+    forgotten when the watermark has passed its window; events older than the watermark are not admitted.
     """
     kind = events.schema[key].dataType.simpleString()
     eid = events.schema[event].dataType.simpleString()
-    return events.select(key, event, ts).groupBy(key).applyInPandasWithState(
-        admitter(max_hits, window_s, eid, ts, key, event), f"{event} {eid}, {key} {kind}, accepted boolean", ADMIT_STATE,
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
+    return events.select(key, event, ts).withWatermark(ts, watermark).groupBy(key).applyInPandasWithState(
+        admitter(max_hits, window_s, ts, key, event), f"{event} {eid}, {key} {kind}, accepted boolean", ADMIT_STATE,
+        "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
