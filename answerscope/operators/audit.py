@@ -40,16 +40,19 @@ def _authority(scheme: Column, authority: Column) -> Column:
 
 def _tidy_path(path: Column) -> Column:
     """Resolve `.` and `..` segments and percent-encode what a url path may not contain."""
-    segments = F.split(F.regexp_replace(path, r"\A/", ""), "/")
-    last = F.element_at(segments, -1)
-    folded = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.array_append(acc, s)),
-    )
-    folded = F.when(last.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
-    dotted = F.when(path.rlike(r"(\A|/)\.{1,2}(/|\z)"), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(path)
-    return _percent(F.when(dotted == "", F.lit("/")).otherwise(dotted))
+
+    def fold(p: Column) -> Column:
+        segments = F.split(F.regexp_replace(p, r"\A/", ""), "/")
+        folded = F.aggregate(
+            segments, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc).otherwise(F.array_append(acc, s)),
+        )
+        tail = F.when(p.rlike(r"/\.{1,2}\z"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.lit("/"), F.array_join(folded, "/"), tail)
+
+    clean = F.when(path.rlike(r"(\A|/)\.{1,2}(/|\z)"), fold(path)).when(path == "", F.lit("/")).otherwise(path)
+    return S.let(clean, _percent)
 
 
 def _percent(c: Column) -> Column:
@@ -64,30 +67,42 @@ def _percent(c: Column) -> Column:
     return F.when(c.rlike(bad), coded).otherwise(c)
 
 
+_URL_PARTS = r"\A([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+
+
+def _split_url(url: Column) -> Column:
+    part = lambda i: F.regexp_extract(url, _URL_PARTS, i)
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("auth"), part(3).alias("path"), part(4).alias("query"))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute http(s) url of a link on page `base`, without fragment; NULL for other schemes."""
-    split = r"\A([A-Za-z][A-Za-z0-9+.-]*):(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
-    part = lambda c, i: F.regexp_extract(c, split, i)
-    scheme, auth, path, query = F.lower(part(base, 1)), part(base, 2), part(base, 3), part(base, 4)
-    own = href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:")
-    ref = F.regexp_replace(href, r"(?s)#.*\z", "")
-    ref_path = F.regexp_extract(ref, r"\A([^?]*)", 1)
-    ref_query = F.regexp_extract(ref, r"(\?.*)\z", 1)
-    folder = F.regexp_replace(path, r"[^/]*\z", "")
-    is_abs, is_net = own, ref.startswith("//")
-    with_scheme = F.when(is_abs, href).when(is_net, F.concat(scheme, F.lit(":"), ref))
-    to_scheme = F.when(is_abs, F.lower(part(href, 1))).otherwise(scheme)
-    foreign = is_abs | is_net
-    to_auth = F.when(foreign, part(with_scheme, 2)).otherwise(auth)
-    to_path = (
-        F.when(foreign, part(with_scheme, 3)).when(ref_path.startswith("/"), ref_path)
-        .when(ref_path == "", path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path))
-    )
-    to_query = F.when(foreign, part(with_scheme, 4)).when(ref == "", query).otherwise(ref_query)
-    ok = to_scheme.isin("http", "https") & (to_auth != "") & scheme.isin("http", "https")
-    return F.when(
-        ok, F.concat(to_scheme, F.lit("://"), _authority(to_scheme, to_auth), _tidy_path(to_path), _percent(to_query))
-    )
+
+    def absolute(u: Column) -> Column:
+        ok = u["scheme"].isin("http", "https") & (u["auth"] != "")
+        return F.when(
+            ok, F.concat(u["scheme"], F.lit("://"), _authority(u["scheme"], u["auth"]), _tidy_path(u["path"]), _percent(u["query"]))
+        )
+
+    def on_page(b: Column) -> Column:
+        ref = F.regexp_replace(href, r"(?s)#.*\z", "")
+        ref_path, ref_query = F.regexp_extract(ref, r"\A([^?]*)", 1), F.regexp_extract(ref, r"(\?.*)\z", 1)
+        folder = F.regexp_extract(b["path"], r"\A(.*/)", 1)
+        path = (
+            F.when(ref_path.startswith("/"), ref_path).when(ref_path == "", b["path"])
+            .otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref_path))
+        )
+        return F.struct(b["scheme"].alias("scheme"), b["auth"].alias("auth"), path.alias("path"), F.when(ref == "", b["query"]).otherwise(ref_query).alias("query"))
+
+    def target(b: Column) -> Column:
+        parts = (
+            F.when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), _split_url(href))
+            .when(href.startswith("//"), _split_url(F.concat(b["scheme"], F.lit(":"), href)))
+            .otherwise(on_page(b))
+        )
+        return F.when(b["scheme"].isin("http", "https"), S.let(parts, absolute))
+
+    return S.let(_split_url(base), target)
 
 
 def origin(url: Column) -> Column:
@@ -105,9 +120,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def outbound_links(url: Column, html: Column) -> Column:
     """Sorted distinct links of a page to other origins, as an array."""
-    own = origin(url)
-    links = F.transform(F.array_distinct(href_values(html)), lambda h: resolve_url(url, h))
-    return F.sort_array(F.array_distinct(F.filter(links, lambda u: u.isNotNull() & (origin(u) != own))))
+    # Only a link with its own scheme or host can leave the page's origin.
+    foreign = F.filter(F.array_distinct(href_values(html)), lambda h: h.rlike(r"\A([A-Za-z][A-Za-z0-9+.-]*:|//)"))
+    links = F.transform(foreign, lambda h: resolve_url(url, h))
+    return S.let(origin(url), lambda own: F.sort_array(F.array_distinct(F.filter(links, lambda u: u.isNotNull() & (origin(u) != own)))))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

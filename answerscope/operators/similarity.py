@@ -22,7 +22,10 @@ def tokens(text: Column) -> Column:
 def shingle_set(words: Column, n: int = 3) -> Column:
     """Distinct word n-grams; a shorter text is one shingle, an empty one none."""
     size = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    # Element access is constant time; slicing would copy the word list for every shingle.
+    grams = F.transform(
+        F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)])
+    )
     return F.when(size == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.logs import load_bot_ranges
-from ..sources.tables import load_table
+from ..sources.tables import load_table, spread
 
 AS_OF = "2024-01-31 00:00:00"
 OPEN_DAY = "2024-01-30 12:00:00"
+TEXTS = {"documents", "pages", "conversations"}
 BRANDS = ["brand0", "brand1", "brand2", "brand3"]
 
 
@@ -32,7 +33,8 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.folder, name)
+        df = load_table(self.spark, self.folder, name)
+        return spread(df) if name in TEXTS else df
 
     @cached_property
     def prompts(self) -> DataFrame:
