@@ -45,7 +45,7 @@ def monthly_cost(schedules: DataFrame) -> DataFrame:
 
 def cap_violations(schedules: DataFrame) -> DataFrame:
     """Schedules with an unsupported cadence, above 12 ticks an hour, or above 96 a day for a provider."""
-    rated = schedules.withColumn("ticks_per_day", S.ticks_per_day(F.col("cadence")))
+    rated = S.compute_once(schedules, "*", S.ticks_per_day(F.col("cadence")).alias("ticks_per_day"))
     per_day = F.col("ticks_per_day")
     rule = (
         F.when(per_day.isNull(), "unsupported_cadence")
@@ -53,9 +53,8 @@ def cap_violations(schedules: DataFrame) -> DataFrame:
         .when((per_day > C.MAX_TICKS_PER_DAY) & (F.size("providers") > 0), "provider_daily_cap")
     )
     first = F.when(rule == "provider_daily_cap", F.get("providers", F.lit(0)))
-    return rated.select("schedule_id", "cadence", "ticks_per_day", rule.alias("violation"), first.alias("provider")).filter(
-        "violation IS NOT NULL"
-    )
+    out = S.compute_once(rated, "schedule_id", "cadence", "ticks_per_day", rule.alias("violation"), first.alias("provider"))
+    return out.filter("violation IS NOT NULL")
 
 
 def tick_gaps(schedules: DataFrame, ticks: DataFrame, manual_runs: DataFrame, as_of, idle_s: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,8 +64,8 @@ def tick_gaps(schedules: DataFrame, ticks: DataFrame, manual_runs: DataFrame, as
     `as_of`. A tick is debounced when a manual run of its schedule lies less than N minutes before it.
     """
     end = F.unix_seconds(S.as_ts(as_of))
-    rated = schedules.withColumn("__step", (F.round(F.lit(1440.0) / S.ticks_per_day(F.col("cadence"))) * 60).cast("long"))
-    rated = rated.filter(F.col("__step") > 0)
+    step = (F.round(F.lit(1440.0) / S.ticks_per_day(F.col("cadence"))) * 60).cast("long")
+    rated = S.compute_once(schedules, "schedule_id", "created_at", step.alias("__step")).filter(F.col("__step") > 0)
     first = F.floor(F.unix_seconds("created_at") / F.col("__step")) * F.col("__step") + F.col("__step")
     slots = rated.filter(first <= end).select(
         "schedule_id", F.explode(F.sequence(first, end, F.col("__step"))).alias("__s")

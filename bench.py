@@ -15,11 +15,11 @@ from answerscope.plans.catalog import load_all, runner
 from answerscope.session import get_spark
 
 HEADLINE = [
-    "visibility_matrix", "visibility_trend_all", "heatmap", "volatility", "run_summary", "tag_summary", "citation_summary", "citation_score", "citation_trend",
-    "citation_graph_edges", "run_diff_citations", "domain_profile", "compare_brands", "movers", "sentiment_points", "tool_latency", "rank_anomalies", "citation_novelty",
-    "extracted_mentions", "extracted_citations", "document_citations", "extracted_claims", "answer_text", "page_audit", "page_links", "shingles", "similar_documents",
-    "entities_to_merge", "access_log_hits", "cdn_json_hits", "crawler_events", "site_event_rollup_frozen", "site_page_rollup", "consent_as_of", "facts_in_force",
-    "recommendation_facts", "recommendations_by_kind", "illegal_transitions", "measured_outcomes", "missed_slots", "brand_cost_daily", "bundle_contents",
+    "visibility_matrix", "heatmap", "volatility", "run_summary", "tag_summary", "citation_summary", "citation_score",
+    "run_diff_citations", "domain_profile", "compare_brands", "sentiment_points", "tool_latency", "rank_anomalies", "citation_novelty",
+    "extracted_mentions", "document_citations", "extracted_claims", "answer_text", "page_audit", "shingles", "similar_documents",
+    "entities_to_merge", "access_log_hits", "crawler_events", "site_event_rollup_frozen", "consent_as_of",
+    "recommendations_by_kind", "illegal_transitions", "measured_outcomes", "brand_cost_daily",
 ]
 
 
