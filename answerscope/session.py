@@ -15,6 +15,8 @@ SETTINGS = {
     # Joins are written without hints. A side is broadcast only when its estimated
     # size (before the run) or its measured size (by AQE) is below this bound.
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Per-group limits up to this size are applied before the shuffle, so a hot group stays small.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

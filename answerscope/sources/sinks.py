@@ -11,6 +11,10 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.ordering import latest_by
 
 
+MAX_BATCHES = 1000
+MAX_COMMITS = 10
+
+
 def append_new(new: DataFrame, existing: DataFrame | None, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Rows to append: first per key by `order`, keys already stored left out. Its count is the inserted count."""
     keys = list(keys)
@@ -54,8 +58,9 @@ def export_metrics_batched(
 ) -> int:
     """Write `df` in batches that can be resumed; returns the number of batches written by this call.
 
-    The batch count is fixed in the state table by the first call. Each batch replaces its own partition,
-    then its id is recorded, so a repeated batch overwrites itself. A finished job starts over.
+    The batch count is fixed in the state table by the first call; a large input gets larger batches, not
+    more than MAX_BATCHES. Each batch replaces its own partition, then its id is recorded, so a repeated
+    batch overwrites itself. A finished job starts over.
     `stop_after` ends the call early, as an interruption would.
     """
     spark = df.sparkSession
@@ -67,23 +72,25 @@ def export_metrics_batched(
     run, batches, done = (rows[0]["run"], rows[0]["batches"], rows[0]["done"]) if rows else (0, 0, 0)
     if not rows or done >= batches:
         run, done = run + 1, 0
-        batches = max(-(-df.count() // max(batch_size, 1)), 1)
+        batches = min(max(-(-df.count() // max(batch_size, 1)), 1), MAX_BATCHES)
         spark.createDataFrame([(job, batches, 0, run)], schema).write.mode("append").parquet(state_path)
         finished = set()
     else:
-        # One small integer per batch of this job.
+        # One small integer per batch of this job, at most MAX_BATCHES.
         finished = {r["batch_id"] for r in state.filter((F.col("job") == job) & (F.col("run") == run)).select("batch_id").distinct().collect()}
     tagged = batch_of(df, keys, batches)
-    written = 0
-    for b in range(1, batches + 1):
-        if b in finished:
-            continue
-        if stop_after is not None and written >= stop_after:
-            return written
-        _replace(tagged.filter(F.col("batch_id") == b), path, ["batch_id"])
-        spark.createDataFrame([(job, batches, b, run)], schema).write.mode("append").parquet(state_path)
-        written += 1
-    return written
+    todo = [b for b in range(1, batches + 1) if b not in finished]
+    if stop_after is not None:
+        todo = todo[:stop_after]
+    # Each commit reads the input once, so the batches are committed in a few groups.
+    step = -(-batches // MAX_COMMITS)
+    for i in range(0, len(todo), step):
+        group = todo[i : i + step]
+        rows_of_group = tagged.filter(F.col("batch_id").between(group[0], group[-1]) & F.col("batch_id").isin(group))
+        spread = rows_of_group.repartition("batch_id", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        _replace(spread, path, ["batch_id"])
+        spark.createDataFrame([(job, batches, b, run) for b in group], schema).write.mode("append").parquet(state_path)
+    return len(todo)
 
 
 def export_audit(df: DataFrame, path: str, fmt: str = "csv") -> None:
