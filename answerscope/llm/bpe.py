@@ -159,6 +159,8 @@ class Transducer:
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self.reset()
+            gc.unfreeze()
+            gc.collect()  # states refer to each other in circles
         state, ids = self.start, []
         for byte in data:
             moved = state.get(byte)
@@ -307,8 +309,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, machine = codec(path, pattern)
-        gc.freeze()  # the tables are large and live on; the collector need not visit them again and again
         for batch in batches(rows):
+            gc.freeze()  # the tables are large and live on; the collector need not visit them again and again
             counts, id_hashes, text_hashes = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text)
