@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_blob_ledger": secrets.op2_blob_ledger,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op8_block_naming": exact.op8_block_naming,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_block_naming": exact.ORACLE,
+}
