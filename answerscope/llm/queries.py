@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, secrets, toxicity
+from . import bpe, exact, html_text, merkle, mixing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_min_cut": html_text.op1_min_cut,
     "op2_blob_ledger": secrets.op2_blob_ledger,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_merkle": merkle.op7_merkle,
     "op8_block_naming": exact.op8_block_naming,
     "op10_toxicity": toxicity.op10_toxicity,
 }
