@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html_text, merkle, mixing, secrets, toxicity
+from . import bpe, exact, html_text, jaccard, merkle, mixing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cut": html_text.op1_min_cut,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.op6_mixing,
     "op7_merkle": merkle.op7_merkle,
     "op8_block_naming": exact.op8_block_naming,
+    "op9_signature_trees": jaccard.op9_signature_trees,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
