@@ -301,29 +301,30 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return tokens.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 per row; NULL text counts as empty, repeated rows give repeated results.
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids) per row; NULL text counts as empty, repeated rows give repeated results.
 
-    Encoding, decoding and hashing of a text happen in one visit, so that the ids of long texts aren't moved.
+    Encoding, decoding and hashing of a text happen in one visit, so that the ids of long texts aren't moved unless asked for.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, machine = codec(path, pattern)
         for batch in batches(rows):
             gc.freeze()  # the tables are large and live on; the collector need not visit them again and again
-            counts, id_hashes, text_hashes = [], [], []
+            counts, id_hashes, text_hashes, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text)
                 counts.append(len(ids))
                 id_hashes.append(hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest())
                 text_hashes.append(hashlib.sha256(machine.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    all_ids.append(np.asarray(ids, np.int32))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 

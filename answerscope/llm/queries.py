@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html_text, jaccard, merkle, mixing, secrets, toxicity
+from . import bpe, exact, html_text, jaccard, maxent, merkle, mixing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cut": html_text.op1_min_cut,
     "op2_blob_ledger": secrets.op2_blob_ledger,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_maxent": maxent.op5_maxent,
     "op6_mixing": mixing.op6_mixing,
     "op7_merkle": merkle.op7_merkle,
     "op8_block_naming": exact.op8_block_naming,
     "op9_signature_trees": jaccard.op9_signature_trees,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()))], names=["feature", "weight"])
 
     # One task sees the sample, whose size is bounded above; the model has at most MAX_FEATURES rows.
-    model = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).coalesce(1).mapInArrow(run, "feature string, weight double")
+    model = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "feature string, weight double")
     return {r.feature: r.weight for r in save(model, "toxicity-model").collect()}
 
 
