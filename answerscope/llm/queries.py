@@ -7,11 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html_text, jaccard, maxent, merkle, mixing, secrets, toxicity
+from . import bpe, exact, html_text, jaccard, lines, maxent, merkle, mixing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cut": html_text.op1_min_cut,
     "op2_blob_ledger": secrets.op2_blob_ledger,
+    "op3_line_hashing": lines.op3_line_hashing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_maxent": maxent.op5_maxent,
     "op6_mixing": mixing.op6_mixing,
