@@ -104,8 +104,9 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS, paragraphs: bool =
 def deduplicated(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS, paragraphs: bool = False) -> DataFrame:
     """`docs` without the repeated spans, and `removed`, an array of (start, end, first_doc_id) by the original offsets.
 
-    Every row stays, with an empty text if all of it repeats; other columns are as they were.
+    Every row stays, with an empty text if all of it repeats; other columns are as they were (one named `removed` is replaced).
     """
+    docs = docs.drop("removed")
     kept = save(docs.withColumn("__row", F.monotonically_increasing_id()), "lines-input")
     # The place in the table stands for the row: it is joined back on, and equal ids keep apart.
     plain = kept.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row")).alias("doc_id"), column(text).alias("text"))

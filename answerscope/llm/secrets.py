@@ -105,8 +105,9 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     """(rows to append to the ledger, `versions` with `findings` in place of the text).
 
     The second has every row of `versions`, repeated rows and NULL texts (empty blob) too, with the findings of the current version
-    of each rule from old and new ledger rows.
+    of each rule from old and new ledger rows. Columns of `versions` named blob or findings are replaced.
     """
+    versions = versions.drop("blob", "findings")
     fresh = save(scan(unseen(versions, ledger, rules, text), rules), "secrets-ledger")
     all_rows = fresh if ledger is None else fresh.unionByName(ledger.select(*fresh.columns))
     current = F.array(*[F.lit(r.key) for r in rules])
