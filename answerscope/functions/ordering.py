@@ -143,9 +143,16 @@ def page_after(df: DataFrame, cursor: dict, limit: int) -> DataFrame:
     return df.filter(row < bound).orderBy(*[F.col(c).desc() for c in cols]).limit(limit)
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, max_limit: int = 500) -> DataFrame:
-    """Newest-first page with the limit clamped to 1..max_limit and the offset to >= 0."""
-    return df.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), max_limit))
+def at_least_one(limit: int) -> int:
+    """The limit as asked for; a limit below 1 is an error rather than another limit."""
+    if limit < 1:
+        raise ValueError(f"limit must be 1 or more, not {limit}")
+    return limit
+
+
+def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
+    """`limit` rows after `offset`, in the given order."""
+    return df.orderBy(*order).offset(max(offset, 0)).limit(at_least_one(limit))
 
 
 def stable_order(df: DataFrame, cols: Sequence[str]) -> DataFrame:

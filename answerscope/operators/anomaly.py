@@ -75,15 +75,15 @@ def citation_novelty(
 
 
 def anomaly_feed(
-    events: DataFrame, as_of, days: int = 7, kind: str | None = None, since=None, frequency_counts: bool = False
+    events: DataFrame, as_of, days: int = 7, kind: str | None = None, since=None, frequency_counts: bool = False, project_id=None
 ) -> DataFrame:
-    """Newest delivery per event as a feed row: kind, time, delta, severity.
+    """Newest delivery per event, of one project or all, as a feed row: project, kind, time, delta, severity.
 
     `delta` is the first present of z, delta, novel_count. Citation anomalies carry `frequency`, which
     only counts when asked for; otherwise their severity stays low.
     """
     kinds = {"visibility.anomaly": "visibility_drop", "citation.anomaly": "citation_loss"}
-    recent = S.window_filter(events, as_of, days, col="created_at").filter(F.col("event_kind").isin(list(kinds)))
+    recent = S.opt_eq(S.window_filter(events, as_of, days, col="created_at"), "project_id", project_id).filter(F.col("event_kind").isin(list(kinds)))
     if since is not None:
         recent = recent.filter(F.col("created_at") >= S.as_ts(since))
     one = latest_by(recent, ["event_id"], [F.col("created_at").desc(), F.col("delivery_id").desc()])
@@ -91,7 +91,7 @@ def anomaly_feed(
     delta = S.json_first(F.get_json_object("payload", "$.detail"), names).try_cast("double")
     told = F.get_json_object("payload", "$.observed_at")
     out = one.select(
-        "event_id",
+        "event_id", "project_id",
         F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_kind")).alias("kind"),
         F.get_json_object("payload", "$.detail.prompt").alias("prompt"),
         F.coalesce(F.get_json_object("payload", "$.provider"), F.lit("unknown")).alias("provider"),
@@ -101,10 +101,15 @@ def anomaly_feed(
     return S.opt_eq(out, "kind", kind)
 
 
-def failure_streak(deliveries: DataFrame, lookback: int = 50) -> DataFrame:
-    """Most recent `dropped` deliveries per webhook before the first other status, within the look-back."""
+def failure_streak(deliveries: DataFrame, lookback: int | None = None) -> DataFrame:
+    """Most recent `dropped` deliveries per webhook before the first other status, over all of them or the last `lookback`."""
     from ..functions.ordering import top_k_per_group
 
-    last = top_k_per_group(deliveries, ["webhook_id"], [F.col("created_at").desc(), F.col("id").desc()], lookback)
-    first_ok = F.min(F.when(F.col("status") != "dropped", F.col("rn")))
-    return last.groupBy("webhook_id").agg(F.coalesce(first_ok - 1, F.count("*")).cast("long").alias("streak"))
+    last = deliveries
+    if lookback is not None:
+        last = top_k_per_group(deliveries, ["webhook_id"], [F.col("created_at").desc(), F.col("id").desc()], lookback)
+    # The newest other delivery per webhook is an aggregate; what is newer is counted against it.
+    at = F.struct("created_at", "id")
+    other = last.filter(F.col("status") != "dropped").groupBy("webhook_id").agg(F.max(at).alias("__other"))
+    newer = last.join(other, "webhook_id", "left").withColumn("__newer", F.col("__other").isNull() | (at > F.col("__other")))
+    return newer.groupBy("webhook_id").agg(F.count_if("__newer").alias("streak"))

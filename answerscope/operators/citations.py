@@ -1,5 +1,5 @@
-"""Citation metrics. Citations are summed per (run, domain, type) before they meet the runs,
-so repeated citations of one run never travel as single rows."""
+"""Citation metrics. Citations meet the runs of the window first and are summed once, by what the metric asks for,
+so the history outside the window is never aggregated."""
 
 from __future__ import annotations
 
@@ -7,16 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordering import rank_by_total, top_k_per_group, top_n
+from ..functions.ordering import at_least_one, rank_by_total, top_k_per_group, top_n
 from .visibility import base_runs
 
 
 def run_domains(citations: DataFrame) -> DataFrame:
-    """(run, domain, source type) with summed frequency and row count."""
-    return citations.groupBy("run_id", "domain", "source_type").agg(
-        F.sum("frequency").alias("frequency"), F.count("*").alias("rows"),
-        F.sum(F.greatest(F.col("frequency"), F.lit(1))).alias("weight"),
-    )
+    """(run, domain, source type) rows with what the metrics sum: frequency, rows and a weight of at least 1."""
+    weight = F.greatest(F.col("frequency"), F.lit(1)).alias("weight")
+    return citations.select("run_id", "domain", "source_type", "frequency", F.lit(1).cast("long").alias("rows"), weight)
 
 
 def in_window(citations: DataFrame, window_runs: DataFrame) -> DataFrame:
@@ -36,7 +34,7 @@ def citation_summary(
     runs, prompts, citations, as_of, days: int, limit: int | None = 50, null_is_value: bool = True,
     provider: str | None = None, prompt: str | None = None,
 ) -> DataFrame:
-    """Frequency and modal source type per domain; the top `limit` (1..500) per project, None for all.
+    """Frequency and modal source type per domain; the top `limit` per project, None for all.
 
     Not filtered by status. The mode counts rows, ties go to the type's name with NULL last.
     """
@@ -54,7 +52,7 @@ def citation_summary(
     if limit is None:
         return out
     order = [F.col("frequency").desc(), F.col("domain")]
-    return top_k_per_group(out, ["project_id"], order, min(max(limit, 1), 500)).drop("rn")
+    return top_k_per_group(out, ["project_id"], order, at_least_one(limit)).drop("rn")
 
 
 def sample_runs(runs, prompts, citations, as_of, days: int, k: int = 5) -> DataFrame:
@@ -117,7 +115,7 @@ def citation_trend(runs, prompts, citations, as_of, hours: int, limit: int) -> D
     return hourly.join(top.select("project_id", "domain"), ["project_id", "domain"], "left_semi")
 
 
-def citation_graph(runs, prompts, citations, as_of, days: int, max_edges: int | None = 5000) -> tuple[DataFrame, DataFrame]:
+def citation_graph(runs, prompts, citations, as_of, days: int, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges provider -> domain weighted by frequency (a row counts at least 1), and their end points."""
     base = _base(runs, prompts, citations, as_of, days, status="ok")
     edges = base.groupBy("project_id", F.col("provider_identity").alias("source"), F.col("domain").alias("target")).agg(

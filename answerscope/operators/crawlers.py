@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordering import top_n
+from ..functions.ordering import top_k_per_group
 
 
 def verify_ips(hits: DataFrame, ranges: DataFrame, bot: str = "bot_id", ip: str = "client_ip") -> DataFrame:
@@ -49,38 +49,39 @@ def crawler_bots(events, as_of, days: int, include_unverified: bool = False) ->
 
 
 def _paths(events, as_of, days, include_unverified) -> DataFrame:
-    return _window(events, as_of, days, include_unverified).groupBy("path").agg(
+    return _window(events, as_of, days, include_unverified).groupBy("project_id", "path").agg(
         F.count("*").alias("hits"), F.count_if(F.col("status") >= 400).alias("error_hits")
     )
 
 
 def crawler_paths(events, as_of, days: int, include_unverified: bool = False, limit: int = 20) -> DataFrame:
-    """Top paths by hits, then name."""
-    return top_n(_paths(events, as_of, days, include_unverified), "hits", limit, ["path"])
+    """Each project's top paths by hits, then name."""
+    paths = _paths(events, as_of, days, include_unverified)
+    return top_k_per_group(paths, ["project_id"], [F.col("hits").desc(), F.col("path")], limit).drop("rn")
 
 
 def crawler_error_paths(events, as_of, days: int, include_unverified: bool = False, limit: int = 20) -> DataFrame:
-    """Top paths by errors, then hits, then name."""
+    """Each project's top paths by errors, then hits, then name."""
     bad = _paths(events, as_of, days, include_unverified).filter(F.col("error_hits") > 0)
-    return bad.orderBy(F.col("error_hits").desc(), F.col("hits").desc(), "path").limit(limit)
+    return top_k_per_group(bad, ["project_id"], [F.col("error_hits").desc(), F.col("hits").desc(), F.col("path")], limit).drop("rn")
 
 
 def crawler_trend(events, as_of, days: int, include_unverified: bool = False) -> DataFrame:
-    """Hits per UTC day, also as an epoch-millisecond point."""
-    daily = _window(events, as_of, days, include_unverified).groupBy(S.day(F.col("ts")).alias("day")).agg(F.count("*").alias("hits"))
+    """Hits per project and UTC day, also as an epoch-millisecond point."""
+    daily = _window(events, as_of, days, include_unverified).groupBy("project_id", S.day(F.col("ts")).alias("day")).agg(F.count("*").alias("hits"))
     return daily.withColumn("epoch_ms", F.unix_millis(F.col("day").cast("timestamp")))
 
 
 def crawl_refer_ratio(events, as_of, days: int, referrals: DataFrame | None = None) -> DataFrame:
-    """Verified crawl hits per bot against attributed referrals; `crawls_only` without a referral table."""
-    crawls = _window(events, as_of, days, False).groupBy("bot_id").agg(F.count("*").alias("verified_crawl_hits"))
+    """Verified crawl hits per project and bot against attributed referrals; `crawls_only` without a referral table."""
+    crawls = _window(events, as_of, days, False).groupBy("project_id", "bot_id").agg(F.count("*").alias("verified_crawl_hits"))
     if referrals is None:
         return crawls.withColumns(
             {"attributed_referrals": F.lit(0).cast("long"), "ratio": F.lit(None).cast("double"), "state": F.lit("crawls_only")}
         )
-    refs = S.window_filter(referrals, as_of, days, col="ts").groupBy("bot_id").agg(F.count("*").alias("n"))
-    return crawls.join(refs, "bot_id", "left").select(
-        "bot_id", "verified_crawl_hits", F.coalesce("n", F.lit(0)).alias("attributed_referrals"),
+    refs = S.window_filter(referrals, as_of, days, col="ts").groupBy("project_id", "bot_id").agg(F.count("*").alias("n"))
+    return crawls.join(refs, ["project_id", "bot_id"], "left").select(
+        "project_id", "bot_id", "verified_crawl_hits", F.coalesce("n", F.lit(0)).alias("attributed_referrals"),
         S.safe_rate(F.coalesce("n", F.lit(0)), F.col("verified_crawl_hits"), None).alias("ratio"),
         F.lit("attributed").alias("state"),
     )

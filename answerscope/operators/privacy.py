@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.ordering import at_least_one
 
 
 def hmac_sha256(message: Column, key: bytes) -> Column:
@@ -42,11 +43,13 @@ def erase_subject(audit: DataFrame, org_id: str, actor: str) -> tuple[DataFrame,
     return out, audit.agg(F.count_if(hit).alias("audit_rows_tombstoned"))
 
 
-def export_subject(audit: DataFrame, org_id: str, actor: str, limit: int = 1000) -> DataFrame:
-    """The actor's events in the org, newest first, with the row as JSON."""
+def export_subject(audit: DataFrame, org_id: str, actor: str, limit: int | None = None) -> DataFrame:
+    """All of the actor's events in the org, with the row as JSON; with a limit the newest ones."""
     mine = S.org_scope(audit, org_id).filter(F.col("actor_login") == actor)
     cols = ["id", "ts", "actor_login", "action", "target"]
-    return mine.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(min(max(limit, 1), 1000)).select(*cols, F.to_json(F.struct(*cols)).alias("record"))
+    if limit is not None:
+        mine = mine.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(at_least_one(limit))
+    return mine.select(*cols, F.to_json(F.struct(*cols)).alias("record"))
 
 
 def erase_domain(domain: str, entities, attempts, disputes, contributions) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:

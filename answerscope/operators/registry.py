@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as S
 from ..functions.asof import as_of_join
-from ..functions.ordering import latest_by, page, running_total, top_n
+from ..functions.ordering import latest_by, page, running_total, top_k_per_group, top_n
 
 
 def resolve_tokens(tokens: DataFrame, attempts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -43,13 +43,13 @@ def search_entities(entities, claim_status=None, method=None, domain: str | None
     return page(rows, [F.col("created_at").desc(), F.col("domain")], limit, offset)
 
 
-def audit_range(events, org_id, start, end, action_prefix=None, action=None, actor=None, limit: int = 1000) -> DataFrame:
-    """One org's audit trail between two times, oldest first, at most 1000 rows; no org means none."""
+def audit_range(events, org_id, start, end, action_prefix=None, action=None, actor=None, limit: int | None = None) -> DataFrame:
+    """One org's audit trail between two times, with a limit the oldest rows; no org means none."""
     rows = S.org_scope(events, org_id).filter(F.col("ts").between(S.as_ts(start), S.as_ts(end)))
     rows = S.opt_eq(S.opt_eq(rows, "action", action), "actor_login", actor)
     if action_prefix is not None:
         rows = rows.filter(F.col("action").startswith(action_prefix))
-    return rows.orderBy("ts", "id").limit(min(max(limit, 1), 1000))
+    return rows if limit is None else page(rows, [F.col("ts"), F.col("id")], limit)
 
 
 def consent_records(consent, tier=None, project_id=None, event=None, start=None, end=None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -106,9 +106,9 @@ def facts_at(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def claims_summary(claims, facts, as_of, days: int, limit: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Newest claims of the window, and per project: claims, facts, verdicts by status."""
+    """Each project's newest claims of the window, and per project: claims, facts, verdicts by status."""
     recent = S.window_filter(claims, as_of, days, col="created_at")
-    newest = recent.orderBy(F.col("created_at").desc(), F.col("claim_id").desc()).limit(limit)
+    newest = top_k_per_group(recent, ["project_id"], [F.col("created_at").desc(), F.col("claim_id").desc()], limit).drop("rn")
     verdict = F.col("verdict")
     sums = recent.groupBy("project_id").agg(
         F.count("*").alias("claims"), F.count_if(verdict == "supported").alias("supported"),

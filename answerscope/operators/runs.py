@@ -12,17 +12,17 @@ from ..functions.ordering import exact_percentiles, page
 from .visibility import base_runs
 
 
-def list_runs(runs, prompts, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Recent runs, newest first; limit clamped to 1..500."""
+def list_runs(runs, prompts, limit: int = 50, offset: int = 0, project_id=None) -> DataFrame:
+    """Recent runs of one project (or all), newest first."""
     cols = ["run_id", "prompt_id", "prompt", "project_id", "provider_identity", "started_at", "finished_at", "status"]
-    return page(base_runs(runs, prompts).select(*cols), [F.col("started_at").desc(), F.col("run_id")], limit, offset)
+    return page(base_runs(runs, S.opt_eq(prompts, "project_id", project_id)).select(*cols), [F.col("started_at").desc(), F.col("run_id")], limit, offset)
 
 
 def run_detail(run_ids: DataFrame, runs, mentions, citations, provenance) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Mentions, citations, provenance steps (oldest first) and raw response of the given runs, tagged with provider."""
+    """Mentions, citations, provenance steps and raw response of the given runs, tagged with provider."""
     tags = runs.join(run_ids.select("run_id"), "run_id", "left_semi")
     tag = S.with_provider_identity(tags).select("run_id", "provider_identity")
-    steps = provenance.join(tag, "run_id").orderBy("run_id", "step_at", "step")
+    steps = provenance.join(tag, "run_id")
     raw = tags.join(tag, "run_id").select("run_id", "provider_identity", "raw_response")
     return mentions.join(tag, "run_id"), citations.join(tag, "run_id"), steps, raw
 
@@ -48,13 +48,13 @@ def _run_stats() -> list:
 
 
 def run_summary(runs, prompts, since) -> DataFrame:
-    """Per prompt: runs, last run, success rate, mean latency, providers. Prompts without runs stay.
+    """Per prompt: runs, last run, success rate, mean latency, providers as they were asked for. Prompts without runs stay.
 
     Runs are aggregated first; the left join then moves one row per prompt.
     """
     recent = runs.filter(F.col("started_at") >= S.as_ts(since))
     ok = F.col("status") == "ok"
-    agg = S.with_provider_identity(recent).withColumn("provider", F.col("provider_identity")).groupBy("prompt_id").agg(
+    agg = recent.groupBy("prompt_id").agg(
         *_run_stats(),
         F.max("started_at").alias("last_run_at"),
         F.avg(F.when(ok, S.latency_ms(F.col("started_at"), F.col("finished_at")))).alias("avg_latency_ms"),
@@ -74,9 +74,9 @@ def runs_by_tag(prompts: DataFrame, runs: DataFrame, since) -> DataFrame:
 
 def tag_summary(runs, prompts, since) -> DataFrame:
     """Per tag: prompts, runs, success rate and providers, from per-prompt sums rather than exploded runs."""
-    recent = S.with_provider_identity(runs.filter(F.col("started_at") >= S.as_ts(since)))
+    recent = runs.filter(F.col("started_at") >= S.as_ts(since))
     per_prompt = recent.groupBy("prompt_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.collect_set("provider_identity").alias("p")
+        F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"), F.collect_set("provider").alias("p")
     )
     tags = prompts.select("project_id", "prompt_id", F.explode("tags").alias("tag")).distinct()
     joined = tags.join(per_prompt, "prompt_id", "left")
@@ -128,14 +128,15 @@ def status_throughput(df: DataFrame, as_of, hours: int, statuses: list[str], col
 
 
 def freshness(schedules: DataFrame, ticks: DataFrame, projects: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Last tick and its status per schedule; seconds since the last tick per project, NULL if never."""
+    """Last tick and its status per schedule; seconds since the last tick per project, NULL if never. Archived projects are left out."""
     last = ticks.groupBy("schedule_id").agg(
         F.max("tick_ts").alias("last_tick_at"), F.max_by("status", F.struct("tick_ts", "status")).alias("last_tick_status")
     )
     by_schedule = schedules.select("schedule_id", "project_id").join(last, "schedule_id", "left")
     newest = by_schedule.groupBy("project_id").agg(F.max("last_tick_at").alias("last_tick_at"))
     age = (F.unix_micros(S.as_ts(as_of)) - F.unix_micros("last_tick_at")) / 1_000_000
-    ages = projects.select("project_id").join(newest, "project_id", "left").select(
+    live = projects.filter("archived_at IS NULL") if "archived_at" in projects.columns else projects
+    ages = live.select("project_id").join(newest, "project_id", "left").select(
         "project_id", F.floor(age).cast("long").alias("last_run_age_s")
     )
     return by_schedule, ages

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.ordering import at_least_one
 
 SLOTS = 128
 AUTO_MERGE, REVIEW = 90, 60
@@ -72,12 +73,12 @@ def similar_to(
     index: DataFrame, text: str | DataFrame, threshold: float = 0.6, limit: int = 10, name: str = "name",
     text_col: str = "text", exact: bool = False,
 ) -> DataFrame:
-    """Indexed texts similar to one text: estimate (or exact Jaccard) >= threshold, best `limit` (1..50).
+    """Indexed texts similar to one text: estimate (or exact Jaccard) >= threshold, best `limit`.
 
     One scan of the index; the query text is a literal or a one-row frame with a `text` column, read
     as a scalar subquery. Texts without words match nothing.
     """
-    limit = min(max(limit, 1), 50)
+    limit = at_least_one(limit)
     spark = index.sparkSession
     query = spark.createDataFrame([(text,)], "text string") if isinstance(text, str) else text.select("text")
     if exact:

@@ -50,7 +50,7 @@ def _(v):
 def _feed(fields: str) -> str:
     return f"""WITH one AS (SELECT * FROM anomaly_events WHERE created_at >= TIMESTAMP '2024-01-17' AND event_kind IN ('visibility.anomaly', 'citation.anomaly')
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY created_at DESC, delivery_id DESC) = 1), x AS (SELECT *, CASE WHEN field IN ({fields}) THEN v ELSE 0 END::DOUBLE AS delta FROM one)
-  SELECT event_id, CASE event_kind WHEN 'visibility.anomaly' THEN 'visibility_drop' ELSE 'citation_loss' END AS kind, prompt, provider, {t('created_at')} AS detected_at, {r('delta')} AS delta,
+  SELECT event_id, project_id, CASE event_kind WHEN 'visibility.anomaly' THEN 'visibility_drop' ELSE 'citation_loss' END AS kind, prompt, provider, {t('created_at')} AS detected_at, {r('delta')} AS delta,
   CASE WHEN abs(delta) >= 4 THEN 'high' WHEN abs(delta) >= 2.5 THEN 'medium' ELSE 'low' END AS severity FROM x"""
 
 
@@ -65,7 +65,7 @@ def _(v):
 
 
 @query("failure_streaks", "W-6", sql("""WITH n AS (SELECT webhook_id, status, row_number() OVER (PARTITION BY webhook_id ORDER BY created_at DESC, id DESC) AS rn FROM deliveries)
-  SELECT webhook_id, coalesce(min(rn) FILTER (WHERE status <> 'dropped') - 1, count(*)) AS streak FROM n WHERE rn <= 50 GROUP BY 1""", "deliveries"))
+  SELECT webhook_id, coalesce(min(rn) FILTER (WHERE status <> 'dropped') - 1, count(*)) AS streak FROM n GROUP BY 1""", "deliveries"))
 def _(v):
     return A.failure_streak(v.deliveries)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -9,6 +11,7 @@ from ..operators import audit as A
 from ..operators import constraints as K
 from ..operators import privacy as P
 from ..operators import registry as G
+from ..session import checkpoint_root
 from ..sources import bundles, sinks
 from .catalog import query, r, t
 from .views import AS_OF, sql
@@ -21,18 +24,12 @@ def _(v):
     return S.org_scope(v.runs, "org-1").select("run_id", "org_id")
 
 
-@query("no_org_no_rows", "P-7", sql("SELECT run_id, org_id FROM runs WHERE false", "runs"))
-def _(v):
-    return S.org_scope(v.runs, None).select("run_id", "org_id")
-
-
 @query("filtered_runs", "P-4", sql("SELECT run_id, provider FROM runs WHERE provider IN ('openai', 'gemini')", "runs"))
 def _(v):
     return S.opt_in(S.opt_eq(S.opt_in(v.runs, "status", []), "model", None), "provider", ["openai", "gemini"]).select("run_id", "provider")
 
 
-@query("audit_trail", "P-12", sql(f"""SELECT id, {t('ts')} AS ts, actor_login, action FROM audit_log WHERE org_id = 'org-1' AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-01-01' AND action LIKE 'org.%'
-  ORDER BY audit_log.ts, id LIMIT 1000""", "audit_log"))
+@query("audit_trail", "P-12", sql(f"""SELECT id, {t('ts')} AS ts, actor_login, action FROM audit_log WHERE org_id = 'org-1' AND ts BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-01-01' AND action LIKE 'org.%'""", "audit_log"))
 def _(v):
     return G.audit_range(v.audit_log, "org-1", "1995-01-01", "1998-01-01", action_prefix="org.").select("id", "ts", "actor_login", "action")
 
@@ -127,7 +124,7 @@ def _(v):
     return G.claims_summary(v.claims, v.facts, AS_OF, 7)[1]
 
 
-@query("newest_claims", "A-44", sql(f"SELECT claim_id, project_id, {t('created_at')} AS created_at FROM claims WHERE created_at >= TIMESTAMP '2024-01-24' ORDER BY claims.created_at DESC, claim_id DESC LIMIT 50", "claims"))
+@query("newest_claims", "A-44", sql(f"SELECT claim_id, project_id, {t('created_at')} AS created_at FROM claims WHERE created_at >= TIMESTAMP '2024-01-24' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY claims.created_at DESC, claim_id DESC) <= 50", "claims"))
 def _(v):
     return G.claims_summary(v.claims, v.facts, AS_OF, 7)[0].select("claim_id", "project_id", "created_at")
 
@@ -176,7 +173,7 @@ def _(v):
     return P.erase_subject(v.audit_log, "org-1", "u5@x.org")[1]
 
 
-@query("subject_export", "E-2", sql(f"SELECT id, {t('ts')} AS ts, actor_login, action, target FROM audit_log WHERE org_id = 'org-1' AND actor_login = 'u5@x.org' ORDER BY audit_log.ts DESC, id DESC LIMIT 1000", "audit_log"))
+@query("subject_export", "E-2", sql(f"SELECT id, {t('ts')} AS ts, actor_login, action, target FROM audit_log WHERE org_id = 'org-1' AND actor_login = 'u5@x.org'", "audit_log"))
 def _(v):
     return P.export_subject(v.audit_log, "org-1", "u5@x.org").drop("record")
 
@@ -274,6 +271,16 @@ def _(v):
     return bundles.import_bundle(bundle, *kept)[3]
 
 
+@query("export_rerun_rows", "S-10 S-11", sql("SELECT domain, sum(frequency)::BIGINT AS total FROM citations GROUP BY 1 HAVING sum(frequency) % 2 = 0", "citations"))
+def _(v):
+    """What a reader sees after an export that was interrupted and resumed, and then a second one with half the rows."""
+    totals = v.citations.groupBy("domain").agg(F.sum("frequency").alias("total"))
+    path = f"{checkpoint_root(v.spark)}/export-{uuid.uuid4().hex}"
+    for rows, stop in ((totals, 3), (totals, None), (totals.filter("total % 2 = 0"), None)):
+        sinks.export_metrics_batched(rows, ["domain"], f"{path}/rows", f"{path}/state", "totals", batch_size=20, stop_after=stop)
+    return v.spark.read.schema("domain STRING, total BIGINT").parquet(f"{path}/rows").select("domain", "total")
+
+
 @query("export_batches", "S-11")
 def _(v):
     return sinks.batch_of(v.citations.groupBy("domain").agg(F.sum("frequency").alias("total")), ["domain"], 8).groupBy("batch_id").agg(F.count("*").alias("rows"))

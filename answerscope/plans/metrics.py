@@ -8,6 +8,7 @@ from ..functions import ordering as O
 from ..functions import scalars as S
 from ..operators import brands as B
 from ..operators import citations as C
+from ..operators import recommend as RC
 from ..operators import runs as R
 from ..operators import visibility as V
 from .catalog import d, lst, query, r, t
@@ -76,7 +77,7 @@ def _(v):
 _SUMMARY = f"""summary AS (SELECT p.prompt_id, p.project_id, p.name, count(r.run_id) AS run_count, max(r.started_at) AS last_run_at,
   CASE WHEN count(r.run_id) > 0 THEN count(*) FILTER (WHERE r.status = 'ok')::DOUBLE / count(r.run_id) END AS success_rate,
   avg(date_diff('microsecond', r.started_at, r.finished_at) / 1000.0) FILTER (WHERE r.status = 'ok') AS avg_latency_ms,
-  list_sort(list_distinct(list(r.provider_identity) FILTER (WHERE r.run_id IS NOT NULL))) AS providers
+  list_sort(list_distinct(list(r.provider) FILTER (WHERE r.run_id IS NOT NULL))) AS providers
   FROM prompts p LEFT JOIN (SELECT * FROM base WHERE {_W}) r ON r.prompt_id = p.prompt_id GROUP BY ALL)"""
 
 
@@ -124,9 +125,9 @@ def _(v):
 
 
 @query("recent_runs", "P-6 J-1", sql(f"""SELECT run_id, prompt_id, prompt, project_id, provider_identity, {t('started_at')} AS started_at, {t('finished_at')} AS finished_at, status
-  FROM base ORDER BY base.started_at DESC, run_id LIMIT 200 OFFSET 10""", "base"))
+  FROM base WHERE project_id = 1 ORDER BY base.started_at DESC, run_id LIMIT 200 OFFSET 10""", "base"))
 def _(v):
-    return R.list_runs(v.runs, v.prompts, 200, 10)
+    return R.list_runs(v.runs, v.prompts, 200, 10, project_id=1)
 
 
 @query("kpi_trend", "A-12 F-7", sql(f"""SELECT project_id, {t("date_trunc('hour', started_at)")} AS bucket, count(*) AS runs, {r("count(*) FILTER (WHERE status = 'ok')::DOUBLE / count(*)")} AS success_rate,
@@ -139,7 +140,7 @@ def _(v):
 @query("tag_summary", "A-14 J-5 F-16", sql(f"""WITH x AS (SELECT project_id, unnest(tags) AS tag, prompt_id FROM prompts)
   SELECT x.project_id, tag, count(DISTINCT x.prompt_id) AS prompt_count, count(b.run_id) AS run_count,
   {r("CASE WHEN count(b.run_id) > 0 THEN count(*) FILTER (WHERE b.status = 'ok')::DOUBLE / count(b.run_id) END")} AS success_rate,
-  coalesce({lst('list_sort(list_distinct(list(b.provider_identity) FILTER (WHERE b.run_id IS NOT NULL)))')}, '') AS providers
+  coalesce({lst('list_sort(list_distinct(list(b.provider) FILTER (WHERE b.run_id IS NOT NULL)))')}, '') AS providers
   FROM x LEFT JOIN (SELECT * FROM base WHERE {_W}) b ON b.prompt_id = x.prompt_id GROUP BY ALL""", "base"))
 def _(v):
     return R.tag_summary(v.runs, v.prompts, "2024-01-17 00:00:00")
@@ -217,7 +218,7 @@ def _(v):
 
 
 @query("project_freshness", "A-46", sql("""SELECT p.project_id, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00' - max(k.tick_ts)) AS BIGINT) AS last_run_age_s FROM projects p
-  LEFT JOIN schedules s ON s.project_id = p.project_id LEFT JOIN ticks k ON k.schedule_id = s.schedule_id GROUP BY 1""", "projects", "schedules", "ticks"))
+  LEFT JOIN schedules s ON s.project_id = p.project_id LEFT JOIN ticks k ON k.schedule_id = s.schedule_id WHERE p.archived_at IS NULL GROUP BY 1""", "projects", "schedules", "ticks"))
 def _(v):
     return R.freshness(v.schedules, v.ticks, v.projects, AS_OF)[1]
 
@@ -490,10 +491,10 @@ def _(v):
     return top.select("prompt_id", "run_id", "rn", "truncated")
 
 
-@query("recommendation_page", "K-4", sql(f"""SELECT rec_id, kind, {t('generated_at')} AS generated_at FROM recommendations WHERE (recommendations.generated_at, rec_id) < (TIMESTAMP '2000-01-01 00:00:00', 100)
+@query("recommendation_page", "K-4", sql(f"""SELECT rec_id, kind, {t('generated_at')} AS generated_at FROM recommendations WHERE project_id = 1 AND state NOT IN ('dismissed', 'measured', 'stale') AND (recommendations.generated_at, rec_id) < (TIMESTAMP '2000-01-01 00:00:00', 100)
   ORDER BY recommendations.generated_at DESC, rec_id DESC LIMIT 50""", "recommendations"))
 def _(v):
-    return O.page_after(v.recommendations.select("rec_id", "kind", "generated_at"), {"generated_at": "2000-01-01 00:00:00", "rec_id": 100}, 50)
+    return RC.active_page(v.recommendations, 1, {"generated_at": "2000-01-01 00:00:00", "rec_id": 100}, 50).select("rec_id", "kind", "generated_at")
 
 
 @query("due_deliveries", "K-5", sql(f"""SELECT id, webhook_id, {t('next_attempt_at')} AS next_attempt_at FROM deliveries WHERE status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '2024-01-15 00:00:00')

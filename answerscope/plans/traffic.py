@@ -100,31 +100,32 @@ def _(v):
     return W.crawler_bots(v.crawler_events, AS_OF, 14, include_unverified=True)
 
 
-@query("crawler_paths", "A-23 K-1", sql(f"SELECT clean_path AS path, count(*) AS hits, count(*) FILTER (WHERE status >= 400) AS error_hits {_CE} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "crawler_events"))
+@query("crawler_paths", "A-23 K-1", sql(f"""SELECT project_id, clean_path AS path, count(*) AS hits, count(*) FILTER (WHERE status >= 400) AS error_hits {_CE} GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, clean_path) <= 20""", "crawler_events"))
 def _(v):
     return W.crawler_paths(v.crawler_events, AS_OF, 14)
 
 
-@query("crawler_error_paths", "A-23 K-1", sql(f"""SELECT clean_path AS path, count(*) AS hits, count(*) FILTER (WHERE status >= 400) AS error_hits {_CE} GROUP BY 1 HAVING count(*) FILTER (WHERE status >= 400) > 0
-  ORDER BY 3 DESC, 2 DESC, 1 LIMIT 20""", "crawler_events"))
+@query("crawler_error_paths", "A-23 K-1", sql(f"""SELECT project_id, clean_path AS path, count(*) AS hits, count(*) FILTER (WHERE status >= 400) AS error_hits {_CE} GROUP BY 1, 2 HAVING count(*) FILTER (WHERE status >= 400) > 0
+  QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY count(*) FILTER (WHERE status >= 400) DESC, count(*) DESC, clean_path) <= 20""", "crawler_events"))
 def _(v):
     return W.crawler_error_paths(v.crawler_events, AS_OF, 14)
 
 
-@query("crawler_trend", "A-23", sql(f"SELECT {d('ts')} AS day, count(*) AS hits, epoch_ms(CAST(date_trunc('day', min(ts)) AS TIMESTAMP)) AS epoch_ms {_CE} GROUP BY 1", "crawler_events"))
+@query("crawler_trend", "A-23", sql(f"SELECT project_id, {d('ts')} AS day, count(*) AS hits, epoch_ms(CAST(date_trunc('day', min(ts)) AS TIMESTAMP)) AS epoch_ms {_CE} GROUP BY 1, 2", "crawler_events"))
 def _(v):
     return W.crawler_trend(v.crawler_events, AS_OF, 14)
 
 
-@query("crawls_only", "A-24", sql(f"SELECT bot_id, count(*) AS verified_crawl_hits, 0 AS attributed_referrals, CAST(NULL AS DOUBLE) AS ratio, 'crawls_only' AS state {_CE} GROUP BY 1", "crawler_events"))
+@query("crawls_only", "A-24", sql(f"SELECT project_id, bot_id, count(*) AS verified_crawl_hits, 0 AS attributed_referrals, CAST(NULL AS DOUBLE) AS ratio, 'crawls_only' AS state {_CE} GROUP BY 1, 2", "crawler_events"))
 def _(v):
     return W.crawl_refer_ratio(v.crawler_events, AS_OF, 14)
 
 
-@query("crawl_refer_ratio", "A-24", sql(f"""WITH c AS (SELECT bot_id, count(*) AS n {_CE} GROUP BY 1), f AS (SELECT bot_id, count(*) AS n FROM crawler_events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00' AND status = 200 GROUP BY 1)
-  SELECT bot_id, c.n AS verified_crawl_hits, coalesce(f.n, 0) AS attributed_referrals, {r('coalesce(f.n, 0)::DOUBLE / c.n')} AS ratio, 'attributed' AS state FROM c LEFT JOIN f USING (bot_id)""", "crawler_events"))
+@query("crawl_refer_ratio", "A-24", sql(f"""WITH c AS (SELECT project_id, bot_id, count(*) AS n {_CE} GROUP BY 1, 2), f AS (SELECT project_id, bot_id, count(*) AS n FROM crawler_events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00' AND status = 200 GROUP BY 1, 2)
+  SELECT project_id, bot_id, c.n AS verified_crawl_hits, coalesce(f.n, 0) AS attributed_referrals, {r('coalesce(f.n, 0)::DOUBLE / c.n')} AS ratio, 'attributed' AS state FROM c LEFT JOIN f USING (project_id, bot_id)""", "crawler_events"))
 def _(v):
-    return W.crawl_refer_ratio(v.crawler_events, AS_OF, 14, v.crawler_events.filter(F.col("status") == 200).select("bot_id", "ts"))
+    return W.crawl_refer_ratio(v.crawler_events, AS_OF, 14, v.crawler_events.filter(F.col("status") == 200).select("project_id", "bot_id", "ts"))
 
 
 @query("crawler_constraints", "P-10", sql("SELECT 'status_range' AS rule, count(*) FILTER (WHERE status NOT BETWEEN 100 AND 599) AS violations FROM crawler_events UNION ALL SELECT 'one_ip_shape', 0", "crawler_events"))

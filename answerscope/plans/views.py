@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.logs import load_bot_ranges
-from ..sources.tables import load_table, spread
+from ..sources.tables import load_table
 
 AS_OF = "2024-01-31 00:00:00"
 OPEN_DAY = "2024-01-30 12:00:00"
-TEXTS = {"documents", "pages", "conversations"}
 BRANDS = ["brand0", "brand1", "brand2", "brand3"]
 
 
@@ -33,8 +32,7 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        df = load_table(self.spark, self.folder, name)
-        return spread(df) if name in TEXTS else df
+        return load_table(self.spark, self.folder, name)
 
     @cached_property
     def prompts(self) -> DataFrame:
@@ -49,6 +47,7 @@ class Views:
         return self.prompts.select("project_id").distinct().select(
             "project_id", F.concat(F.lit("project-"), F.col("project_id").cast("string")).alias("name"),
             F.concat(F.lit("org-"), (F.col("project_id") % 2).cast("string")).alias("org_id"),
+            F.when(F.col("project_id") == 2, F.lit("2024-01-10").cast("timestamp")).alias("archived_at"),
         )
 
     @cached_property
@@ -374,7 +373,7 @@ class Views:
             ((e % 12) - 6).cast("string"), F.lit("}}"),
         )
         return self.table("events").select(
-            F.floor(e / 2).cast("long").alias("event_id"), e.alias("delivery_id"),
+            F.floor(e / 2).cast("long").alias("event_id"), e.alias("delivery_id"), (F.floor(e / 2) % 3).cast("long").alias("project_id"),
             F.when(e % 4 < 2, "visibility.anomaly").when(e % 12 < 10, "citation.anomaly").otherwise("run.finished").alias("event_kind"),
             payload.alias("payload"), F.col("ts").cast("timestamp").alias("created_at"),
         )
@@ -489,7 +488,7 @@ def _secs(expr: str) -> str:
 
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "prompts": ((), "SELECT p_partkey AS prompt_id, p_partkey % 3 AS project_id, 'prompt-' || p_partkey AS name, p_name AS text, [p_type, p_brand] AS tags FROM part"),
-    "projects": (("prompts",), "SELECT DISTINCT project_id, 'project-' || project_id AS name, 'org-' || (project_id % 2) AS org_id FROM prompts"),
+    "projects": (("prompts",), "SELECT DISTINCT project_id, 'project-' || project_id AS name, 'org-' || (project_id % 2) AS org_id, CASE WHEN project_id = 2 THEN TIMESTAMP '2024-01-10' END AS archived_at FROM prompts"),
     "runs": ((), f"""SELECT event_id AS run_id, user_id AS prompt_id, {case('event_id', 'openai', 'anthropic', 'gemini', 'openrouter')} AS provider,
         'vendor/m' || (event_id % 3) AS model, ts AS started_at,
         CASE WHEN event_id % 11 <> 0 THEN ts + to_microseconds(CAST(round(value * 1000) AS BIGINT)) END AS finished_at,
@@ -574,7 +573,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "manual_runs": ((), "SELECT user_id AS schedule_id, ts AS run_at FROM events"),
     "deliveries": ((), """SELECT event_id AS id, user_id AS webhook_id, CASE WHEN event_type IN ('error', 'view', 'click') THEN 'dropped' WHEN event_id % 4 = 0 THEN 'pending' ELSE 'delivered' END AS status,
         ts AS created_at, CASE WHEN event_id % 3 > 0 THEN ts END AS next_attempt_at FROM events"""),
-    "anomaly_events": ((), f"""SELECT event_id // 2 AS event_id, event_id AS delivery_id, CASE WHEN event_id % 4 < 2 THEN 'visibility.anomaly' WHEN event_id % 12 < 10 THEN 'citation.anomaly' ELSE 'run.finished' END AS event_kind,
+    "anomaly_events": ((), f"""SELECT event_id // 2 AS event_id, event_id AS delivery_id, event_id // 2 % 3 AS project_id, CASE WHEN event_id % 4 < 2 THEN 'visibility.anomaly' WHEN event_id % 12 < 10 THEN 'citation.anomaly' ELSE 'run.finished' END AS event_kind,
         {case('event_id', 'openai', 'gemini')} AS provider, 'p' || user_id AS prompt, {case('event_id', 'z', 'delta', 'novel_count', 'frequency', 'other')} AS field, event_id % 12 - 6 AS v, ts AS created_at FROM events"""),
     "provenance": ((), f"""SELECT l_orderkey * 2 // 3 AS run_id, {case('l_linenumber', 'call', 'parse', 'extract', 'persist')} AS step, {case('l_partkey', 'ok', 'ok', 'ok', 'error', 'skipped')} AS status,
         l_shipdate AS step_at FROM lineitem"""),

@@ -11,10 +11,6 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.ordering import latest_by
 
 
-MAX_BATCHES = 1000
-MAX_COMMITS = 10
-
-
 def append_new(new: DataFrame, existing: DataFrame | None, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Rows to append: first per key by `order`, keys already stored left out. Its count is the inserted count."""
     keys = list(keys)
@@ -31,14 +27,22 @@ def _replace(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def export_metrics(points: DataFrame, totals: DataFrame, path: str) -> None:
+def export_metrics(points: DataFrame, totals: DataFrame, path: str, projects: DataFrame | None = None) -> None:
     """Per-project replace of visibility points and citation totals, sorted for the columnar tier.
 
-    Rows of a project are spread over files by a hash, so a hot project is not one writer.
+    Rows of a project are spread over files by a hash, so a hot project is not one writer. `projects` (project_id) says
+    which projects the load covers: one of them without rows in this load loses the rows it had.
     """
     for name, df, key in (("visibility_points", points, "prompt_id"), ("citation_totals", totals, "domain")):
         spread = df.repartition("project_id", F.pmod(F.xxhash64(key), F.lit(64)))
         _replace(spread.sortWithinPartitions("project_id", key), f"{path}/{name}", ["project_id"])
+        if projects is not None:
+            stored = read_table(df.sparkSession, f"{path}/{name}")
+            covered = projects.select("project_id").distinct()
+            gone = covered.join(df.select("project_id").distinct(), "project_id", "left_anti").join(stored.select("project_id").distinct(), "project_id", "left_semi")
+            # One write of no rows per project that vanished since the last load.
+            for row in gone.toLocalIterator():
+                df.drop("project_id").limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{name}/project_id={row[0]}")
 
 
 def read_table(spark, path: str) -> DataFrame | None:
@@ -53,44 +57,49 @@ def batch_of(df: DataFrame, keys: Sequence[str], batches: int) -> DataFrame:
     return df.withColumn("batch_id", (F.pmod(F.xxhash64(*keys), F.lit(batches)) + 1).cast("int"))
 
 
+def _version(df: DataFrame) -> tuple[int, str]:
+    """Row count and an order-free checksum of the rows."""
+    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")
+    row = df.agg(F.count("*").alias("n"), F.coalesce(total, F.lit("0")).alias("digest")).first()
+    return row["n"], row["digest"]
+
+
 def export_metrics_batched(
-    df: DataFrame, keys: Sequence[str], path: str, state_path: str, job: str, batch_size: int = 10_000, stop_after: int | None = None,
+    df: DataFrame, keys: Sequence[str], path: str, state_path: str, job: str, batch_size: int = 10_000, stop_after: int | None = None, commits: int = 10,
 ) -> int:
-    """Write `df` in batches that can be resumed; returns the number of batches written by this call.
+    """Write `df` in batches of about `batch_size` rows that can be resumed; returns the number of batches written by this call.
 
-    The batch count is fixed in the state table by the first call; a large input gets larger batches, not
-    more than MAX_BATCHES. Each batch replaces its own partition, then its id is recorded, so a repeated
-    batch overwrites itself. A finished job starts over.
-    `stop_after` ends the call early, as an interruption would.
+    A run begins by emptying the folder, so that nothing of an earlier run stays, and its state row names the input (rows and
+    checksum) and the number of batches. The batches are written in `commits` groups, each a scan of the input, and after
+    each the last finished batch is recorded; a repeated group overwrites itself. A call goes on with an unfinished run of the
+    same input; a finished run, or another input, starts over. `stop_after` ends the call early, as an interruption would.
     """
     spark = df.sparkSession
-    schema = "job STRING, batches INT, batch_id INT, run INT"
+    schema = "job STRING, run INT, batches INT, input_rows BIGINT, digest STRING, done INT"
+    rows, digest = _version(df)
     state = read_table(spark, state_path)
-    rows = [] if state is None else state.filter(F.col("job") == job).groupBy("run", "batches").agg(
-        F.count_distinct(F.when(F.col("batch_id") > 0, F.col("batch_id"))).alias("done")
-    ).orderBy(F.col("run").desc()).limit(1).collect()
-    run, batches, done = (rows[0]["run"], rows[0]["batches"], rows[0]["done"]) if rows else (0, 0, 0)
-    if not rows or done >= batches:
-        run, done = run + 1, 0
-        batches = min(max(-(-df.count() // max(batch_size, 1)), 1), MAX_BATCHES)
-        spark.createDataFrame([(job, batches, 0, run)], schema).write.mode("append").parquet(state_path)
-        finished = set()
+    last = None if state is None else state.filter(F.col("job") == job).orderBy(F.col("run").desc(), F.col("done").desc()).first()
+    batches = max(-(-rows // max(batch_size, 1)), 1)
+
+    def record(run: int, done: int) -> None:
+        spark.createDataFrame([(job, run, batches, rows, digest, done)], schema).write.mode("append").parquet(state_path)
+
+    if last is not None and last["done"] < last["batches"] and (last["batches"], last["input_rows"], last["digest"]) == (batches, rows, digest):
+        run, done = last["run"], last["done"]
     else:
-        # One small integer per batch of this job, at most MAX_BATCHES.
-        finished = {r["batch_id"] for r in state.filter((F.col("job") == job) & (F.col("run") == run)).select("batch_id").distinct().collect()}
-    tagged = batch_of(df, keys, batches)
-    todo = [b for b in range(1, batches + 1) if b not in finished]
-    if stop_after is not None:
-        todo = todo[:stop_after]
-    # Each commit reads the input once, so the batches are committed in a few groups.
-    step = -(-batches // MAX_COMMITS)
-    for i in range(0, len(todo), step):
-        group = todo[i : i + step]
-        rows_of_group = tagged.filter(F.col("batch_id").between(group[0], group[-1]) & F.col("batch_id").isin(group))
-        spread = rows_of_group.repartition("batch_id", F.pmod(F.xxhash64(*df.columns), F.lit(16)))
-        _replace(spread, path, ["batch_id"])
-        spark.createDataFrame([(job, batches, b, run) for b in group], schema).write.mode("append").parquet(state_path)
-    return len(todo)
+        run, done = (last["run"] if last is not None else 0) + 1, 0
+        empty = batch_of(df, keys, batches).limit(0)
+        empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch_id").parquet(path)
+        record(run, 0)
+    tagged, first = batch_of(df, keys, batches), done
+    end, step = batches if stop_after is None else min(batches, done + stop_after), -(-batches // max(commits, 1))
+    while done < end:
+        upto = min(done + step, end)
+        group = tagged.filter(F.col("batch_id").between(done + 1, upto))
+        _replace(group.repartition("batch_id", F.pmod(F.xxhash64(*df.columns), F.lit(16))), path, ["batch_id"])
+        record(run, upto)
+        done = upto
+    return done - first
 
 
 def export_audit(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -47,15 +47,5 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{name}{suffix}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer tasks than there are cores.
-
-    For per-row heavy work (texts, pages) on few row groups. A large table has more tasks than cores, so
-    nothing is shuffled there; the check reads file metadata only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     return {n: load_table(spark, folder, n) for n in (names or list(SCHEMAS))}

@@ -30,6 +30,38 @@ def test_resumed_export_equals_one_pass(spark, tmp_path, rows):
     assert rows(spark.read.parquet(a)) == rows(spark.read.parquet(b))
 
 
+def test_rerun_with_fewer_rows_leaves_none_behind(spark, tmp_path, rows):
+    df, path, state = points(spark), str(tmp_path / "b"), str(tmp_path / "s")
+    assert sinks.export_metrics_batched(df, ["prompt_id"], path, state, "j", 50) == 10
+    few = df.filter("prompt_id < 200")
+    assert sinks.export_metrics_batched(few, ["prompt_id"], path, state, "j", 50, stop_after=1) == 1
+    assert sinks.export_metrics_batched(few, ["prompt_id"], path, state, "j", 50) == 3
+    assert rows(spark.read.parquet(path), *df.columns) == rows(few)
+
+
+def test_resume_does_not_mix_two_inputs(spark, tmp_path, rows):
+    df, path, state = points(spark), str(tmp_path / "b"), str(tmp_path / "s")
+    sinks.export_metrics_batched(df, ["prompt_id"], path, state, "j", 100, stop_after=3)
+    other = df.withColumn("v", F.col("v") + 1)
+    assert sinks.export_metrics_batched(other, ["prompt_id"], path, state, "j", 100, commits=2) == 5
+    assert rows(spark.read.parquet(path), *df.columns) == rows(other)
+
+
+def test_batch_size_is_kept(spark, tmp_path):
+    df, path = points(spark), str(tmp_path / "b")
+    assert sinks.export_metrics_batched(df, ["prompt_id"], path, str(tmp_path / "s"), "j", 2) == 250
+    assert spark.read.parquet(path).count() == 500
+
+
+def test_project_without_rows_is_emptied(spark, tmp_path, rows):
+    path, totals = str(tmp_path / "m"), spark.createDataFrame([(0, "a.com", 3), (1, "b.com", 4)], "project_id int, domain string, frequency int")
+    sinks.export_metrics(points(spark), totals, path)
+    covered = spark.createDataFrame([(1,), (0,), (9,)], "project_id int")
+    sinks.export_metrics(points(spark).filter("project_id = 1"), totals.filter("project_id = 1"), path, covered)
+    assert rows(spark.read.parquet(f"{path}/visibility_points").groupBy("project_id").count(), "project_id", "count") == [(1, 167), (2, 166)]
+    assert rows(spark.read.parquet(f"{path}/citation_totals"), "domain") == [("b.com",)]
+
+
 def test_project_replace(spark, tmp_path, rows):
     path = str(tmp_path / "m")
     totals = spark.createDataFrame([(0, "a.com", 3), (1, "b.com", 4)], "project_id int, domain string, frequency int")
