@@ -96,3 +96,19 @@ BUILTIN_TREND_KINDS = ["threshold_regression", "statistical_anomaly", "response_
 # Public benchmark density thresholds.
 MIN_CONTRIBUTORS, MIN_CATEGORIES, MIN_DOMAINS_PER_CATEGORY, MIN_RUNS_PER_SEGMENT = 20, 20, 10, 100
 K_FLOOR = 5
+
+# Evidence texts of the page audit, compared as they stand.
+EVIDENCE = {
+    "schema": "found JSON-LD/schema.org marker",
+    "canonical": "found rel=canonical",
+    "site_name": "found og:site_name or title site separator",
+    "llms_txt": "found /llms.txt (200)",
+    "robots": "found AI-crawler meta robots directive",
+    "answer": "found answer-like block or list structure",
+    "sources": "found named-source phrase",
+    "context": "found source-context label near page links",
+}
+
+# Patterns of urls and bare domains in answer texts.
+URL = r"(?iU)\bhttps?://[a-z0-9][a-z0-9.\-]*[a-z0-9](?::\d+)?(?:/[^\s)\]]*)?"
+BARE_DOMAIN = r"(?iU)\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b"

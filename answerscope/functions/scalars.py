@@ -229,12 +229,17 @@ def source_type(domain: Column, path: Column) -> Column:
     )
 
 
-def fold_confusables(c: Column) -> Column:
-    """Look-alike Cyrillic/Greek letters and full-width ASCII to Latin."""
+def confusable_pairs() -> tuple[str, str]:
+    """Look-alike Cyrillic/Greek letters and full-width ASCII, and what they fold to, place by place."""
     wide = "".join(chr(0xFF10 + i) for i in range(10))
     wide += "".join(chr(0xFF41 + i) for i in range(26)) + "".join(chr(0xFF21 + i) for i in range(26))
     letters = "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(c, C.CONFUSABLES_FROM + wide, C.CONFUSABLES_TO + "0123456789" + letters + letters)
+    return C.CONFUSABLES_FROM + wide, C.CONFUSABLES_TO + "0123456789" + letters + letters
+
+
+def fold_confusables(c: Column) -> Column:
+    """Look-alike letters to Latin."""
+    return F.translate(c, *confusable_pairs())
 
 
 def normalize_domain(c: Column) -> Column:
@@ -487,9 +492,10 @@ def register_sql_functions(spark: SparkSession) -> None:
     price = " ".join(
         f"WHEN '{name}' THEN {C.TOKENS_PER_RUN * float(p) / 1e6:.10f}" for name, p in C.PROVIDER_PRICES.items()
     )
+    folds, squeezed = confusable_pairs(), "regexp_replace(raw, '(?U)^[[:space:]]+|[[:space:]]+$', '')".replace("[[:space:]]", "\\\\s")
     bots = " ".join(f"WHEN contains(lower(ua), '{needle}') THEN '{bot}'" for needle, bot in C.BOT_NEEDLES)
     bodies = {
-        "run_cost_usd(provider STRING) RETURNS DECIMAL(18,10)": f"CAST(CASE lower(provider) {price} ELSE 0 END AS DECIMAL(18,10))",
+        "run_cost_usd(provider STRING) RETURNS DECIMAL(18,10)": f"CAST(CASE WHEN provider IS NULL THEN NULL ELSE CASE lower(provider) {price} ELSE 0 END END AS DECIMAL(18,10))",
         "bot_identity(ua STRING) RETURNS STRING": f"CASE {bots} END",
         "citation_source_type(domain STRING, path STRING) RETURNS STRING": (
             "CASE WHEN contains(lower(domain), 'reddit.com') THEN 'reddit' "
@@ -499,8 +505,8 @@ def register_sql_functions(spark: SparkSession) -> None:
             "OR endswith(lower(domain), '.readthedocs.io') THEN 'docs' ELSE 'general_web' END"
         ),
         "plain_domain(raw STRING) RETURNS STRING": (
-            "regexp_replace(regexp_replace(lower(split_part(regexp_replace(trim(raw), '^(https://)*(http://)*', ''), '/', 1)), "
-            "'^www[.]', ''), '[.]+$', '')"
+            f"translate(regexp_replace(regexp_replace(lower(split_part(regexp_replace({squeezed}, '^(https://)*(http://)*', ''), '/', 1)), "
+            f"'^www[.]', ''), '[.]+$', ''), '{folds[0]}', '{folds[1]}')"
         ),
     }
     for head, body in bodies.items():

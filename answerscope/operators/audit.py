@@ -17,8 +17,13 @@ SEVERITIES = {"low": 1, "medium": 2, "high": 3}
 def one_per_url(pages: DataFrame) -> DataFrame:
     """One row per url: the smallest html when a url repeats, whatever the input order."""
     rest = [c for c in pages.columns if c not in ("url", "html")]
-    row = F.min_by(F.struct("html", *rest), F.struct(F.sha2("html", 256), *rest))
-    return pages.groupBy("url").agg(row.alias("r")).select("url", "r.*")
+    # The choice is made among digests; whole pages move once, to the join, and only equal rows can be left to collapse.
+    marked = pages.withColumn("__sha", F.sha2("html", 256))
+    order = F.struct("__sha", *rest)
+    first = pages.select("url", *rest, F.sha2("html", 256).alias("__sha")).groupBy("url").agg(F.min(order).alias("__first"))
+    named = first.withColumnRenamed("url", "__url")
+    same = F.col("url").eqNullSafe(F.col("__url")) & order.eqNullSafe(F.col("__first"))
+    return marked.join(named, same).dropDuplicates(["url"]).select("url", "html", *rest)
 
 
 def _tag_texts(html: Column, tag: str) -> Column:
@@ -155,19 +160,19 @@ def audit_pages(pages: DataFrame, llms_txt: bool | Column = False) -> DataFrame:
     counts = F.concat(F.size("headings").cast("string"), F.lit(" headings, "), F.col("paragraph_count").cast("string"), F.lit(" paragraphs"))
     one = lambda s: F.array(s if isinstance(s, Column) else F.lit(s))
     rules = [
-        ("identity.schema_org_json_ld", "high", STRUCTURAL, has(low, C.SCHEMA_MARKERS), one("found JSON-LD/schema.org marker")),
-        ("identity.canonical_url", "medium", STRUCTURAL, has(low, C.CANONICAL_MARKERS), one("found rel=canonical")),
-        ("identity.site_name", "medium", STRUCTURAL, low.contains("og:site_name") | site_title, one("found og:site_name or title site separator")),
+        ("identity.schema_org_json_ld", "high", STRUCTURAL, has(low, C.SCHEMA_MARKERS), one(C.EVIDENCE["schema"])),
+        ("identity.canonical_url", "medium", STRUCTURAL, has(low, C.CANONICAL_MARKERS), one(C.EVIDENCE["canonical"])),
+        ("identity.site_name", "medium", STRUCTURAL, low.contains("og:site_name") | site_title, one(C.EVIDENCE["site_name"])),
         ("identity.llms_txt", "low", STRUCTURAL, policy | robots,
-         one(F.when(policy, "found /llms.txt (200)").otherwise("found AI-crawler meta robots directive"))),
+         one(F.when(policy, C.EVIDENCE["llms_txt"]).otherwise(C.EVIDENCE["robots"]))),
         ("extractability.answer_blocks", "high", STRUCTURAL, has(low, C.ANSWER_MARKERS) | text.contains("the answer"),
-         one("found answer-like block or list structure")),
+         one(C.EVIDENCE["answer"])),
         ("extractability.question_headings", "medium", STRUCTURAL, asked.isNotNull(), one(asked)),
         ("extractability.semantic_sections", "low", STRUCTURAL, sections, one(counts)),
         ("corroboration.outbound_links", "high", CITATION, outbound, F.slice("outbound", 1, 3)),
-        ("corroboration.named_sources", "medium", CITATION, has(text, C.NAMED_SOURCE_PHRASES), one("found named-source phrase")),
+        ("corroboration.named_sources", "medium", CITATION, has(text, C.NAMED_SOURCE_PHRASES), one(C.EVIDENCE["sources"])),
         ("corroboration.source_context", "medium", CITATION, outbound & has(low, C.SOURCE_CONTEXT_WORDS),
-         one("found source-context label near page links")),
+         one(C.EVIDENCE["context"])),
     ]
     flagged = facts.withColumns({f"__p{i}": r[3] for i, r in enumerate(rules)})
     passed = sum((F.col(f"__p{i}").cast("int") for i in range(len(rules))), F.lit(0))

@@ -169,7 +169,7 @@ def domain_drift(citations, runs, prompts, as_of, days: int) -> DataFrame:
         .select("run_id", "prompt_id", "provider", "model", "started_at"),
         prompts,
     )
-    cited = slim.join(citations.select("run_id", "domain").distinct(), "run_id")
+    cited = slim.join(citations.select("run_id", "domain"), "run_id")
     side = F.when(F.col("started_at") >= S.days_before(as_of, days), 2).otherwise(1)
     seen = cited.groupBy("project_id", "domain").agg(F.bit_or(side).alias("m"))
     return seen.select(

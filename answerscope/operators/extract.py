@@ -8,16 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
 from .citations import merge_citations
 
-URL = r"(?iU)\bhttps?://[a-z0-9][a-z0-9.\-]*[a-z0-9](?::\d+)?(?:/[^\s)\]]*)?"
-BARE_DOMAIN = r"(?iU)\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b"
-
 
 def _dictionary(dictionary: DataFrame) -> DataFrame:
     """One row per project: its entities, each with all its names.
@@ -134,11 +131,11 @@ def extract_citations(answers: DataFrame, emails: bool = True, keys: tuple[str,
     `emails=False` drops the two halves of e-mail addresses, which otherwise count as domains.
     """
     text = F.col("text")
-    urls = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.struct(_trim_url(u).alias("url")))
-    rest = F.regexp_replace(text, URL, " ")
+    urls = F.transform(F.regexp_extract_all(text, F.lit(C.URL), F.lit(0)), lambda u: F.struct(_trim_url(u).alias("url")))
+    rest = F.regexp_replace(text, C.URL, " ")
     if not emails:
         rest = F.regexp_replace(rest, r"[^\s@]+@[^\s@]+", " ")
-    bare = F.transform(F.regexp_extract_all(rest, F.lit(BARE_DOMAIN), F.lit(0)), lambda d: F.struct(F.lower(d).alias("domain")))
+    bare = F.transform(F.regexp_extract_all(rest, F.lit(C.BARE_DOMAIN), F.lit(0)), lambda d: F.struct(F.lower(d).alias("domain")))
     # Both patterns need a dot or "://"; other texts skip the regular expressions.
     dotted = answers.filter(text.contains("."))
     by_url = dotted.filter(text.contains("://")).select(*keys, F.inline(urls))
@@ -176,14 +173,13 @@ def extract_claims(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
     base = answers.select("project_id", "run_id", "text").join(brand, "project_id")
     named = base.filter(F.exists("__names", lambda v: low.contains(v)))
     spans = named.withColumn("__spans", F.regexp_extract_all("text", F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+"), F.lit(0)))
-    starts = F.aggregate(
-        "__spans", F.array(F.lit(0)), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + F.octet_length(s))
-    )
-    pairs = F.arrays_zip(F.col("__spans").alias("s"), starts.alias("o"))
-    kept = F.filter(
-        pairs, lambda p: p["s"].isNotNull() & F.exists("__names", lambda v: F.lower(S.squeeze(p["s"])).contains(v))
+    each = spans.withColumn("__answer", F.monotonically_increasing_id()).select(
+        "__answer", "project_id", "run_id", "entity", "__names", F.posexplode("__spans").alias("pos", "s")
     )
-    rows = spans.select("project_id", "run_id", "entity", F.inline(kept))
+    # A running sum per answer: linear in its sentences, and a long answer is sorted, not copied for each of them.
+    before = Window.partitionBy("__answer").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("o", F.coalesce(F.sum(F.octet_length("s")).over(before), F.lit(0)).cast("int"))
+    rows = placed.filter(F.exists("__names", lambda v: F.lower(S.squeeze(F.col("s"))).contains(v)))
     lead = F.octet_length("s") - F.octet_length(F.regexp_replace("s", r"(?U)\A\s+", ""))
     return S.compute_once(
         rows, "project_id", "run_id", "entity", S.squeeze(F.col("s")).alias("claim_text"), F.lit(C.CLAIM_KIND).alias("claim_kind"),

@@ -22,7 +22,9 @@ def base_runs(runs: DataFrame, prompts: DataFrame) -> DataFrame:
 
 def best_rank(runs: DataFrame, mentions: DataFrame, entity: str) -> DataFrame:
     """Each run with the best (lowest) rank of one entity, NULL where it is not mentioned."""
-    best = mentions.filter(F.col("entity") == entity).groupBy("run_id").agg(F.min("rank").alias("rank"))
+    # Mentions outside the given runs are left out before they are aggregated.
+    named = mentions.filter(F.col("entity") == entity).select("run_id", "rank").join(runs.select("run_id"), "run_id", "left_semi")
+    best = named.groupBy("run_id").agg(F.min("rank").alias("rank"))
     return runs.join(best, "run_id", "left")
 
 

@@ -139,7 +139,7 @@ _DIST = """dr AS (SELECT b.project_id, split_part(c.citation_id, '-', 2) AS doma
 def _drift(v):
     # One domain per cited part: enough of them that two windows differ.
     parts = v.citations.withColumn("domain", F.split_part("citation_id", F.lit("-"), F.lit(2)))
-    return Ci.drift_distance(Ci.domain_drift(parts, v.runs, v.prompts, AS_OF, 2))
+    return Ci.domain_drift(parts, v.runs, v.prompts, AS_OF, 2)
 
 
 def _gate(v):
@@ -154,6 +154,20 @@ def _(v):
     return _sealed(R.rule_domain_drift(_drift(v), _gate(v)))
 
 
+def _named(side: str) -> str:
+    return f"to_json(coalesce(list_sort(list(domain) FILTER (WHERE {side})), []::VARCHAR[])[1:50])"
+
+
+@query("drift_payload", "R-3", sql(f"""WITH {_DIST} SELECT project_id, {_named('a AND NOT z')} AS dropped_domains, count(*) FILTER (WHERE a AND NOT z) > 50 AS dropped_truncated, {_named('z AND NOT a')} AS gained_domains,
+  count(*) FILTER (WHERE z AND NOT a) > 50 AS gained_truncated FROM dr JOIN ds USING (project_id) WHERE project_id > 0 AND distance > 0.4 GROUP BY 1""", "base", "citations"))
+def _(v):
+    """The lists of domains that a drift recommendation shows."""
+    rows = R.rule_domain_drift(_drift(v), _gate(v))
+    names = ("dropped_domains", "dropped_truncated", "gained_domains", "gained_truncated")
+    part = lambda n: F.get_json_object("payload", f"$.{n}")
+    return rows.select("project_id", *[part(n).cast("boolean").alias(n) if n.endswith("truncated") else part(n).alias(n) for n in names])
+
+
 _GAP = _rec(R.KINDS[3], "low", "medium", "category", "categories WHERE project_id < 2 AND NOT local_has_prompts AND in_graph >= 0.1")
 _UNDER = _rec(R.KINDS[6], "medium", "medium", "category", "categories WHERE project_id < 2 AND brand_rank > p75")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import ordering as O
 from ..functions import scalars as S
 from ..operators import brands as B
@@ -130,6 +131,14 @@ def _(v):
     return R.list_runs(v.runs, v.prompts, 200, 10, project_id=1)
 
 
+@query("sql_run_cost", "X-U3 F-17", sql(f"""SELECT p AS provider, count(*) AS runs, CASE WHEN p IS NULL THEN NULL ELSE {r('any_value(CASE p ' + ' '.join(f"WHEN '{n}' THEN {K.TOKENS_PER_RUN * float(x) / 1e6:.10f}" for n, x in K.PROVIDER_PRICES.items()) + ' ELSE 0 END)')} END AS usd
+  FROM (SELECT CASE WHEN run_id % 13 > 0 THEN provider END AS p FROM runs) GROUP BY 1""", "runs"))
+def _(v):
+    S.register_sql_functions(v.spark)
+    some = v.runs.select(F.when(F.col("run_id") % 13 > 0, F.col("provider")).alias("provider"))
+    return some.groupBy("provider", F.expr("run_cost_usd(provider)").alias("usd")).agg(F.count("*").alias("runs"))
+
+
 @query("kpi_trend", "A-12 F-7", sql(f"""SELECT project_id, {t("date_trunc('hour', started_at)")} AS bucket, count(*) AS runs, {r("count(*) FILTER (WHERE status = 'ok')::DOUBLE / count(*)")} AS success_rate,
   {r("avg(date_diff('microsecond', started_at, finished_at) / 1000.0) FILTER (WHERE status = 'ok')")} AS avg_latency_ms
   FROM base WHERE started_at >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY ALL""", "base"))

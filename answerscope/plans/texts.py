@@ -253,6 +253,16 @@ def _(v):
 _FOLD = "translate(lower({x}), 'аеос', 'aeoc')"
 
 
+@query("sql_domain_functions", "X-U3", """WITH d AS (SELECT page_id, regexp_replace(lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)), '^www\\.', '') AS domain, regexp_replace(url, '^https?://[^/]*', '') AS path FROM pages)
+  SELECT page_id, domain, CASE WHEN page_id % 4 = 0 THEN 'reddit' WHEN page_id % 4 = 1 THEN 'wikipedia' WHEN page_id % 4 = 2 OR path LIKE '/docs%' THEN 'docs' ELSE 'general_web' END AS source_type FROM d""")
+def _(v):
+    S.register_sql_functions(v.spark)
+    host = "concat(element_at(array('www.reddit.com', 'xx.wikipedia.org', 'docs.', ''), cast(page_id % 4 as int) + 1), IF(page_id % 4 >= 2, plain_domain(url), ''))"
+    return v.pages.select(
+        "page_id", F.expr("plain_domain(url)").alias("domain"), F.expr(f"citation_source_type({host}, regexp_replace(url, '^https?://[^/]*', ''))").alias("source_type")
+    )
+
+
 @query("normalized_domains", "D-6 D-7", """SELECT page_id, regexp_replace(lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)), '^www\\.', '') AS domain, replace(regexp_replace(lower(split_part(regexp_replace(url, '^https?://', ''), '/', 1)), '^www\\.', ''), '.example', '.apple') AS folded FROM pages""")
 def _(v):
     cyr = F.concat(F.lit("https://www."), F.replace(S.normalize_domain(F.col("url")), F.lit(".example"), F.lit(".АррӀе".replace("Ӏ", "l"))), F.lit("./x"))

@@ -344,10 +344,15 @@ def test_cadences(spark):
     assert df.filter(~S.ticks_per_day(F.col("e")).eqNullSafe(F.col("want"))).count() == 0
 
 
+def test_no_org_sees_no_rows(spark):
+    runs_ = spark.createDataFrame([(1, "o"), (2, None)], "run_id int, org_id string")
+    assert S.org_scope(runs_, None).count() == 0 and S.org_scope(runs_, "o").count() == 1
+
+
 def test_sql_functions_agree(spark):
     S.register_sql_functions(spark)
-    df = spark.createDataFrame([("openai", "GPTBot", "https://www.X.com./a"), ("zz", "none", "y.org/b")], "p string, ua string, u string")
-    same = df.select((F.expr("run_cost_usd(p)") == S.run_cost(F.col("p"))) & F.expr("bot_identity(ua)").eqNullSafe(S.bot_id(F.col("ua"))) & (F.expr("plain_domain(u)") == S.normalize_domain(F.col("u"))))
+    df = spark.createDataFrame([("openai", "GPTBot", "https://www.X.com./a"), ("zz", "none", "y.org/b"), (None, "ClaudeBot", " http://www.Аpple.com.. ")], "p string, ua string, u string")
+    same = df.select(F.expr("run_cost_usd(p)").eqNullSafe(S.run_cost(F.col("p"))) & F.expr("bot_identity(ua)").eqNullSafe(S.bot_id(F.col("ua"))) & (F.expr("plain_domain(u)") == S.normalize_domain(F.col("u"))))
     assert all(r[0] for r in same.collect())
 
 
