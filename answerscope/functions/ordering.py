@@ -68,22 +68,24 @@ def with_lookback(df: DataFrame, pos: str, lookback: int, block: int = 4096) ->
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], band: float = 1024.0
+    df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], band: float | None = None
 ) -> DataFrame:
     """Continuous percentiles per key, from a value histogram instead of a per-key list.
 
-    Repeated values collapse before the shuffle; a key's distinct values are split into bands.
+    Repeated values collapse before the shuffle; a key's distinct values are split into ranges of width `band`, by default a
+    256th of the distance between the key's own least and greatest value, so a measure of any scale is sorted in pieces.
     """
     keys = list(keys)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
         F.count("*").alias("__c")
     )
-    cum = running_total(hist, keys, "__v", "__c", F.floor(F.col("__v") / band), "__upto")
-    sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__total"))
+    sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     if keys:
-        cum = cum.join(sizes, keys)
+        hist = hist.join(sizes, keys)
     else:
-        cum = cum.withColumn("__total", sizes.select("__total").scalar())
+        hist = hist.withColumns({c: sizes.select(c).scalar() for c in ("__total", "__lo", "__hi")})
+    width = (F.col("__hi") - F.col("__lo")) / 256 if band is None else F.lit(band)
+    cum = running_total(hist, keys, "__v", "__c", F.when(width > 0, F.floor((F.col("__v") - F.col("__lo")) / width)).otherwise(0), "__upto")
     first = F.col("__upto") - F.col("__c")
     parts = []
     for name, p in points.items():

@@ -63,7 +63,8 @@ def citation_novelty(
     """Domains cited at least `min_frequency` times in a sample and in none of the `window` samples before."""
     keys = list(keys)
     pos = _positions(samples.select(*keys, "observed_at", "run_id"), keys)
-    cited = citations.groupBy("run_id", "domain").agg(F.count("*").alias("frequency"))
+    # Only citations of the samples are counted, not the whole history.
+    cited = citations.join(pos.select("run_id"), "run_id", "left_semi").groupBy("run_id", "domain").agg(F.count("*").alias("frequency"))
     rows = with_lookback(pos, "pos", window, block).join(cited, "run_id")
     last = F.lag("pos").over(Window.partitionBy(*keys, "__block", "domain").orderBy("pos"))
     new = last.isNull() | (F.col("pos") - last > window)

@@ -24,7 +24,7 @@ def org_cost(daily: DataFrame, org_id=None, project_id=None, start=None, end=Non
     if start is not None:
         rows = rows.filter(F.col("cost_date") >= F.lit(start).cast("date"))
     if end is not None:
-        rows = rows.filter(F.col("cost_date") <= F.lit(end).cast("date"))
+        rows = rows.filter(F.col("cost_date") <= end.cast("date"))
     sets = [[F.col("org_id"), F.col("project_id"), F.col("provider")], [F.col("org_id")]]
     return rows.groupingSets(sets, F.col("org_id"), F.col("project_id"), F.col("provider")).agg(
         F.sum("run_count").alias("run_count"), F.sum("cost_usd").alias("cost_usd")
@@ -67,9 +67,13 @@ def tick_gaps(schedules: DataFrame, ticks: DataFrame, manual_runs: DataFrame, as
     step = (F.round(F.lit(1440.0) / S.ticks_per_day(F.col("cadence"))) * 60).cast("long")
     rated = S.compute_once(schedules, "schedule_id", "created_at", step.alias("__step")).filter(F.col("__step") > 0)
     first = F.floor(F.unix_seconds("created_at") / F.col("__step")) * F.col("__step") + F.col("__step")
-    slots = rated.filter(first <= end).select(
-        "schedule_id", F.explode(F.sequence(first, end, F.col("__step"))).alias("__s")
-    ).select("schedule_id", F.timestamp_seconds("__s").alias("slot_ts"))
+    # Blocks of about a day first, then the slots of each block, so no row ever holds the whole series of a frequent cadence.
+    block = F.ceil(F.lit(86400) / F.col("__step")) * F.col("__step")
+    blocks = rated.filter(first <= end).select("schedule_id", "__step", block.alias("__block"), F.explode(F.sequence(first, end, block)).alias("__from"))
+    last = F.least(F.col("__from") + F.col("__block") - F.col("__step"), end)
+    slots = blocks.select("schedule_id", F.explode(F.sequence(F.col("__from"), last, F.col("__step"))).alias("__s")).select(
+        "schedule_id", F.timestamp_seconds("__s").alias("slot_ts")
+    )
     seen = ticks.select("schedule_id", F.col("tick_ts").alias("slot_ts"))
     missed = slots.join(seen, ["schedule_id", "slot_ts"], "left_anti")
 

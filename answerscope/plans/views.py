@@ -335,12 +335,6 @@ class Views:
             (c % 5 + 1).alias("prompt_count"), (c % 4 * 5).alias("debounce_minutes"), F.timestamp_seconds(F.lit(1705276800) + c * 60).alias("created_at"),
         )
 
-    @cached_property
-    def slow_schedules(self) -> DataFrame:
-        """The schedules with cadences whose slots the gap report lists one by one."""
-        c = F.col("schedule_id")
-        return self.schedules.withColumn("cadence", pick(c, "daily", "every 6 hours", "weekly", "every 48 hours", "hourly"))
-
     @cached_property
     def ticks(self) -> DataFrame:
         e = F.col("event_id")

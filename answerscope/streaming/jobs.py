@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as S
+from ..functions.ordering import top_k_per_group
 from ..operators import anomaly, site
 from ..sources.logs import read_access_log
 
@@ -20,7 +21,7 @@ def stream_event_rollup(events: DataFrame, watermark: str = "1 day") -> DataFram
 
     Events collapse per (type, day, session) before they are counted, so a hot type spreads over its
     sessions. Append mode emits each closed day once; later events of that day are ignored. Two
-    aggregations in a row need append mode, so an open day is read with the batch rollup instead.
+    aggregations in a row need append mode; stream_open_rollup keeps the open day up to date.
     """
     per_session = (
         events.withWatermark("ts", watermark)
@@ -33,6 +34,30 @@ def stream_event_rollup(events: DataFrame, watermark: str = "1 day") -> DataFram
     return daily.select("event_type", F.to_date("d.start").alias("day"), "event_count", "unique_sessions", F.lit(True).alias("finalized"))
 
 
+def stream_open_rollup(
+    events: DataFrame, sessions_path: str, emit: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Daily counts and distinct sessions that include the open day: after each micro-batch, the rows of the days it touched.
+
+    A batch is collapsed to (day, type, session) and stored under its day and batch id, so a replayed batch overwrites itself and a
+    late event updates its day. `emit` gets the new totals of the touched days, read from their partitions alone, and the
+    batch id; the days stay open until the caller freezes them (see retain_after_rollup).
+    """
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        keys = ["event_type", "session_id"]
+        seen = batch.groupBy(*keys, S.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"), F.lit(batch_id).alias("batch_id"))
+        seen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(sessions_path)
+        stored = batch.sparkSession.read.schema("event_type STRING, session_id STRING, n BIGINT, day DATE, batch_id BIGINT").parquet(sessions_path)
+        touched = stored.join(batch.select(S.day(F.col("ts")).alias("day")).distinct(), "day", "left_semi")
+        per_session = touched.groupBy(*keys, "day").agg(F.sum("n").alias("n"))
+        daily = per_session.groupBy("event_type", "day").agg(F.sum("n").alias("event_count"), F.count("session_id").alias("unique_sessions"))
+        emit(daily.withColumn("finalized", F.lit(False)), batch_id)
+
+    writer = events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_dedup(hits: DataFrame, keys: Sequence[str] = ("source_adapter", "raw_event_id"), watermark: str = "1 day", ts: str = "ts") -> DataFrame:
     """First arrival per natural key; keys are forgotten once the watermark has passed them."""
     return hits.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
@@ -104,21 +129,32 @@ def retain_after_rollup(spark: SparkSession, events: DataFrame, existing: DataFr
 def stream_anomalies(
     samples: DataFrame, history: Callable[[], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str,
     window: int = 14, threshold: float = 2.5, keys: Sequence[str] = anomaly.SERIES, trigger: dict | None = None,
+    citations: Callable[[], DataFrame] | None = None, min_frequency: int = 2,
 ) -> StreamingQuery:
-    """Rank verdicts of new samples, judged against stored history.
+    """Rank verdicts of new samples, and with `citations` the domains new to them, judged against stored history.
 
-    Each micro-batch reads only the series it touches and, of those, only what the window needs is kept
-    by the numbering of the detector. `history` must already contain earlier batches; `emit` gets the
-    verdicts of the new samples and the batch id, and must overwrite by batch id to stay exactly-once.
+    Of the stored series only those that a micro-batch touches are kept, and of these the last `window` samples before its
+    earliest new one and what came later; nothing older is numbered or scored. `history` must already contain earlier
+    batches; `emit` gets the events of the new samples (event_kind visibility.anomaly or citation.anomaly) and the batch id, and must
+    overwrite by batch id to stay exactly-once.
     """
     keys = list(keys)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         cols = [*keys, "observed_at", "run_id", "rank"]
         new = batch.select(*cols)
-        past = history().select(*cols).join(new.select(*keys).distinct(), keys, "left_semi").join(new.select("run_id"), "run_id", "left_anti")
-        found = anomaly.visibility_anomalies(past.unionByName(new), window, threshold, keys)
-        fresh = found.join(new.select("run_id"), "run_id", "left_semi").withColumn("event_kind", F.lit("visibility.anomaly"))
+        at = F.struct("observed_at", "run_id")
+        starts = new.groupBy(*keys).agg(F.min(at).alias("__start"))
+        past = history().select(*cols).join(starts, keys).join(new.select("run_id"), "run_id", "left_anti")
+        before = top_k_per_group(past.filter(at < F.col("__start")), keys, [F.col("observed_at").desc(), F.col("run_id").desc()], window)
+        series = before.select(*cols).unionByName(past.filter(at >= F.col("__start")).select(*cols)).unionByName(new)
+        own = new.select("run_id")
+        found = anomaly.visibility_anomalies(series, window, threshold, keys)
+        fresh = found.join(own, "run_id", "left_semi").withColumn("event_kind", F.lit("visibility.anomaly"))
+        if citations is not None:
+            cited = anomaly.citation_novelty(series, citations(), window, min_frequency, keys)
+            events = cited.join(own, "run_id", "left_semi").withColumn("event_kind", F.lit("citation.anomaly"))
+            fresh = fresh.unionByName(events, allowMissingColumns=True)
         emit(fresh, batch_id)
 
     writer = samples.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)

@@ -408,14 +408,15 @@ def test_all_rules_fire_and_repeat(spark):
         "competitor_docs array<string>, run_ids array<string>, run_ids_truncated boolean, citation_ids array<string>, citation_ids_truncated boolean",
     )
     config = spark.createDataFrame([(1, "docs.acme.com", ["openai", "anthropic", "gemini"], True)], "project_id int, docs_domain string, enabled_providers array<string>, opted_in boolean")
-    distance = spark.createDataFrame([(1, 3, 2, 6, 5 / 6)], "project_id int, gained long, dropped long, union long, distance double")
+    drift = spark.createDataFrame([(1, d, c) for d, c in (("a", "gained"), ("b", "gained"), ("c", "gained"), ("x", "dropped"), ("y", "dropped"), ("k", "kept"))], "project_id int, domain string, change string")
     gate = spark.createDataFrame([(1, True)], "project_id int, gate boolean")
     bench = spark.createDataFrame([(1, "databases", 9.0, 5.0, 0.25, False, ["best db"])], "project_id int, category string, brand_rank double, p75 double, in_graph double, local_has_prompts boolean, suggested array<string>")
     p50 = spark.createDataFrame([(1, 0.4)], "project_id int, p50 double")
-    make = lambda: recommend.envelope(recommend.recommend(facts, config, distance, gate, bench, p50), "1", "14d", T0)
+    make = lambda: recommend.envelope(recommend.recommend(facts, config, drift, gate, bench, p50), "1", "14d", T0)
     one = {r["kind"]: r for r in make().collect()}
     assert sorted(one) == sorted(recommend.KINDS)
     assert {k: r["rec_id"] + r["input_fingerprint"] for k, r in one.items()} == {r["kind"]: r["rec_id"] + r["input_fingerprint"] for r in make().collect()}
+    assert '"dropped_domains":["x","y"]' in one["citation_domain_drift"]["payload"] and '"gained_domains":["a","b","c"]' in one["citation_domain_drift"]["payload"]
     assert "gemini" in one["provider_blindspot"]["summary"] and "anthropic" in one["provider_blindspot"]["payload"]
 
 

@@ -42,6 +42,22 @@ def test_rollup_of_closed_days(spark, tmp_path, rows):
     assert [g for g in got if g[1] < (T0 + timedelta(days=2)).date()] == rows(batch, "event_type", "day", "event_count", "unique_sessions")
 
 
+def test_open_day_is_updated_by_each_batch(spark, tmp_path, rows):
+    def at(day, i, kind="page_view"):
+        return (kind, f"s{i % 4}", "/", None, "{}", T0 + timedelta(days=day, minutes=i))
+
+    parts = [[at(0, i) for i in range(5)], [at(0, 7), at(1, 0, "verify_start")], [at(0, 3), at(1, 1)]]
+    stream, out = source(spark, tmp_path / "in", SITE, parts), {}
+    cols = ("event_type", "day", "event_count", "unique_sessions")
+    q = jobs.stream_open_rollup(stream, str(tmp_path / "sessions"), lambda df, b: out.__setitem__(b, rows(df, *cols)), str(tmp_path / "cp"))
+    q.awaitTermination()
+    for b in range(3):
+        sofar = [r for part in parts[: b + 1] for r in part]
+        days = {r[5].date() for r in parts[b]}
+        batch = site.event_rollup(spark.createDataFrame(sofar, SITE), None, T0)
+        assert out[b] == [r for r in rows(batch, *cols) if r[1] in days]
+
+
 def test_dedup_by_key(spark, tmp_path, rows):
     schema = "source_adapter string, raw_event_id string, ts timestamp"
     hits = [("a", f"e{i % 5}", T0 + timedelta(minutes=i)) for i in range(20)]
@@ -103,6 +119,24 @@ def test_anomalies_of_new_samples(spark, tmp_path):
     assert anomaly.visibility_anomalies(stored, 7, 2.5, ["provider"]).count() == 0
 
 
+def test_stream_events_equal_batch_events(spark, tmp_path, rows):
+    """Both kinds of anomaly; the stream sees each series' last samples only, the batch form all of them."""
+    schema = "provider string, observed_at timestamp, run_id int, rank double"
+    ranks = [2, 2, 3, 2, 9, 2, 2, None, 2, 8, 2, 2, 2, 2, None, 7, 2, 2, 2, 2]
+    past = [(p, T0 + timedelta(days=i), 100 * k + i, None if r is None else float(r)) for k, p in enumerate("pq") for i, r in enumerate(ranks)]
+    new = [(p, T0 + timedelta(days=20 + j), 100 * k + 20 + j, r) for k, p in enumerate("pq") for j, r in enumerate([9.0, 2.0, None])]
+    cited = spark.createDataFrame([(r[2], d) for r in past + new for d in (["old.com"] * 2 + (["new.com"] * 3 if r[2] % 100 in (3, 21) else []))], "run_id int, domain string")
+    got, stored = [], spark.createDataFrame(past, schema)
+    stream = source(spark, tmp_path / "in", schema, [new])
+    keep = lambda df, b: got.extend(rows(df, "provider", "run_id", "event_kind", "signal", "domain"))
+    jobs.stream_anomalies(stream, lambda: stored, keep, str(tmp_path / "cp"), 5, 2.5, ["provider"], citations=lambda: cited).awaitTermination()
+    every, ids = spark.createDataFrame(past + new, schema), [r[2] for r in new]
+    ranked = anomaly.visibility_anomalies(every, 5, 2.5, ["provider"]).filter(F.col("run_id").isin(ids))
+    novel = anomaly.citation_novelty(every, cited, 5, 2, ["provider"]).filter(F.col("run_id").isin(ids))
+    want = [(r.provider, r.run_id, "visibility.anomaly", r.signal, None) for r in ranked.collect()] + [(r.provider, r.run_id, "citation.anomaly", None, r.domain) for r in novel.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {w[2] for w in want} == {"visibility.anomaly", "citation.anomaly"}
+
+
 def test_prune_only_after_rollup(spark, tmp_path):
     import pytest
 
