@@ -26,16 +26,24 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     )
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, chunk: Column, out: str) -> DataFrame:
-    """Sum of `weight` over rows up to and including this one; (keys, order) must be unique."""
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, str], chunk: Column) -> DataFrame:
+    """Per entry (out: weight) the sum of `weight` over rows up to and including this one; (keys, order) must be unique."""
     chunked = df.withColumn("__chunk", chunk)
-    starts = _chunk_starts(chunked.groupBy(*keys, "__chunk").agg(F.sum(weight).alias("__n")), keys)
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        _join_starts(chunked.withColumn("__in", F.sum(weight).over(inside)), starts, keys)
-        .withColumn(out, F.col("__start") + F.col("__in"))
-        .drop("__chunk", "__in", "__start")
+    sums = chunked.groupBy(*keys, "__chunk").agg(*[F.sum(w).alias(f"__n_{out}") for out, w in weights.items()])
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        *[F.col(k).alias(f"__s_{k}") for k in [*keys, "__chunk"]],
+        *[F.coalesce(F.sum(f"__n_{out}").over(before), F.lit(0)).alias(f"__start_{out}") for out in weights],
     )
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _join_starts(chunked.withColumns({f"__in_{out}": F.sum(w).over(inside) for out, w in weights.items()}), starts, keys)
+    summed = placed.withColumns({out: F.col(f"__start_{out}") + F.col(f"__in_{out}") for out in weights})
+    return summed.drop("__chunk", *[f"__{part}_{out}" for part in ("in", "start") for out in weights])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, chunk: Column, out: str) -> DataFrame:
+    """One running sum, see running_totals."""
+    return running_totals(df, keys, order, {out: weight}, chunk)
 
 
 def _chunk_starts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
