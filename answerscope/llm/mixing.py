@@ -202,8 +202,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     )
     taken = slots(spark, quota)
     stop = F.least((F.col("block") + 1) * block, F.col("source_size")) - F.col("cut")
+    # Both sides are listed from few rows, from which the planner can't tell how many they become: never broadcast one.
     mixture = (
-        cuts.join(taken, ["source_no", "block"])
+        cuts.join(taken.hint("merge"), ["source_no", "block"])
         .select(
             "shard", "turn", "row_id", "doc_id", (F.greatest(F.col("block") * block, F.col("first")) - F.col("first")).alias("from"),
             (F.least(stop, F.col("first") + F.col("size")) - F.col("first")).alias("to"),
