@@ -123,10 +123,12 @@ def dedup_links(entities: DataFrame) -> DataFrame:
         F.col("hrep").alias("a"), F.col("rep").alias("b"), S.name_similarity(F.col("hn"), F.col("n")).alias("score")
     )
 
-    prefixes = heads.select(
+    # Only prefixes as long as some head can meet one: the lengths that heads have, few whatever the number of names.
+    lengths = heads.agg(F.sort_array(F.collect_set(F.length("s"))).alias("l")).scalar()
+    prefixes = heads.withColumn("__l", lengths).select(
         F.col("s").alias("long"), F.col("hn").alias("n2"), F.col("hrep").alias("rep2"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.length("s") - 1, F.lit(0))), lambda i: F.left("s", i))).alias("s"),
-    ).filter(F.col("s") != F.col("long"))
+        F.explode(F.transform(F.filter("__l", lambda i: i < F.length("s")), lambda i: F.left("s", i))).alias("s"),
+    )
     starts = heads.join(prefixes, "s").select(
         F.col("hrep").alias("a"), F.col("rep2").alias("b"), S.name_similarity(F.col("hn"), F.col("n2")).alias("score")
     ).filter(F.col("score") == 70)
