@@ -26,6 +26,22 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     )
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Column) -> DataFrame:
+    """Adds, per entry (out: column) of `take`, the column's value in the row before, NULL in a key's first row.
+
+    Inside a chunk the row before is a lag; the first row of a chunk gets the last row of the chunk before, from a table of one row
+    per chunk. `chunk` must not decrease along `order`.
+    """
+    chunked = df.withColumn("__chunk", chunk)
+    taken = F.struct(*[F.col(c).alias(out) for out, c in take.items()])
+    lasts = chunked.groupBy(*keys, "__chunk").agg(F.max_by(taken, F.struct(*order)).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__chunk"))
+    starts = lasts.select(*[F.col(k).alias(f"__s_{k}") for k in [*keys, "__chunk"]], before.alias("__start"))
+    inside = chunked.withColumn("__in", F.lag(taken).over(Window.partitionBy(*keys, "__chunk").orderBy(*order)))
+    joined = _join_starts(inside, starts, keys)
+    return joined.withColumns({out: F.coalesce(F.col("__in"), F.col("__start"))[out] for out in take}).drop("__chunk", "__in", "__start")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, str], chunk: Column) -> DataFrame:
     """Per entry (out: weight) the sum of `weight` over rows up to and including this one; (keys, order) must be unique."""
     chunked = df.withColumn("__chunk", chunk)

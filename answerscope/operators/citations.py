@@ -190,28 +190,27 @@ def drift_distance(drift: DataFrame) -> DataFrame:
 def diff_runs(mentions: DataFrame, citations: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What each run added and dropped against the run before it of the same prompt and provider.
 
-    The prior run comes from a skew-safe numbering: a hot prompt x provider is cut by hour.
+    The prior run is looked up hour by hour, so a hot prompt x provider is not one task. Every run's rows are met once: as
+    their own run's (side 1) and as the past of the run that follows (side 2).
     """
-    from ..functions.ordering import number_rows
+    from ..functions.ordering import with_previous
 
-    keys = ["prompt_id", "provider"]
-    pos = number_rows(
-        runs.select("run_id", "started_at", *keys), keys, ["started_at", "run_id"], F.date_trunc("hour", F.col("started_at"))
+    placed = with_previous(
+        runs.select("run_id", "started_at", "prompt_id", "provider"), ["prompt_id", "provider"], ["started_at", "run_id"], {"prior_run_id": "run_id"},
+        F.date_trunc("hour", F.col("started_at")),
     )
-    prev = pos.select(*keys, (F.col("pos") + 1).alias("pos"), F.col("run_id").alias("prior_run_id"))
-    pairs = pos.join(prev, [*keys, "pos"]).select("run_id", "prior_run_id")
+    pairs = placed.filter("prior_run_id IS NOT NULL").select("run_id", "prior_run_id")
+    own = F.struct(F.col("run_id").alias("member"), F.lit(1).alias("side"))
+    past = F.struct(F.col("prior_run_id").alias("member"), F.lit(2).alias("side"))
+    sides = pairs.select("run_id", "prior_run_id", F.inline(F.array(own, past)))
 
     def changes(rows: DataFrame, key: list[str]) -> DataFrame:
-        # A row counts once as itself (side 1) and once as the past of the following run (side 2).
-        now = rows.join(pairs, "run_id").select("run_id", "prior_run_id", *key, F.lit(1).alias("side"))
-        old = rows.withColumnRenamed("run_id", "prior_run_id").join(pairs, "prior_run_id")
-        both = now.unionByName(old.select("run_id", "prior_run_id", *key, F.lit(2).alias("side")))
-        seen = both.groupBy("run_id", "prior_run_id", *key).agg(F.bit_or("side").alias("m")).filter("m < 3")
+        met = rows.withColumnRenamed("run_id", "member").join(sides, "member")
+        seen = met.groupBy("run_id", "prior_run_id", *key).agg(F.bit_or("side").alias("m")).filter("m < 3")
         return seen.select("run_id", "prior_run_id", *key, F.when(F.col("m") == 1, "added").otherwise("dropped").alias("change"))
 
-    named = mentions.select("run_id", F.lower("entity").alias("entity"), "is_brand").distinct()
-    cited = citations.select("run_id", "domain", "url").distinct()
-    return changes(named, ["entity", "is_brand"]), changes(cited, ["domain", "url"])
+    named = mentions.select("run_id", F.lower("entity").alias("entity"), "is_brand")
+    return changes(named, ["entity", "is_brand"]), changes(citations.select("run_id", "domain", "url"), ["domain", "url"])
 
 
 def leaderboard(citations: DataFrame, entities: DataFrame, limit: int = 100) -> DataFrame:

@@ -344,6 +344,14 @@ def test_cadences(spark):
     assert df.filter(~S.ticks_per_day(F.col("e")).eqNullSafe(F.col("want"))).count() == 0
 
 
+def test_previous_row_across_chunks(spark):
+    rows = [(k, i, i * 7 % 5) for k in (1, 2) for i in (0, 1, 2, 9, 10, 25, 26, 40)]
+    df = spark.createDataFrame(rows, "k int, at int, v int")
+    got = O.with_previous(df, ["k"], ["at"], {"was": "v", "then": "at"}, F.floor(F.col("at") / 10)).orderBy("k", "at").collect()
+    want = [(k, i, v, *((rows[n - 1][2], rows[n - 1][1]) if n % 8 else (None, None))) for n, (k, i, v) in enumerate(rows)]
+    assert [(r.k, r["at"], r.v, r.was, r.then) for r in got] == want
+
+
 def test_no_org_sees_no_rows(spark):
     runs_ = spark.createDataFrame([(1, "o"), (2, None)], "run_id int, org_id string")
     assert S.org_scope(runs_, None).count() == 0 and S.org_scope(runs_, "o").count() == 1
