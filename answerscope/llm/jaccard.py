@@ -5,7 +5,7 @@
    |x| - ceil(0.8 |x|) + f ones (`heads`). The tokens of the heads are counted over all documents; a head whose tokens are mostly its
    own can't have a partner. The rest keep, rarest first, as many tokens as must hold one that a partner keeps too.
    So no frequent token brings documents together that don't consist of frequent tokens.
-3. Within the documents of a token, links to one leader are tried first, a few times with other leaders. What is then
+3. Tokens that the same documents keep count once. Within the documents of a token, links to one leader are tried first, a few times with other leaders. What is then
    connected needs no further link.
 4. Where a token's documents still lie in several components, signature trees are built over them: leaves hold a document's
    size and token bitmap, inner nodes the OR of the bitmaps and the range of sizes. Two trees (or one with itself)
@@ -132,6 +132,19 @@ def candidates(sketches: DataFrame) -> DataFrame:
     return save(kept.select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "n", "first_id", chosen.alias("tokens")), "jaccard-candidates")
 
 
+def distinct_groups(nodes: DataFrame) -> DataFrame:
+    """node, n, token: the groups of nodes that share a kept token, each group once.
+
+    Near copies share nearly all tokens, so most groups repeat each other. A group is known by its size and two 64-bit sums (xor)
+    of independent hashes of its nodes; of the tokens with equal groups one is kept.
+    """
+    rows = nodes.select("node", "n", F.explode("tokens").alias("token"))
+    sums = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (0, 1)]
+    groups = rows.groupBy("token").agg(F.count("*").alias("size"), *sums).filter("size > 1")
+    kept = save(groups.groupBy("size", "x0", "x1").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
+    return save(rows.join(kept, "token"), "jaccard-groups")
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     """node, members, n, spare, bits: the whole set of every candidate node, its bitmap and how many tokens share bits with others."""
     wanted = nodes.select(F.col("first_id").alias("__first")).distinct()
@@ -309,7 +322,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
     sketches = save(sketched(docs.select("doc_id", column(text).alias("text")), "text", percent), "jaccard-sketches")
     nodes = candidates(sketches)
     sets = sets_of(docs, nodes, text)
-    rows = nodes.select("node", "n", F.explode("tokens").alias("token"))
+    rows = distinct_groups(nodes)
     comps = nodes.select("node", F.col("node").alias("comp"))
 
     def with_comps() -> DataFrame:
