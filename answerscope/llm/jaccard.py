@@ -29,9 +29,11 @@ from .common import batches, column, prepare, save, table, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Words whose hashes a Python worker remembers.
-MAX_KEPT = 500_000
+MAX_KEPT = 300_000
 #: Bits of a document's signature, children of a tree node, rows of one tree, rounds of links to leaders.
 BITS, FANOUT, TREE_ROWS, LEADER_ROUNDS = 2048, 8, 1024, 2
+#: Places to which the tokens of a family are dealt; pairs that a place remembers, to leave it once (a full memory starts anew).
+SALTS, MAX_SEEN = 2, 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,10 +93,10 @@ def own_allowed(n: int, percent: int = PERCENT) -> int:
 
 
 def sketched(docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """n, s0 and s1 (a 128-bit hash of the set), head and keep (of the head) instead of the text."""
+    """n, s0 and s1 (a 128-bit hash of the set), head, its length, and keep (own_allowed) instead of the text."""
     others = [c for c in docs.columns if c != text]
     fields = [f for f in docs.schema.fields if f.name != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n bigint", "s0 bigint", "s1 bigint", "head array<bigint>", "keep int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n bigint", "s0 bigint", "s1 bigint", "head array<bigint>", "length int", "keep int"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
@@ -110,26 +112,29 @@ def sketched(docs: DataFrame, text: str, percent: int) -> DataFrame:
             lengths = np.cumsum([0, *map(len, heads)], dtype=np.int32)
             flat = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(heads), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in others] + [pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), flat, pa.array(keeps, pa.int32())],
-                names=[*others, "n", "s0", "s1", "head", "keep"],
+                [batch.column(c) for c in others] + [pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), flat,
+                                                        pa.array([len(h) for h in heads], pa.int32()), pa.array(keeps, pa.int32())],
+                names=[*others, "n", "s0", "s1", "head", "length", "keep"],
             )
+        _WORDS.clear()  # the worker goes on to other tasks
 
     return docs.select(*[column(c) for c in others], text_or_empty(text).alias(text)).mapInArrow(run, schema)
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """node, s0, s1, n, first_id, tokens: distinct sets that may have a partner, with the tokens of which a partner keeps one too."""
-    tokens = sketches.filter("n > 0").select("doc_id", "s0", "s1", "n", "keep", F.size("head").alias("length"), F.explode("head").alias("token"))
+    """node, s0, s1, n, first_id, tokens: distinct sets that may have a partner, with the tokens of which a partner keeps one too.
+
+    Tokens travel with no more than the row they come from.
+    """
+    tokens = sketches.filter("n > 0").select("row", "s0", F.explode("head").alias("token"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("uses"), F.min("s0").alias("lo"), F.max("s0").alias("hi"))
     shared = save(counted.filter("lo <> hi").select("token", "uses"), "jaccard-shared")
-    per_set = (
-        tokens.join(shared, "token").groupBy("s0", "s1", "n", "keep", "length")
-        .agg(F.min("doc_id").alias("first_id"), F.collect_set(F.struct("uses", "token")).alias("shared"))
-    )
+    per_row = tokens.select("row", "token").join(shared, "token").groupBy("row").agg(F.collect_list(F.struct("uses", "token")).alias("shared"))
     allowed = F.col("keep") - (F.col("length") - F.size("shared"))
-    kept = per_set.filter(allowed > 0)
-    chosen = F.transform(F.slice(F.sort_array("shared"), F.lit(1), allowed.cast("int")), lambda x: x["token"])
-    return save(kept.select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "n", "first_id", chosen.alias("tokens")), "jaccard-candidates")
+    kept = per_row.join(sketches.select("row", "doc_id", "s0", "s1", "n", "keep", "length"), "row").withColumn("allowed", allowed.cast("int")).filter("allowed > 0")
+    chosen = F.transform(F.slice(F.sort_array("shared"), F.lit(1), F.col("allowed")), lambda x: x["token"])
+    per_set = kept.select("s0", "s1", "n", "doc_id", chosen.alias("tokens")).groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"))
+    return save(per_set.select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "n", "first_id", "tokens"), "jaccard-candidates")
 
 
 def distinct_groups(nodes: DataFrame) -> DataFrame:
@@ -163,6 +168,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
                          pa.array([own], pa.list_(pa.int64())), pa.array([len(own) - int(spots.sum())], pa.int32()), pa.array([np.packbits(spots).tobytes()], pa.binary())],
                         names=["s0", "s1", "members", "spare", "bits"],
                     )
+        _WORDS.clear()
 
     found = rows.mapInArrow(run, "s0 bigint, s1 bigint, members array<bigint>, spare int, bits binary")
     keyed = found.join(nodes.select("node", "s0", "s1", "n"), ["s0", "s1"])
@@ -280,36 +286,73 @@ class SignatureTree:
         return nodes[:, None] * FANOUT + np.arange(FANOUT), FANOUT
 
 
+def tree_of(rows: pa.Table) -> SignatureTree:
+    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
+    return SignatureTree(*[rows[c].to_numpy() for c in ("node", "n")], rows["spare"].to_numpy().astype(np.int64), bits, rows["comp"].to_numpy())
+
+
+def group_pairs(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
+    """What the trees of one token's documents (or of two blocks of them) leave."""
+    second = group["second"].to_numpy(zero_copy_only=False)
+    if group["p"][0] == group["q"][0]:
+        own = tree_of(group)
+        found = own.pairs(own, percent)
+    elif second.all() or not second.any():
+        return
+    else:
+        found = tree_of(group.filter(pa.array(~second))).pairs(tree_of(group.filter(pa.array(second))), percent)
+    for a, b in found:
+        yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
+
+
 def tree_pairs(rows: DataFrame, signatures: DataFrame, percent: int, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Pairs (a, b) of different components that the trees of their common tokens leave.
 
     A token with more documents than `tree_rows` is cut into blocks, a tree for each, and every two blocks meet in a task of their own.
+    Near copies meet under many tokens: the tokens of a family (those whose least node is the same) are dealt to the same SALTS
+    places and pass one after the other, so that a pair leaves a place once.
     """
-    counts = rows.groupBy("token").agg(F.count("*").alias("rows_"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    counts = (
+        rows.groupBy("token").agg(F.count("*").alias("rows_"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("family")).filter("lo <> hi")
+    )
     blocks = F.ceil(F.col("rows_") / tree_rows).cast("int")
-    split = rows.join(counts.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    split = rows.join(counts.select("token", "family", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meeting = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = meeting.select("token", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).alias("second"), "node", "comp")
-    full = dealt.join(signatures.select("node", "n", "spare", "bits"), "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        def tree(part: pa.Table) -> SignatureTree:
-            bits = np.frombuffer(b"".join(part["bits"].to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1)
-            return SignatureTree(*[part[c].to_numpy() for c in ("node", "n")], part["spare"].to_numpy().astype(np.int64), bits, part["comp"].to_numpy())
-
-        second = group["second"].to_numpy(zero_copy_only=False)
-        first = group.filter(pa.array(~second))
-        found = []
-        if group["p"][0] == group["q"][0]:
-            own = tree(group)
-            found = list(own.pairs(own, percent))
-        elif first.num_rows and second.any():
-            found = list(tree(first).pairs(tree(group.filter(pa.array(second))), percent))
-        a = np.concatenate([np.minimum(x, y) for x, y in found] or [np.empty(0, dtype=np.int64)])
-        b = np.concatenate([np.maximum(x, y) for x, y in found] or [np.empty(0, dtype=np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    dealt = meeting.select(
+        "family", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int").alias("salt"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+        "token", (F.col("block") > F.col("other")).alias("second"), "node", "comp",
+    )
+    place = ["family", "salt", "p", "q"]
+    full = dealt.join(signatures.select("node", "n", "spare", "bits"), "node").repartition(*place).sortWithinPartitions(*place, "token")
 
-    return full.groupBy("token", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups() -> Iterator[tuple[tuple, pa.Table]]:
+            key, held = None, []
+            for batch in batches_:
+                keys = np.stack([batch.column(c).to_numpy() for c in (*place, "token")], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for at, end in zip(cuts, cuts[1:]):  # noqa: B905
+                    if end > at:
+                        own = tuple(keys[at].tolist())
+                        if own != key and held:
+                            yield key, pa.Table.from_batches(held)
+                            held = []
+                        key = own
+                        held.append(batch.slice(at, end - at))
+            if held:
+                yield key, pa.Table.from_batches(held)
+
+        family, seen = None, set()
+        for key, group in groups():
+            if key[:4] != family or len(seen) > MAX_SEEN:
+                family, seen = key[:4], set()
+            new = [pair for pair in group_pairs(group, percent) if pair not in seen]
+            if new:
+                seen.update(new)
+                a, b = zip(*new, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return full.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = LEADER_ROUNDS, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -319,7 +362,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
     shingles and are linked with nothing: their component is their own id. Rows without id take part; where all rows of a
     component have none, component_id is NULL. Repeated rows repeat.
     """
-    sketches = save(sketched(docs.select("doc_id", column(text).alias("text")), "text", percent), "jaccard-sketches")
+    sketches = save(sketched(docs.select("doc_id", column(text).alias("text")), "text", percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sketches")
     nodes = candidates(sketches)
     sets = sets_of(docs, nodes, text)
     rows = distinct_groups(nodes)
