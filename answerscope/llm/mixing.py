@@ -8,6 +8,7 @@ pseudorandom permutation of the source's blocks, another one for each round thro
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -243,8 +244,6 @@ def mixed_texts(docs: DataFrame, text: str = "text", source: str = "source", key
 
 def cut_out(text: str, spans: list[dict]) -> str:
     """The words of `spans` (turn, from, to; sorted), touching spans of a turn as one."""
-    import re
-
     starts = [m.start() for m in re.finditer(WORD, text)]
     n, joined = len(starts), []
     for s in spans:
