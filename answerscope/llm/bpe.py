@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches, prepare, table, text_or_empty
 
 #: Bounds of the tables that grow while running; a full table is emptied, which costs time only.
-MAX_STATES, MAX_PIECES, MAX_MOVES = 300_000, 800_000, 200_000
+MAX_STATES, MAX_PIECES, MAX_MOVES = 300_000, 300_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +43,11 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.begun = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
+        # Every beginning of a token, as one object each: states hold many references to them.
+        self.begun: dict[bytes, bytes] = {}
+        for t in ranks:
+            for i in range(1, len(t) + 1):
+                self.begun.setdefault(t[:i], t[:i])
         self._spines: dict[tuple[bytes, int], list[tuple[bytes, float]]] = {}
         self._valid: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.known: dict[tuple[bytes, bytes], bool] = {}
@@ -93,7 +97,7 @@ class Merges:
         It doesn't when, along the border, parts of both that are there at the same time merge before either is merged
         into its own token. Of equal ranks the left one goes first.
         """
-        if len(self.known) >= 2 * MAX_STATES:
+        if len(self.known) >= MAX_STATES // 3:
             self.known.clear()
         self.known[(a, b)] = stand = self.reachable(b) and (not a or self._apart(a, b))
         return stand
@@ -117,42 +121,43 @@ class Transducer:
 
     def reset(self) -> None:
         """Empties the table of states."""
-        # A state is a dict byte -> (emitted ids, next state); -1 holds the ids that are due at the end.
+        # A state is a dict byte -> (emitted ids, next state); -1 holds the ids that are due at the end, -2 the hypotheses,
+        # flat: tokens that are not emitted yet, the last token before, the bytes read since.
         self.states: dict[tuple, dict] = {}
-        self.hypotheses: dict[int, tuple] = {}
-        self.start = self.state((((), b"", b""),))
+        self.start = self.state(((), b"", b""))
 
     def state(self, hypotheses: tuple) -> dict:
         found = self.states.get(hypotheses)
         if found is None:
-            found = self.states[hypotheses] = {-1: tuple([self.ids[t] for t in hypotheses[-1][0]])}
-            self.hypotheses[id(found)] = hypotheses
+            due = hypotheses[-3]  # the hypothesis that is complete comes last
+            found = self.states[hypotheses] = {-1: tuple([self.ids[t] for t in due]) if due else (), -2: hypotheses}
         return found
 
     def move(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
         """Computes and keeps the transition of a state on a byte."""
-        merges, ranks, last_byte = self.merges, self.ids, bytes((byte,))
+        merges, ranks, last_byte, hypotheses = self.merges, self.ids, bytes((byte,)), state[-2]
         begun, known = merges.begun, merges.known
-        # Hypotheses stay in the order of the place where their token began, the one that is complete comes last.
-        alive: list[tuple[tuple, bytes, bytes]] = []
+        # Hypotheses stay in the order of the place where their token began.
+        alive: list = []
         complete = None
-        for out, before, pending in self.hypotheses[id(state)]:
-            read = pending + last_byte
-            if read in begun:
-                alive.append((out, before, read))
+        for i in range(0, len(hypotheses), 3):
+            out, before = hypotheses[i], hypotheses[i + 1]
+            read = begun.get(hypotheses[i + 2] + last_byte)
+            if read is not None:
+                alive += (out, before, read)
                 if complete is None and read in ranks:
                     fits = known.get((before, read))
                     if merges.fits(before, read) if fits is None else fits:
-                        complete = (out + (read,), read, b"")
-        alive.append(complete)
-        agreed = alive[0][0]
-        for out, _, _ in alive:
+                        complete = ((*out, read), read, b"")
+        alive += complete
+        agreed = alive[0]
+        for out in alive[3::3]:
             if agreed and out[: len(agreed)] != agreed:
                 agreed = os.path.commonprefix((agreed, out))
         if agreed:
             k = len(agreed)
-            alive = [(out[k:], before, pending) for out, before, pending in alive]
-        done = (tuple([ranks[t] for t in agreed]), self.state(tuple(alive)))
+            alive[::3] = [out[k:] for out in alive[::3]]
+        done = (tuple([ranks[t] for t in agreed]) if agreed else (), self.state(tuple(alive)))
         state[byte] = done
         return done
 
@@ -174,8 +179,8 @@ class Transducer:
 class Encoder:
     """Text -> token ids: each match of the pattern goes through the transducer by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer, self.pieces = Transducer(ranks), {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+        self.transducer, self.pieces, self.max_pieces = Transducer(ranks, max_states), {}, max_pieces
         self.split = regex.compile(pattern).findall
 
     def encode(self, text: str) -> array:
@@ -186,7 +191,7 @@ class Encoder:
             if known is None:
                 known = run(piece.encode("utf-8", "surrogatepass"))
                 if len(piece) <= 32:
-                    if len(pieces) >= MAX_PIECES:
+                    if len(pieces) >= self.max_pieces:
                         pieces.clear()
                     pieces[piece] = known = tuple(known)
             ids.extend(known)
@@ -267,15 +272,15 @@ class Utf8Machine:
         return "".join(self.stream(ids))
 
 
-_LOADED: dict[tuple[str, str], tuple[Encoder, Utf8Machine]] = {}
+_LOADED: dict[tuple, tuple[Encoder, Utf8Machine]] = {}
 
 
-def codec(path: str, pattern: str) -> tuple[Encoder, Utf8Machine]:
-    """Encoder and decoder of a rank file, made once per Python process."""
-    key = (path, pattern)
+def codec(path: str, pattern: str, tables: tuple[int, int] = (MAX_STATES, MAX_PIECES)) -> tuple[Encoder, Utf8Machine]:
+    """Encoder and decoder of a rank file, made once per Python process. `tables` bounds the states and the pieces that are remembered."""
+    key = (path, pattern, tables)
     if key not in _LOADED:
         ranks = read_ranks(path)
-        _LOADED[key] = (Encoder(ranks, pattern), Utf8Machine({i: t for t, i in ranks.items()}))
+        _LOADED[key] = (Encoder(ranks, pattern, *tables), Utf8Machine({i: t for t, i in ranks.items()}))
     return _LOADED[key]
 
 
@@ -301,16 +306,19 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return tokens.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, tables: tuple[int, int] = (MAX_STATES, MAX_PIECES)) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids) per row; NULL text counts as empty, repeated rows give repeated results.
 
+    Smaller `tables` save memory (about 1 kB a state, 0.2 kB a piece) and cost time.
+
     Encoding, decoding and hashing of a text happen in one visit, so that the ids of long texts aren't moved unless asked for.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, machine = codec(path, pattern)
-        for batch in batches(rows):
+        encoder, machine = codec(path, pattern, tables)
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
+        for batch in batches(rows, 4 << 20):
             gc.freeze()  # the tables are large and live on; the collector need not visit them again and again
             counts, id_hashes, text_hashes, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bucket_of, prepare, save, table, text_or_empty
+from .common import bucket_of, prepare, save, table, text_or_empty
 
 #: The classifier is fitted on at most so many labelled rows of either label, the first in the order of a hash of their id.
 SAMPLE_PER_LABEL = 3000
@@ -29,7 +29,7 @@ THRESHOLD, BIAS, FLOOR = 0.7, -6.0, 0.05
 PREFIXES = (4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
-MAX_KEPT = 300_000
+MAX_KEPT = 100_000
 
 
 def features(word: str) -> list[str]:
