@@ -375,8 +375,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
         return save(own.join(mixed, "token", "left_semi"), "jaccard-rows")
 
     def joined(more: DataFrame) -> DataFrame:
-        found = components(more.unionAll(comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        return save(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "jaccard-comps")
+        """Components after more links: each link counts as one between the components of its ends, however many nodes they have."""
+        side = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        ends = more.join(side("a"), "a").join(side("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        found = components(ends.filter("a <> b")).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
+        return save(comps.join(found, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "jaccard-comps")
 
     left = with_comps()
     for salt in range(rounds):
