@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, text: str, percent: int) -> DataFrame:
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """node, s0, s1, n, first_id, tokens: distinct sets that may have a partner, with the tokens of which a partner keeps one too.
+    """node, s0, s1, n, first_id, central, tokens: distinct sets that may have a partner, with the tokens of which a partner keeps one too.
 
     Tokens travel with no more than the row they come from.
     """
@@ -133,17 +133,22 @@ def candidates(sketches: DataFrame) -> DataFrame:
     allowed = F.col("keep") - (F.col("length") - F.size("shared"))
     kept = per_row.join(sketches.select("row", "doc_id", "s0", "s1", "n", "keep", "length"), "row").withColumn("allowed", allowed.cast("int")).filter("allowed > 0")
     chosen = F.transform(F.slice(F.sort_array("shared"), F.lit(1), F.col("allowed")), lambda x: x["token"])
-    per_set = kept.select("s0", "s1", "n", "doc_id", chosen.alias("tokens")).groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("first_id"), F.first("tokens").alias("tokens"))
-    return save(per_set.select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "n", "first_id", "tokens"), "jaccard-candidates")
+    # Documents that use a token of the head, on average: the text that others were edited from shares more than any of them.
+    uses = F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["uses"])
+    central = (uses + F.col("length") - F.size("shared")) / F.col("length")
+    per_set = kept.select("s0", "s1", "n", "doc_id", central.alias("central"), chosen.alias("tokens")).groupBy("s0", "s1", "n").agg(
+        F.min("doc_id").alias("first_id"), F.max("central").alias("central"), F.first("tokens").alias("tokens")
+    )
+    return save(per_set.select(F.monotonically_increasing_id().alias("node"), "s0", "s1", "n", "first_id", "central", "tokens"), "jaccard-candidates")
 
 
 def distinct_groups(nodes: DataFrame) -> DataFrame:
-    """node, n, token: the groups of nodes that share a kept token, each group once.
+    """node, n, central, token: the groups of nodes that share a kept token, each group once.
 
     Near copies share nearly all tokens, so most groups repeat each other. A group is known by its size and two 64-bit sums (xor)
     of independent hashes of its nodes; of the tokens with equal groups one is kept.
     """
-    rows = nodes.select("node", "n", F.explode("tokens").alias("token"))
+    rows = nodes.select("node", "n", "central", F.explode("tokens").alias("token"))
     sums = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (0, 1)]
     groups = rows.groupBy("token").agg(F.count("*").alias("size"), *sums).filter("size > 1")
     kept = save(groups.groupBy("size", "x0", "x1").agg(F.min("token").alias("token")).select("token"), "jaccard-tokens")
@@ -211,9 +216,9 @@ def near_sizes(a: str, b: str, percent: int):
 
 
 def leader_pairs(rows: DataFrame, salt: int, percent: int) -> DataFrame:
-    """For every node at most one pair with a leader of another component: of each token's nodes the first in a pseudorandom order leads,
-    and a node tries the leader that comes first of all its tokens'."""
-    rank = F.xxhash64(F.lit(salt), "node")
+    """For every node at most one pair with a leader of another component: of each token's nodes the most central one leads (salt 0), or the
+    first in a pseudorandom order, and a node tries the leader that comes first of all its tokens'."""
+    rank = F.struct((-F.col("central") if salt == 0 else F.lit(0.0)).alias("far"), F.xxhash64(F.lit(salt), "node").alias("hash"))
     leaders = rows.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"))).alias("l"))
     tried = rows.join(leaders, "token").filter((F.col("comp") != F.col("l.leader_comp")) & near_sizes("n", "l.leader_n", percent))
     best = tried.groupBy("node").agg(F.min("l").alias("l"))
