@@ -1,7 +1,9 @@
 """Substring dedup by line hashing (operator 3).
 
 A text is cut into units: lines, and within a line at sentence ends, where a sentence of fewer than SHORT words joins the next one.
-Units are normalised (case, white space, punctuation) and hashed to 128 bits; digests are grouped over all documents. The occurrence
+A unit of more than SPAN words is cut again, before words that the words themselves choose: of every SPAN neighbouring places between two
+words the one with the least hash of these two words. Equal passages are cut alike but for SPAN words at either end (and SHORT - 1 more at the first sentence end), so
+one of 51 words or more always holds whole units of LEAST_WORDS words, wherever it begins and ends. Units are normalised (case, white space, punctuation) and hashed to 128 bits; digests are grouped over all documents. The occurrence
 that ranks first (by doc_id, then by place) stays, all others go. So that short phrases which anybody may write stay
 everywhere, units are removed in runs: neighbouring repeated units that hold LEAST_WORDS words or more together.
 
@@ -11,6 +13,7 @@ Passages often begin or end in the middle of a line of the document that quotes
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,16 +23,44 @@ from pyspark.sql import functions as F
 
 from .common import batches, column, prepare, save, table, text_or_empty
 
-SHORT, LEAST_WORDS = 4, 20
+SHORT, LEAST_WORDS, SPAN = 4, 20, 14
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|[.!?]+|\n+|$)")
 PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+(?:\n\s*\n)?|\n\s*\n|\n")
 NORMAL = re.compile(r"[^\w]+")
+WORD = re.compile(r"\w+")
 
 
 def normal(unit: str) -> str:
     return NORMAL.sub(" ", unit).strip().lower()
 
 
+def places(words: list[str]) -> list[int]:
+    """Where a unit is cut again (before which words): the last least hash of each SPAN neighbouring places."""
+    hashes = [zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:])]  # noqa: B905
+    cuts, least = [], -1
+    for end in range(SPAN, len(hashes) + 1):
+        if least < end - SPAN:
+            window = hashes[end - SPAN : end]
+            least = end - 1 - window[::-1].index(min(window))
+        elif hashes[end - 1] <= hashes[least]:
+            least = end - 1
+        else:
+            continue
+        cuts.append(least + 1)
+    return cuts
+
+
+def cut_again(text: str, begin: int, end: int, own: str) -> Iterator[tuple[int, int, int, str]]:
+    words = own.split(" ")
+    cuts = places(words)
+    starts = [m.start() for m in WORD.finditer(text, begin, end)] if cuts else []
+    at = 0
+    for cut in cuts:
+        yield begin, starts[cut], cut - at, " ".join(words[at:cut])
+        begin, at = starts[cut], cut
+    yield begin, end, len(words) - at, " ".join(words[at:])
+
+
 def units(text: str, paragraphs: bool = False) -> Iterator[tuple[int, int, int, str]]:
     """(start, end, words, normalised text) of each unit that has a word. Units don't overlap; ends are exclusive."""
     begin, words, parts = 0, 0, []
@@ -44,7 +75,11 @@ def units(text: str, paragraphs: bool = False) -> Iterator[tuple[int, int, int,
         # A place is a boundary by what stands right before it, so equal passages are cut alike wherever they stand.
         if paragraphs or n >= SHORT or m.end() == len(text):
             if parts:
-                yield begin, m.end(), words, " ".join(parts)
+                own = " ".join(parts)
+                if paragraphs or words <= SPAN:
+                    yield begin, m.end(), words, own
+                else:
+                    yield from cut_again(text, begin, m.end(), own)
             begin, words, parts = m.end(), 0, []
 
 

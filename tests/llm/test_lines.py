@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from answerscope.llm import lines as L
@@ -66,3 +68,22 @@ def test_edge_rows(edge):
     out = L.deduplicated(edge)
     assert out.count() == edge.count() and set(out.columns) == set(edge.columns)
     assert L.repeats(edge.select("doc_id", "text").limit(0)).count() == 0 and L.deduplicated(edge.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stops", [(), (27,), (3, 30), (12, 26, 40), range(2, 51, 3)])
+def test_passages_of_51_words_go_wherever_they_are_pasted(stops):
+    """Glued to words of either host, with few or no sentence ends, some whole units of a passage are left in each."""
+    rng = random.Random(5)
+    for n in range(200):
+        passage = " ".join(f"w{rng.randrange(400)}" + "." * (i in stops) for i in range(51))
+        hosts = [" ".join(f"{side}{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))) for side in "abcd"]
+        rows = [(1, f"{hosts[0]} {passage} {hosts[1]}"), (2, f"{hosts[2]} {passage} {hosts[3]}")]
+        spans = plain(rows)
+        assert spans and all(rows[1][1].index(passage) <= s[1] < s[2] <= rows[1][1].index(passage) + len(passage) + 1 for s in spans), n
+
+
+def test_passage_without_sentence_ends(docs_of):
+    passage = " ".join(f"word{i}" for i in range(54))
+    rows = [(1, f"one host {passage} ends"), (2, f"some other host starts like this {passage} and goes on")]
+    (span,) = L.repeats(docs_of(rows)).collect()
+    assert span.doc_id == 2 and span.n_words >= L.LEAST_WORDS and rows[1][1][span.start : span.end] in passage + " "
