@@ -12,11 +12,14 @@
    are traversed together; a pair of nodes is left when the largest overlap possible is too small or all below is connected already.
 5. Every pair that remains is compared exactly, and components of the links are found by alternating stars.
 
+6. How many links a set has is counted apart: the trees of all tokens are traversed once more, connected or not, and compared exactly in the task.
+
 Steps 2 to 5 lose no link between components: a pair is left out only when it can't link or needn't.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -360,8 +363,87 @@ def tree_pairs(rows: DataFrame, signatures: DataFrame, percent: int, tree_rows:
     return full.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = LEADER_ROUNDS, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
+def common_sizes(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Common members of a sorted set with each of some other sets."""
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def link_counts(rows: DataFrame, sets: DataFrame, percent: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """node, n_links: how many other nodes each node links to, connected already or not.
+
+    The trees of each token's nodes are traversed without regard to components, and what they leave is compared exactly in the same task. A pair
+    counts under the least token that both nodes keep, so once, and only sums per node are shuffled. A token with more nodes than `tree_rows` is cut into
+    blocks as in tree_pairs; the tokens of a family pass at one place, to which a node's set is sent once.
+    """
+    counts = rows.groupBy("token").agg(F.count("*").alias("rows_"), F.min("node").alias("family"))
+    split = rows.join(counts.select("token", "family", F.ceil(F.col("rows_") / tree_rows).cast("int").alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meeting = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = ["family", "p", "q"]
+    dealt = meeting.select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.struct("token", (F.col("block") > F.col("other")).alias("second")).alias("t"), "node"
+    ).groupBy(*place, "node").agg(F.collect_list("t").alias("own"))
+    kept = rows.groupBy("node").agg(F.collect_list("token").alias("kept"))
+    full = dealt.join(kept, "node").join(sets, "node").select(*place, "node", F.col("own.token").alias("tokens"), F.col("own.second").alias("seconds"), "kept", "members", "spare", "bits")
+    full = full.repartition(*place).sortWithinPartitions(*place)
+
+    def counted(nodes: list[tuple], across: bool) -> Counter:
+        """Links of the nodes of one place, between its two blocks or within the one."""
+        members, keeps, info, groups, found = {}, {}, {}, {}, Counter()
+        for node, tokens, seconds, keep, own, spare, bits in nodes:
+            members[node], keeps[node], info[node] = own, frozenset(keep), (spare, bits)
+            for token, second in zip(tokens, seconds, strict=True):
+                groups.setdefault(token, ([], []))[second].append(node)
+
+        def tree(ids: list[int]) -> SignatureTree:
+            sizes, spare = (np.array(x, dtype=np.int64) for x in ([len(members[i]) for i in ids], [info[i][0] for i in ids]))
+            bits = np.frombuffer(b"".join(info[i][1] for i in ids), dtype=np.uint64).reshape(len(ids), -1)
+            return SignatureTree(np.array(ids, dtype=np.int64), sizes, spare, bits, np.array(ids, dtype=np.int64))
+
+        for token, (first, second) in groups.items():
+            if across and not (first and second):
+                continue
+            left = tree(first)
+            for a, b in left.pairs(tree(second) if across else left, percent):
+                order = np.argsort(a, kind="stable")
+                partners: dict[int, list[int]] = {}
+                for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                    if min(keeps[x] & keeps[y]) == token:
+                        partners.setdefault(x, []).append(y)
+                for x, ys in partners.items():
+                    both = common_sizes(members[x], [members[y] for y in ys])
+                    total = np.array([len(members[y]) for y in ys]) + len(members[x]) - both
+                    for y in np.array(ys)[100 * both >= percent * total].tolist():
+                        found[x] += 1
+                        found[y] += 1
+        return found
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places() -> Iterator[tuple[list[tuple], bool]]:
+            key, held = None, []
+            for batch in batches_:
+                keys = np.stack([batch.column(c).to_numpy() for c in place], axis=1).tolist()
+                plain = [batch.column(c).to_pylist() for c in ("node", "tokens", "seconds", "kept", "spare", "bits")]
+                for i, (own, node, tokens, seconds, keep, spare, bits) in enumerate(zip(keys, *plain, strict=True)):
+                    if own != key and held:
+                        yield held, key[1] != key[2]
+                        held = []
+                    key = own
+                    held.append((node, tokens, seconds, keep, batch.column("members")[i].values.to_numpy().copy(), spare, bits))
+            if held:
+                yield held, key[1] != key[2]
+
+        for nodes, across in places():
+            found = counted(nodes, across)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["node", "n_links"])
+
+    return full.mapInArrow(run, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = LEADER_ROUNDS, tree_rows: int = TREE_ROWS, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`, and with `links` n_links, the number of other distinct sets that the row's set links to.
 
     component_id is the smallest doc_id that is reached by links (copies are linked). Texts without words, NULL ones too, have no
     shingles and are linked with nothing: their component is their own id. Rows without id take part; where all rows of a
@@ -402,10 +484,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
     placed = nodes.join(comps, "node")
     least = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     smallest = placed.join(least, "comp")
+    if links:
+        smallest = smallest.join(save(link_counts(rows, sets, percent, tree_rows), "jaccard-degrees"), "node", "left")
+    else:
+        smallest = smallest.withColumn("n_links", F.lit(0))
     per_set = sketches.filter("n > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("own_first"))
-    per_set = per_set.join(smallest.select("s0", "s1", "component_id"), ["s0", "s1"], "left").select("s0", "s1", F.coalesce("component_id", "own_first").alias("component_id"))
+    per_set = per_set.join(smallest.select("s0", "s1", "component_id", "n_links"), ["s0", "s1"], "left").select("s0", "s1", F.coalesce("component_id", "own_first").alias("component_id"), "n_links")
     return sketches.join(per_set, ["s0", "s1"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *[F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * links,
     )
 
 
@@ -417,4 +504,4 @@ def drop_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -
 
 
 def op9_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_components(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"), links=True)

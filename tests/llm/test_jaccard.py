@@ -123,3 +123,30 @@ def test_edge_rows(edge):
     kept = J.drop_near_copies(edge)
     assert kept.columns == edge.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 3 4 5 6 8 9 None None".split())
     assert J.jaccard_components(edge.limit(0)).count() == 0
+
+
+def degrees(rows):
+    """Distinct other sets that each row's set links to, by brute force."""
+    sets = {s for _, t in rows if (s := shingles(t))}
+    linked = Counter()
+    for a in sets:
+        for b in sets:
+            if a != b and 100 * (both := len(a & b)) >= 80 * (len(a) + len(b) - both):
+                linked[a] += 1
+    return sorted(((d, linked[shingles(t)]) for d, t in rows), key=str)
+
+
+@pytest.mark.parametrize(("seed", "tree_rows"), [(1, 1024), (2, 4)])
+def test_links_equal_brute_force(docs_of, seed, tree_rows):
+    """All links count, also those inside what is connected already; small blocks meet each other."""
+    rows = corpus(seed)
+    got = J.jaccard_components(docs_of(rows), tree_rows=tree_rows, links=True).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=str) == degrees(rows)
+    assert sorted((tuple(r)[:3] for r in got), key=str) == plain(rows) and max(r.n_links for r in got) > 2
+
+
+def test_links_of_edge_rows(edge):
+    rows = [(r.doc_id, r.text) for r in edge.collect()]
+    got = J.jaccard_components(edge, links=True)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == degrees(rows)
+    assert J.jaccard_components(edge.limit(0), links=True).count() == 0
