@@ -44,6 +44,8 @@ BLOCK_TAGS = frozenset(
     "th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; any other opening tag, or text, ends it.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes".split())
 #: An opening tag ends an open element of these kinds, as far up as the nearest of the limits.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -116,6 +118,8 @@ def read_blocks(html: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal current
+        if skipping and text.strip():
+            leave_head()
         if skipping or not text:
             return
         if current is None:
@@ -142,6 +146,11 @@ def read_blocks(html: str) -> list[Block]:
             if stack[i].tag in limits:
                 return
 
+    def leave_head() -> None:
+        nonlocal skipping
+        skipping = 0
+        close(("head",))
+
     for m in TOKEN.finditer(html):
         if m.start() > at:
             add(html[at : m.start()])
@@ -156,8 +165,8 @@ def read_blocks(html: str) -> list[Block]:
             links = 0 if end else 1
         if tag == "head":
             skipping = 0 if end else 1
-        elif tag == "body":
-            skipping = 0
+        elif skipping and not end and tag not in HEAD_TAGS:
+            leave_head()
         if tag in BLOCK_TAGS:
             current = None
             links = 0

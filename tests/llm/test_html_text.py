@@ -81,3 +81,11 @@ def test_query_against_the_articles(session):
         blocks = [re.sub(r"[\x20\x09-\x0D]+", " ", unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+@pytest.mark.parametrize("first", ["<p>", "<div><p>", "<h1>Head line</h1><p>", "", "<b>Bold</b> "])
+def test_head_without_end_tag(first):
+    """The end of the head and the start of the body may be left out; title, styles and scripts stay out."""
+    got = H.main_text(f'<html><head><meta charset="utf-8"><title>T</title><style>p{{}}</style><link rel="x">{first}{LONG}<p>{LONG} Two.')
+    assert got.endswith(f"{LONG}\n\n{LONG} Two.") and "T\n" not in got and "{" not in got
+    assert H.main_text(f"<html><head><title>T</title></head><body>{first}{LONG}<p>{LONG} Two.") == got
