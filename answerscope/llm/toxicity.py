@@ -3,8 +3,8 @@
 A document is a bag of sentences. A sentence's probability is a logistic function of its distinct words and their
 beginnings, measured against a sentence without any evidence (whose probability is 0); a document's is their noisy-or,
 1 - prod(1 - p). Only documents carry labels, so the weights are trained on the document's likelihood, and
-afterwards the sentence probabilities say where the offence is. A sentence below FLOOR counts as 0, so that many sentences of
-slight evidence don't add up with a document's length.
+afterwards the sentence probabilities say where the offence is. Training and scoring use the same noisy-or: slight evidence in many
+sentences adds up; only sentences without any count nothing, however long the document.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import bucket_of, prepare, save, table, text_or_empty
 SAMPLE_PER_LABEL = 3000
 #: Features whose surplus of toxic documents could be chance (among all features tested) get no weight; at most so many do.
 MAX_FEATURES = 20_000
-THRESHOLD, BIAS, FLOOR = 0.7, -6.0, 0.05
+THRESHOLD, BIAS = 0.7, -6.0
 PREFIXES = (4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 WORD = re.compile(r"[^\W_]+")
@@ -135,8 +135,7 @@ class Scorer:
             if z > 0:
                 hazard = math.log1p(math.exp(min(BIAS + z, 30.0))) - self.idle
                 p = -math.expm1(-hazard)
-                if p >= FLOOR:
-                    alive -= hazard
+                alive -= hazard
                 if p >= 0.5:
                     offending.append((m.start(), m.end(), p))
         if not spans and offending:  # lower-casing changed the length: find the same sentences in the text itself

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -62,3 +63,11 @@ def test_edge_rows(session, edge):
     assert T.train(edge, labels.limit(0)) == T.train(edge.limit(0), labels) == {}
     assert T.drop_toxic(edge, labels.limit(0)).columns == edge.columns and T.drop_toxic(edge, labels.limit(0)).count() == edge.count()
     assert T.score(edge.limit(0), {}).count() == 0
+
+
+def test_spread_evidence_adds_up():
+    """40 sentences of 0.049 each make 1 - 0.951 ** 40 = 0.87, as in training."""
+    z = math.log(math.expm1(-math.log(0.951) + math.log1p(math.exp(T.BIAS)))) - T.BIAS
+    p, offending = T.Scorer({"hint": z}).sentences("A hint here. " * 40)
+    assert p == pytest.approx(1 - 0.951**40) and p > T.THRESHOLD and offending == []
+    assert T.Scorer({"hint": z}).sentences("Nothing here. " * 4000) == (0, [])
