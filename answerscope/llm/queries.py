@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, html_text, jaccard, lines, maxent, merkle, mixing, secrets, toxicity
+from . import bpe, dialogs, exact, html_text, jaccard, lines, maxent, merkle, mixing, periodic, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_min_cut": html_text.op1_min_cut,
@@ -20,9 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_naming": exact.op8_block_naming,
     "op9_signature_trees": jaccard.op9_signature_trees,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_suffix_dawg": dialogs.op11_suffix_dawg,
+    "op12_run_detection": periodic.op12_run_detection,
+    "op13_line_rules": quality.op13_line_rules,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op8_block_naming": exact.ORACLE,
+    "op13_line_rules": quality.ORACLE,
 }
