@@ -1,8 +1,8 @@
 """As-of lookup without a range join.
 
 A range join pairs every left row of a key with every earlier right row of that key, which is
-quadratic for a hot key. Here both sides are laid on one time line cut into chunks: the last right
-row before a chunk comes from a small per-chunk table, the rest from a window inside the chunk.
+quadratic for a hot key. Here both sides are laid on one time line cut into nested chunks: the last right
+row before a chunk comes from small tables of one row per chunk, the rest from a window inside the chunk.
 """
 
 from __future__ import annotations
@@ -12,35 +12,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import carried, join_carried, time_chunks
+
 
 def as_of_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
-    take: Sequence[str], tie: Sequence[str] = (), chunk: str = "hour", strict: bool = False,
+    take: Sequence[str], tie: Sequence[str] = (), chunk: Sequence[str] = ("hour", "second"), strict: bool = False,
 ) -> DataFrame:
     """Each left row with `take` of the latest right row at or before it (before it, if `strict`).
 
     Equal right times are ordered by `tie`. Left rows without a match get NULLs. Keys are never NULL.
     """
-    keys = list(keys)
+    keys, chunk = list(keys), [chunk] if isinstance(chunk, str) else list(chunk)
     value = F.struct(F.col(right_ts).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(tie)], *take)
     r = right.filter(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("__t"), value.alias("__v"))
     l = left.withColumn("__t", F.col(left_ts))  # noqa: E741
-    cut = F.date_trunc(chunk, F.col("__t")).alias("__chunk")
+    levels = [f"__chunk{i}" for i in range(len(chunk))]
+    cuts = dict(zip(levels, time_chunks(F.col("__t"), *chunk)))
+    cut = [c.alias(name) for name, c in cuts.items()]
 
-    per_chunk = r.groupBy(*keys, cut).agg(F.max("__v").alias("__v"))
-    asked = l.select(*keys, cut).distinct().withColumn("__v", F.lit(None).cast(per_chunk.schema["__v"].dataType))
-    line = per_chunk.unionByName(asked).groupBy(*keys, "__chunk").agg(F.max("__v").alias("__v"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = line.select(
-        *[F.col(k).alias(f"__c_{k}") for k in keys], F.col("__chunk").alias("__c_chunk"), F.max("__v").over(before).alias("__carry")
-    )
+    per_chunk = r.groupBy(*keys, *cut).agg(F.max("__v").alias("__v"))
+    asked = l.select(*keys, *cut).distinct().withColumn("__v", F.lit(None).cast(per_chunk.schema["__v"].dataType))
+    line = per_chunk.unionByName(asked).groupBy(*keys, *levels).agg(F.max("__v").alias("__v"))
 
     right_side = 1 if strict else 0
     both = l.withColumn("__side", F.lit(1 - right_side)).unionByName(
         r.withColumn("__side", F.lit(right_side)), allowMissingColumns=True
-    ).withColumn("__chunk", F.date_trunc(chunk, F.col("__t")))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ).withColumns(cuts)
+    inside = Window.partitionBy(*keys, *levels).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("__in", F.max("__v").over(inside)).filter(F.col("__side") == 1 - right_side)
-    on = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__chunk") == F.col("__c_chunk")]
-    out = seen.join(carry, on, "left").withColumn("__best", F.coalesce("__in", "__carry"))
-    return out.select(*left.columns, *[F.col(f"__best.{c}").alias(c) for c in take])
+    out = join_carried(seen, carried(line, keys, levels, F.max, ["__v"]), keys, levels, {"__carry": "__v"})
+    best = out.withColumn("__best", F.coalesce("__in", "__carry"))
+    return best.select(*left.columns, *[F.col(f"__best.{c}").alias(c) for c in take])

@@ -1,79 +1,111 @@
 """Ordering helpers that never put one whole group into one task.
 
-A plain `row_number().over(partitionBy(key))` sorts a group in one task, which fails when one
-key holds a third of the rows. These helpers split a group by a coarse, ordered chunk first
-(an hour, a value band), number inside the chunk and add the chunk's start from a small
-pre-aggregated table.
+A plain `row_number().over(partitionBy(key))` sorts a group in one task, which fails when one key holds a third of the rows. These
+helpers split a group by nested, ordered chunks first (an hour and its seconds, a band of values and its parts), number inside the
+finest chunk and add what lies before it. That comes from pre-aggregated tables, a level at a time: seconds inside their hour,
+hours inside their key, so that none of their windows is longer than the number of parts of one chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: One chunk, or nested ones from the coarsest to the finest. None may decrease along the order of the rows.
+Chunks = Column | Sequence[Column]
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "pos") -> DataFrame:
-    """1-based position per key in `order`. `chunk` must not decrease along `order`."""
-    chunked = df.withColumn("__chunk", chunk)
-    starts = _chunk_starts(chunked.groupBy(*keys, "__chunk").agg(F.count("*").alias("__n")), keys)
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    return (
-        _join_starts(chunked.withColumn("__in", F.row_number().over(inside)), starts, keys)
-        .withColumn(out, (F.col("__start") + F.col("__in")).cast("long"))
-        .drop("__chunk", "__in", "__start")
-    )
+
+def time_chunks(ts: Column, *units: str) -> list[Column]:
+    """Nested chunks of a time, by default hours and seconds: a series with nearly all its rows in one hour is still cut."""
+    return [F.date_trunc(unit, ts) for unit in units or ("hour", "second")]
+
+
+def value_chunks(value: Column) -> list[Column]:
+    """Nested chunks of numbers of any scale, by their logarithm: 256 to a factor of e, those in 4096 parts each, and these again.
+
+    An outlier takes chunks of its own and leaves the others as they are. Above 1 the finest chunk holds numbers equal to ten
+    digits, so at most about a million different doubles.
+    """
+    size = F.signum(value) * F.log1p(F.abs(value))
+    return [F.floor(size * float(256 * 4096**level)) for level in range(3)]
+
+
+def _chunked(df: DataFrame, chunk: Chunks) -> tuple[DataFrame, list[str]]:
+    levels = [chunk] if isinstance(chunk, Column) else list(chunk)
+    names = [f"__chunk{i}" for i in range(len(levels))]
+    return df.withColumns(dict(zip(names, levels))), names
+
+
+def carried(table: DataFrame, keys: Sequence[str], levels: Sequence[str], combine: Callable[[str], Column], values: Sequence[str]) -> DataFrame:
+    """Per row of `table` (one per key and finest chunk) the `values` combined over all chunks of the key before it; NULL where there is none.
+
+    `combine` is F.sum or F.max; of maxima, a later chunk's is the greater one.
+    """
+    keys, parents, fine = list(keys), list(levels[:-1]), levels[-1]
+    before = Window.partitionBy(*keys, *parents).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
+    inside = table.select(*keys, *levels, *[combine(v).over(before).alias(v) for v in values])
+    if not parents:
+        return inside
+    above = carried(table.groupBy(*keys, *parents).agg(*[combine(v).alias(v) for v in values]), keys, parents, combine, values)
+    renamed = above.select(*[F.col(c).alias(f"__u_{c}") for c in above.columns])
+    joined = inside.join(renamed, [F.col(c) == F.col(f"__u_{c}") for c in [*keys, *parents]], "left")
+    if combine is F.sum:
+        both = {v: F.coalesce(F.col(v) + F.col(f"__u_{v}"), v, f"__u_{v}") for v in values}
+    else:
+        both = {v: F.coalesce(v, f"__u_{v}") for v in values}
+    return joined.select(*keys, *levels, *[c.alias(v) for v, c in both.items()])
+
+
+def join_carried(df: DataFrame, table: DataFrame, keys: Sequence[str], levels: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """`df` with the columns `names` (new name: column of `table`) of its chunk; plain equality keeps a window's partitioning, keys are never NULL."""
+    on = [*keys, *levels]
+    side = table.select(*[F.col(c).alias(f"__s_{c}") for c in on], *[F.col(c).alias(out) for out, c in names.items()])
+    return df.join(side, [F.col(c) == F.col(f"__s_{c}") for c in on], "left").drop(*[f"__s_{c}" for c in on])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Chunks, out: str = "pos") -> DataFrame:
+    """1-based position per key in `order`."""
+    chunked, levels = _chunked(df, chunk)
+    counts = chunked.groupBy(*keys, *levels).agg(F.count("*").alias("__n"))
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order)
+    numbered = chunked.withColumn("__in", F.row_number().over(inside))
+    placed = join_carried(numbered, carried(counts, keys, levels, F.sum, ["__n"]), keys, levels, {"__start": "__n"})
+    return placed.withColumn(out, (F.coalesce("__start", F.lit(0)) + F.col("__in")).cast("long")).drop(*levels, "__in", "__start")
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Column) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Chunks) -> DataFrame:
     """Adds, per entry (out: column) of `take`, the column's value in the row before, NULL in a key's first row.
 
-    Inside a chunk the row before is a lag; the first row of a chunk gets the last row of the chunk before, from a table of one row
-    per chunk. `chunk` must not decrease along `order`.
+    Inside a chunk the row before is a lag; the first row of a chunk gets the last row of the chunks before, from tables of one row per chunk.
     """
-    chunked = df.withColumn("__chunk", chunk)
+    chunked, levels = _chunked(df, chunk)
     taken = F.struct(*[F.col(c).alias(out) for out, c in take.items()])
-    lasts = chunked.groupBy(*keys, "__chunk").agg(F.max_by(taken, F.struct(*order)).alias("__last"))
-    before = F.lag("__last").over(Window.partitionBy(*keys).orderBy("__chunk"))
-    starts = lasts.select(*[F.col(k).alias(f"__s_{k}") for k in [*keys, "__chunk"]], before.alias("__start"))
-    inside = chunked.withColumn("__in", F.lag(taken).over(Window.partitionBy(*keys, "__chunk").orderBy(*order)))
-    joined = _join_starts(inside, starts, keys)
-    return joined.withColumns({out: F.coalesce(F.col("__in"), F.col("__start"))[out] for out in take}).drop("__chunk", "__in", "__start")
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], taken.alias("taken"))
+    lasts = chunked.groupBy(*keys, *levels).agg(F.max(row).alias("__last"))
+    inside = chunked.withColumn("__in", F.lag(taken).over(Window.partitionBy(*keys, *levels).orderBy(*order)))
+    placed = join_carried(inside, carried(lasts, keys, levels, F.max, ["__last"]), keys, levels, {"__start": "__last"})
+    return placed.withColumns({out: F.coalesce(F.col("__in"), F.col("__start.taken"))[out] for out in take}).drop(*levels, "__in", "__start")
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, str], chunk: Column) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, weights: dict[str, str], chunk: Chunks) -> DataFrame:
     """Per entry (out: weight) the sum of `weight` over rows up to and including this one; (keys, order) must be unique."""
-    chunked = df.withColumn("__chunk", chunk)
-    sums = chunked.groupBy(*keys, "__chunk").agg(*[F.sum(w).alias(f"__n_{out}") for out, w in weights.items()])
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(k).alias(f"__s_{k}") for k in [*keys, "__chunk"]],
-        *[F.coalesce(F.sum(f"__n_{out}").over(before), F.lit(0)).alias(f"__start_{out}") for out in weights],
-    )
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = _join_starts(chunked.withColumns({f"__in_{out}": F.sum(w).over(inside) for out, w in weights.items()}), starts, keys)
-    summed = placed.withColumns({out: F.col(f"__start_{out}") + F.col(f"__in_{out}") for out in weights})
-    return summed.drop("__chunk", *[f"__{part}_{out}" for part in ("in", "start") for out in weights])
+    chunked, levels = _chunked(df, chunk)
+    names = [f"__n_{out}" for out in weights]
+    sums = chunked.groupBy(*keys, *levels).agg(*[F.sum(w).alias(n) for n, w in zip(names, weights.values())])
+    inside = Window.partitionBy(*keys, *levels).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = chunked.withColumns({f"__in_{out}": F.sum(w).over(inside) for out, w in weights.items()})
+    placed = join_carried(summed, carried(sums, keys, levels, F.sum, names), keys, levels, {f"__start_{out}": f"__n_{out}" for out in weights})
+    totals = placed.withColumns({out: F.coalesce(F.col(f"__start_{out}"), F.lit(0)) + F.col(f"__in_{out}") for out in weights})
+    return totals.drop(*levels, *[f"__{part}_{out}" for part in ("in", "start") for out in weights])
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, chunk: Column, out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], order: str, weight: str, chunk: Chunks, out: str) -> DataFrame:
     """One running sum, see running_totals."""
     return running_totals(df, keys, order, {out: weight}, chunk)
 
 
-def _chunk_starts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
-    return counts.select(*[F.col(k).alias(f"__s_{k}") for k in [*keys, "__chunk"]], start)
-
-
-def _join_starts(df: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Plain equality keeps the (keys, chunk) partitioning the window already produced; keys are never NULL.
-    on = [F.col(k) == F.col(f"__s_{k}") for k in [*keys, "__chunk"]]
-    return df.join(starts, on, "left").drop(*[f"__s_{k}" for k in [*keys, "__chunk"]])
-
-
 def with_lookback(df: DataFrame, pos: str, lookback: int, block: int = 4096) -> DataFrame:
     """Cut each numbered series into blocks and repeat the last `lookback` rows of a block in the next one.
 
@@ -96,20 +128,17 @@ def exact_percentiles(
 ) -> DataFrame:
     """Continuous percentiles per key, from a value histogram instead of a per-key list.
 
-    Repeated values collapse before the shuffle; a key's distinct values are split into ranges of width `band`, by default a
-    256th of the distance between the key's own least and greatest value, so a measure of any scale is sorted in pieces.
+    Repeated values collapse before the shuffle; a key's distinct values are split into ranges of width `band`, by default into
+    the nested ranges of value_chunks, so that a measure of any scale, with any outliers, is sorted in pieces.
     """
     keys = list(keys)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
         F.count("*").alias("__c")
     )
-    sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__total"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    if keys:
-        hist = hist.join(sizes, keys)
-    else:
-        hist = hist.withColumns({c: sizes.select(c).scalar() for c in ("__total", "__lo", "__hi")})
-    width = (F.col("__hi") - F.col("__lo")) / 256 if band is None else F.lit(band)
-    cum = running_total(hist, keys, "__v", "__c", F.when(width > 0, F.floor((F.col("__v") - F.col("__lo")) / width)).otherwise(0), "__upto")
+    sizes = hist.groupBy(*keys).agg(F.sum("__c").alias("__total"))
+    hist = hist.join(sizes, keys) if keys else hist.withColumn("__total", sizes.scalar())
+    chunks = value_chunks(F.col("__v")) if band is None else F.floor(F.col("__v") / band)
+    cum = running_total(hist, keys, "__v", "__c", chunks, "__upto")
     first = F.col("__upto") - F.col("__c")
     parts = []
     for name, p in points.items():
@@ -152,11 +181,12 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 def rank_by_total(df: DataFrame, total: str, out: str = "rank") -> DataFrame:
     """1 + rows with a strictly larger integer total, without sorting all rows in one task.
 
-    Rows collapse to distinct totals; those are summed in bands of 65 536 from the top.
+    Rows collapse to distinct totals; those are summed in nested bands from the top.
     """
     hist = df.groupBy(F.col(total).alias("__t")).agg(F.count("*").alias("__c"))
     hist = hist.withColumn("__desc", -F.col("__t"))
-    cum = running_total(hist, [], "__desc", "__c", F.floor(F.col("__desc") / 65536), "__upto")
+    bands = [F.shiftright("__desc", bits) for bits in (32, 16)]
+    cum = running_total(hist, [], "__desc", "__c", bands, "__upto")
     ranks = cum.select("__t", (F.col("__upto") - F.col("__c") + 1).cast("long").alias(out))
     return df.join(ranks, F.col(total) == F.col("__t")).drop("__t")
 

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordering import latest_by, number_rows, with_lookback
+from ..functions.ordering import latest_by, number_rows, time_chunks, with_lookback
 
 SERIES = ("project_id", "prompt_id", "provider")
 FLAT = 1e-9
 
 
 def _positions(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return number_rows(samples, keys, ["observed_at", "run_id"], F.date_trunc("hour", F.col("observed_at")), "pos")
+    return number_rows(samples, keys, ["observed_at", "run_id"], time_chunks(F.col("observed_at")), "pos")
 
 
 def visibility_anomalies(

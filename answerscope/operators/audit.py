@@ -224,7 +224,7 @@ def audit_history(audit_runs: DataFrame, project_id=None) -> DataFrame:
 
     mine = S.opt_eq(audit_runs, "project_id", project_id)
     prior = mine.select("project_id", "target", F.col("created_at").alias("__at"), F.col("score").alias("prior_score"), F.col("audit_id").alias("__id"))
-    out = as_of_join(mine, prior, ["project_id", "target"], "created_at", "__at", ["prior_score"], ["__id"], chunk="day", strict=True)
+    out = as_of_join(mine, prior, ["project_id", "target"], "created_at", "__at", ["prior_score"], ["__id"], chunk=("day", "minute"), strict=True)
     return out.withColumn("score_change", F.col("score") - F.col("prior_score")).drop("prior_score").orderBy(F.col("created_at").desc(), "audit_id")
 
 

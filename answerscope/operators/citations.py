@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.ordering import at_least_one, rank_by_total, top_k_per_group, top_n
+from ..functions.ordering import at_least_one, rank_by_total, time_chunks, top_k_per_group, top_n
 from .visibility import base_runs
 
 
@@ -197,7 +197,7 @@ def diff_runs(mentions: DataFrame, citations: DataFrame, runs: DataFrame) -> tup
 
     placed = with_previous(
         runs.select("run_id", "started_at", "prompt_id", "provider"), ["prompt_id", "provider"], ["started_at", "run_id"], {"prior_run_id": "run_id"},
-        F.date_trunc("hour", F.col("started_at")),
+        time_chunks(F.col("started_at")),
     )
     pairs = placed.filter("prior_run_id IS NOT NULL").select("run_id", "prior_run_id")
     own = F.struct(F.col("run_id").alias("member"), F.lit(1).alias("side"))

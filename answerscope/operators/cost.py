@@ -78,7 +78,7 @@ def tick_gaps(schedules: DataFrame, ticks: DataFrame, manual_runs: DataFrame, as
     missed = slots.join(seen, ["schedule_id", "slot_ts"], "left_anti")
 
     tagged = ticks.join(schedules.select("schedule_id", "debounce_minutes"), "schedule_id")
-    last = as_of_join(tagged, manual_runs, ["schedule_id"], "tick_ts", "run_at", ["run_at"], chunk="day")
+    last = as_of_join(tagged, manual_runs, ["schedule_id"], "tick_ts", "run_at", ["run_at"], chunk=("day", "minute"))
     gap = F.unix_micros("tick_ts") - F.unix_micros("run_at")
     debounced = last.filter(gap < F.col("debounce_minutes") * 60_000_000).select("schedule_id", "tick_ts", F.col("run_at").alias("manual_run_at"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as S
 from ..functions.asof import as_of_join
-from ..functions.ordering import latest_by, page, running_total, top_k_per_group, top_n
+from ..functions.ordering import latest_by, page, running_total, time_chunks, top_k_per_group, top_n
 
 
 def resolve_tokens(tokens: DataFrame, attempts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def facts_at(claims: DataFrame, facts: DataFrame) -> DataFrame:
     opens = facts.select(*keys, F.coalesce("valid_from", F.lit("0001-01-01").cast("timestamp")).alias("at"), F.lit(1).alias("d"))
     closes = facts.filter("valid_to IS NOT NULL").select(*keys, F.col("valid_to").alias("at"), F.lit(-1).alias("d"))
     steps = opens.unionByName(closes).groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    line = running_total(steps, keys, "at", "d", F.date_trunc("month", F.col("at")), "facts_in_force")
-    out = as_of_join(claims, line, keys, "created_at", "at", ["facts_in_force"], chunk="day")
+    line = running_total(steps, keys, "at", "d", time_chunks(F.col("at")), "facts_in_force")
+    out = as_of_join(claims, line, keys, "created_at", "at", ["facts_in_force"], chunk=("day", "minute"))
     return out.withColumn("facts_in_force", F.coalesce("facts_in_force", F.lit(0)))
 
 
