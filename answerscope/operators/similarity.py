@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ordering import at_least_one
 
-SLOTS = 128
+#: Slots of a signature, and bits of a gram number (so many hex digits of an MD5).
+SLOT_BITS, GRAM_DIGITS = 7, 15
+SLOTS, GRAM_BITS = 1 << SLOT_BITS, 4 * GRAM_DIGITS
+#: Step of each slot's walk through the slots, and its inverse.
+STEPS = [2 * (37 * i % (SLOTS // 2)) + 1 for i in range(SLOTS)]
+STEPS_BACK = [pow(step, -1, SLOTS) for step in STEPS]
+#: Bands of rows of a signature: sets of similarity 0.6 share one with a probability of 0.99996, of 0.1 with 0.04.
+BANDS, ROWS = 42, 3
 AUTO_MERGE, REVIEW = 90, 60
 
 
@@ -35,24 +40,52 @@ def shingles(df: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
     return df.withColumn("__t", tokens(F.col(text))).withColumn("shingles", shingle_set(F.col("__t"), n)).drop("__t")
 
 
-def minhash(df: DataFrame, text: str = "text", k: int = SLOTS) -> DataFrame:
-    """Adds `signature`, k slot minima over the shingles; NULL for a text without words.
+def _gram_hash(words: Column, at: Column, n: int) -> Column:
+    """60-bit number of the word n-gram at a place, from its MD5, so any engine gives the same."""
+    return F.conv(F.left(F.md5(F.concat_ws(" ", *[F.get(words, at + k) for k in range(n)])), F.lit(GRAM_DIGITS)), 16, 10).cast("long")
 
-    Shingles are hashed once on the JVM; the k multiply-shift permutations are one numpy reduction per row.
+
+def gram_hashes(words: Column, n: int = 3) -> Column:
+    """The n-grams of `words` as numbers, distinct and ascending: the set that `shingle_set` holds as strings."""
+
+    def numbers(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: _gram_hash(w, i, n))
+        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(hashes))).otherwise(F.array().cast("array<bigint>"))
+
+    return S.let(words, numbers)
+
+
+def signature_of(grams: Column) -> Column:
+    """SLOTS minima of an ascending set of gram numbers, by one permutation; NULL for the empty set.
+
+    A number's leading bits name its slot, so the least number of a slot is the first of its stretch in the sorted set. A slot without any takes
+    the least number of the first filled slot on its own walk through all slots (steps are odd, so a walk meets every slot once). Two sets
+    agree in a slot with a probability of their Jaccard similarity, as with a permutation for each slot, for one hash per gram in place of SLOTS.
     """
-    rng = np.random.default_rng(20240131)
-    odd = rng.integers(0, 2**63, size=(k, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, size=(k, 1), dtype=np.uint64)
+    slot = lambda h: F.shiftright(h, GRAM_BITS - SLOT_BITS).cast("int")
+    steps, back = (F.array(*[F.lit(x) for x in values]) for values in (STEPS, STEPS_BACK))
+
+    def spread(firsts: Column) -> Column:
+        filled = F.map_from_arrays(F.transform(firsts, slot), firsts)
+
+        def value(m: Column, i: Column) -> Column:
+            walked = [F.try_element_at(m, (i + k * F.get(steps, i)) % SLOTS) for k in range(4)]
+            place = lambda h: F.pmod((slot(h) - i) * F.get(back, i), F.lit(SLOTS))
+            nearest = F.array_min(F.transform(firsts, lambda h: F.struct(place(h).alias("k"), h.alias("h"))))["h"]
+            return F.coalesce(*walked, nearest)
+
+        return S.let(filled, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: value(m, i)))
+
+    def signed(g: Column) -> Column:
+        firsts = F.filter(g, lambda h, i: (i == 0) | (slot(h) != slot(F.get(g, i - 1))))
+        return F.when(F.size(g) > 0, S.let(firsts, lambda f: F.when(F.size(f) == SLOTS, f).otherwise(spread(f))))
 
-    def slots(hashes: pd.Series) -> pd.Series:
-        return hashes.map(
-            lambda h: None if h is None or len(h) == 0
-            else np.min((np.asarray(h).astype(np.uint64) * odd + add) >> np.uint64(1), axis=1).astype(np.int64)
-        )
+    return S.let(grams, signed)
 
-    sig = F.pandas_udf(slots, "array<bigint>")
-    hashed = shingles(df, text).withColumn("__h", F.transform("shingles", lambda s: F.xxhash64(s)))
-    return hashed.withColumn("signature", sig("__h")).drop("__h", "shingles")
+
+def minhash(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds `signature`, SLOTS slot minima over the shingles; NULL for a text without words. Expressions only."""
+    return S.compute_once(df, "*", signature_of(gram_hashes(tokens(F.col(text)))).alias("signature"))
 
 
 def signature_overlap(a: Column, b: Column) -> Column:
@@ -73,14 +106,13 @@ def similar_to(
     index: DataFrame, text: str | DataFrame, threshold: float = 0.6, limit: int = 10, name: str = "name",
     text_col: str = "text", exact: bool = False,
 ) -> DataFrame:
-    """Indexed texts similar to one text: estimate (or exact Jaccard) >= threshold, best `limit`.
+    """Texts similar to one text: estimate (or exact Jaccard) >= threshold, best `limit`.
 
-    One scan of the index; the query text is a literal or a one-row frame with a `text` column, read
-    as a scalar subquery. Texts without words match nothing.
+    One scan of the texts; see similar_in_index for a stored index. The query text is a literal or a one-row frame with a `text`
+    column, read as a scalar subquery. Texts without words match nothing.
     """
     limit = at_least_one(limit)
-    spark = index.sparkSession
-    query = spark.createDataFrame([(text,)], "text string") if isinstance(text, str) else text.select("text")
+    query = _query_text(index.sparkSession, text)
     if exact:
         side, col, score = shingles(index, text_col), "shingles", jaccard
         probe = shingles(query).select("shingles")
@@ -93,6 +125,110 @@ def similar_to(
     return scored.filter(F.col("score") >= threshold).orderBy(F.col("score").desc(), name).limit(limit).drop(col)
 
 
+def _query_text(spark: SparkSession, text: str | DataFrame) -> DataFrame:
+    return spark.createDataFrame([(text,)], "text string") if isinstance(text, str) else text.select("text")
+
+
+def slot_postings(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """(entry, name): one row per text and slot; the entry is the slot's number and value in one key."""
+    signed = minhash(df, text).select(F.col(name).alias("name"), F.posexplode("signature").alias("slot", "value"))
+    return signed.select(_entry(F.col("slot"), F.col("value")).alias("entry"), "name")
+
+
+def _entry(slot: Column, value: Column) -> Column:
+    # The value without its last bits, behind the slot: entries of other values meet with a chance of 2**-53 only.
+    return F.shiftleft(slot.cast("long"), GRAM_BITS - SLOT_BITS) + F.shiftright(value, SLOT_BITS)
+
+
+def write_index(df: DataFrame, path: str, name: str = "name", text: str = "text", mode: str = "overwrite") -> None:
+    """Store the postings of all texts sorted by entry, so that a lookup reads the pages that hold its entries.
+
+    `mode="append"` adds texts to a stored index; a text is added once.
+    """
+    entries = slot_postings(df, name, text)
+    ordered = entries.repartitionByRange("entry", "name").sortWithinPartitions("entry", "name")
+    ordered.write.mode(mode).option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def similar_in_index(spark: SparkSession, path: str, text: str | DataFrame, threshold: float = 0.6, limit: int = 10) -> DataFrame:
+    """(name, score) of the indexed texts whose estimate is >= threshold, best `limit`; the same rows as similar_to gives.
+
+    The SLOTS entries of the query text become filters that Parquet checks against row groups and pages, so the sorted
+    index is read at SLOTS places whatever its size; the score is the count of matching entries.
+    """
+    limit = at_least_one(limit)
+    signed = minhash(_query_text(spark, text)).select(F.posexplode_outer("signature").alias("slot", "value"))
+    # One row per slot of one text comes to the driver: a filter needs literals to reach the files.
+    wanted = [row[0] for row in signed.select(_entry(F.col("slot"), F.col("value")).alias("entry")).collect() if row[0] is not None]
+    stored = spark.read.parquet(path)
+    if not wanted or threshold <= 0:
+        if threshold <= 0 and wanted:
+            raise ValueError("an index finds texts that share a slot at least; threshold must be above 0")
+        return stored.limit(0).select("name", F.lit(0.0).alias("score"))
+    hit = _any_of("entry", sorted(set(wanted)))
+    scored = stored.filter(hit).groupBy("name").agg((F.count("*") / SLOTS).alias("score"))
+    return scored.filter(F.col("score") >= threshold).orderBy(F.col("score").desc(), "name").limit(limit)
+
+
+def _any_of(name: str, values: list[int]) -> Column:
+    """Equality with one of the values, as a balanced tree: each becomes a filter of its own for the files, however many there are."""
+    if len(values) == 1:
+        return F.col(name) == values[0]
+    half = len(values) // 2
+    return _any_of(name, values[:half]) | _any_of(name, values[half:])
+
+
+def near_duplicates(
+    df: DataFrame, id: str = "id", text: str = "text", threshold: float = 0.6, queries: Column | None = None, bands: int = BANDS, rows: int = ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Texts whose shingle sets have an exact Jaccard of `threshold` and more: (members, links).
+
+    Equal sets are one class: members are (id, class_id, copies), class_id the least id of the class. Links are (class_a, class_b,
+    jaccard), each pair of different classes once (class_a < class_b), so copies are never expanded into pairs. With `queries`, a
+    condition on the columns of `df`, links have a class of a query row on one side at least. Texts without words are a class
+    for themselves and linked with nothing.
+
+    Candidates are classes that agree in all rows of a band of their signatures. Bands travel without the sets; the candidates are
+    distinct before the sets are fetched and compared.
+    """
+    marked = df.select(F.col(id).alias("id"), F.col(text).alias("__text"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asked"))
+    sets = S.compute_once(marked, "id", "asked", gram_hashes(tokens(F.coalesce("__text", F.lit("")))).alias("grams"))
+    # The sets are compared by their SHA-256; a text without words has a key of its own.
+    key = F.when(F.size("grams") > 0, F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256))
+    keyed = sets.withColumn("key", key)
+    filled = keyed.filter("key IS NOT NULL")
+    heads = filled.groupBy("key").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"), F.count("*").alias("copies"))
+    members = keyed.select("id", "key").join(heads.select("key", "class_id", "copies"), "key", "left").select(
+        "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")
+    )
+
+    classes = filled.select("id", "key", "grams").join(heads.select("key", F.col("class_id").alias("id"), "asked"), ["key", "id"]).dropDuplicates(["key"])
+    signed = S.compute_once(classes, F.col("id").alias("class_id"), "asked", "grams", signature_of(F.col("grams")).alias("signature"))
+    banded = signed.select("class_id", "asked", F.posexplode(_bands(F.col("signature"), bands, rows)).alias("band", "bucket"))
+    asking = banded.filter("asked").select(F.col("class_id").alias("__a"), "band", "bucket")
+    # A pair with two asking classes comes from the lesser one.
+    other = banded.select(F.col("class_id").alias("__b"), F.col("asked").alias("__asked_b"), "band", "bucket")
+    met = asking.join(other, ["band", "bucket"]).filter((F.col("__a") < F.col("__b")) | (~F.col("__asked_b") & (F.col("__a") != F.col("__b"))))
+    pairs = met.select(F.least("__a", "__b").alias("class_a"), F.greatest("__a", "__b").alias("class_b")).distinct()
+    of = lambda side: signed.select(F.col("class_id").alias(f"class_{side}"), F.col("grams").alias(f"__grams_{side}"))
+    compared = pairs.join(of("a"), "class_a").join(of("b"), "class_b")
+    links = S.compute_once(compared, "class_a", "class_b", jaccard(F.col("__grams_a"), F.col("__grams_b")).alias("jaccard"))
+    return members, links.filter(F.col("jaccard") >= threshold)
+
+
+def _bands(signature: Column, bands: int, rows: int) -> Column:
+    if bands * rows > SLOTS:
+        raise ValueError(f"{bands} bands of {rows} rows need more than {SLOTS} slots")
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(*[F.get(signature, b * rows + k) for k in range(rows)]))
+
+
+def near_duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per text: its class, the class's copies and the number of other classes linked to it."""
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id"))
+    degrees = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(degrees, "class_id", "left").select("id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def dedup_links(entities: DataFrame) -> DataFrame:
     """Links between entities whose names are similar: (domain_a, domain_b, score).
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,4 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="answerscope-", dir=os.environ.get("TMPDIR", "/tmp"))
+    made = tempfile.mkdtemp(prefix="answerscope-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: a lineage cut that outlives executors, with a measured size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
