@@ -1,66 +1,107 @@
 """Answer text -> mentions, citations, claims.
 
-All three work inside one row with array expressions: the text is never copied per dictionary
-entry, and mentions and claims need no shuffle at all. The dictionary joins by project id.
+Citations and claims work inside one row with array expressions and need no shuffle. Mentions search a text once for all names of
+its project, by one pattern that shares the names' beginnings; only what was found, without the text, meets the dictionary and is grouped
+by answer. The dictionary joins by project id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
+from ..session import materialize
 from .citations import merge_citations
 
+#: Sentences whose lengths are added up together, see _starts.
+BLOCK = 64
 
-def _dictionary(dictionary: DataFrame) -> DataFrame:
-    """One row per project: its entities, each with all its names.
+
+def _alternatives(names: Sequence[str], at: int) -> str:
+    """A pattern for the rests, from place `at`, of sorted names that agree before it; it prefers the longest."""
+    out, i = [], 0
+    while i < len(names):
+        same = [n for n in names[i:] if n[at] == names[i][at]]
+        end = len(os.path.commonprefix([same[0], same[-1]]))
+        piece = "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in same[0][at:end])
+        rest = [n for n in same if len(n) > end]
+        if rest:
+            piece += _alternatives(rest, end) + ("?" if len(rest) < len(same) else "")
+        out.append(piece)
+        i += len(same)
+    return "(?:" + "|".join(out) + ")"
+
+
+def names_pattern(names: Sequence[str] | None) -> str | None:
+    """A pattern that finds, at every place of a text, the longest of the names that begins there (its group 1).
+
+    Names that begin alike share a branch, so trying a place costs a walk down the shared beginnings, however many names there are.
+    """
+    return f"(?=({_alternatives(sorted(set(names)), 0)}))" if names else None
+
+
+def _names(dictionary: DataFrame) -> DataFrame:
+    """One row per project, entity and lower-cased name: the spelling that wins ties, the entity's flags and least ordinal.
 
     Input rows are (project_id, entity, variant, is_brand, ordinal); the entity's own name counts too.
     """
     named = dictionary.select("project_id", "entity", "is_brand", "ordinal", F.explode(F.array("entity", "variant")).alias("v"))
-    per_entity = named.filter(F.col("v").isNotNull() & (F.col("v") != "")).groupBy("project_id", "entity", "is_brand").agg(
-        F.min("ordinal").alias("ordinal"), F.collect_set("v").alias("names")
+    named = named.filter(F.col("v").isNotNull() & (F.col("v") != ""))
+    first = named.groupBy("project_id", "entity", "is_brand").agg(F.min("ordinal").alias("ordinal"))
+    spelled = named.groupBy("project_id", "entity", "is_brand", F.lower("v").alias("low")).agg(
+        F.min(F.struct((-F.octet_length("v")).alias("neg"), F.col("v").alias("name"))).alias("spelling")
     )
-    entry = F.struct((~F.col("is_brand")).cast("int").alias("o"), "ordinal", "entity", "is_brand", "names")
-    return per_entity.groupBy("project_id").agg(F.sort_array(F.collect_list(entry)).alias("__dict"))
+    return spelled.join(first, ["project_id", "entity", "is_brand"])
 
 
-def _byte_slice(text: Column, start: Column, size: Column) -> Column:
-    """Bytes start..start+size of a string, NULL when out of range or not whole characters."""
-    cut = F.substring(text.cast("binary"), start + 1, size).cast("string")
+def _byte_slice(data: Column, size: Column) -> Column:
+    """The first `size` bytes as a string, NULL when there are fewer or they are no whole characters."""
+    cut = F.substring(data, F.lit(1), size).cast("string")
     return F.when((F.octet_length(cut) == size) & F.is_valid_utf8(cut), cut)
 
 
-def match_entities(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """First match of each entity per answer: (run_id, entity, is_brand, char_offset, matched_text, rank).
+def match_entities(answers: DataFrame, dictionary: DataFrame, tone: bool = False) -> DataFrame:
+    """First match of each entity per answer: (project_id, run_id, entity, is_brand, char_offset, matched_text, rank), with `tone` its sentiment.
 
     Earliest case-insensitive hit of any name, ties to the name with more bytes. `char_offset` is in
-    bytes of the lower-cased text. Rank orders by offset, brand first, then configured order.
+    bytes of the lower-cased text. Rank orders by offset, brand first, then configured order. A run_id is one answer of its project.
+
+    The pattern gives the names that are the longest at some place of the text. A shorter name that begins a longer one is met with it: the
+    longer name's row in the dictionary lists the names it begins with. The names of one project fit in a row.
     """
-    base = answers.select("project_id", "run_id", "text").join(_dictionary(dictionary), "project_id")
-    base = base.withColumn("__low", F.lower("text"))
+    names = _names(dictionary)
+    every = F.udf(names_pattern, "string")(F.collect_set("low")).alias("__pattern")
+    patterns = names.groupBy("project_id").agg(every, F.max(-F.col("spelling.neg")).alias("__longest"))
+    # In the order of projects a pattern is compiled once for all answers of its project in a task.
+    ordered = answers.select("project_id", "run_id", "text").sortWithinPartitions("project_id")
+    base = ordered.join(patterns, "project_id").withColumn("__low", F.lower("text"))
     low = F.col("__low")
+    each = base.select(
+        "project_id", "run_id", "text", "__low", "__longest", F.explode(F.array_distinct(F.regexp_extract_all(low, F.col("__pattern"), F.lit(1)))).alias("longest")
+    )
+    placed = each.withColumn("pos", F.position(F.col("longest"), low)).withColumn("char_offset", F.octet_length(F.left(low, F.col("pos") - 1)))
+    hits = placed.select(
+        "project_id", "run_id", "longest", "pos", "char_offset", F.substring(F.col("text").cast("binary"), F.col("char_offset") + 1, F.col("__longest")).alias("bytes"),
+        *([sentiment(F.col("text"), F.col("char_offset")).alias("tone")] if tone else []),
+    )
 
-    def first(e: Column) -> Column:
-        hits = F.transform(
-            e["names"],
-            lambda v: F.struct(F.position(F.lower(v), low).alias("pos"), (-F.octet_length(v)).alias("neg"), v.alias("name")),
-        )
-        best = F.array_min(F.filter(hits, lambda h: h["pos"] > 0))
-        return F.struct(best["pos"].alias("pos"), e["o"].alias("o"), e["ordinal"].alias("ordinal"), e["entity"].alias("entity"),
-                        e["is_brand"].alias("is_brand"), best["name"].alias("name"))
-
-    found = F.sort_array(F.filter(F.transform("__dict", first), lambda h: h["pos"].isNotNull()))
-    rows = base.select("run_id", "project_id", "text", "__low", F.posexplode(found).alias("__i", "m"))
-    offset = F.octet_length(F.left(low, F.col("m.pos") - 1))
-    return rows.select(
-        "project_id", "run_id", "text", F.col("m.entity").alias("entity"), F.col("m.is_brand").alias("is_brand"),
-        offset.alias("char_offset"), F.col("m.name").alias("__name"), (F.col("__i") + 1).alias("rank"),
-    ).withColumn("matched_text", F.coalesce(_byte_slice(F.col("text"), F.col("char_offset"), F.octet_length("__name")), "__name")).drop("__name")
+    heads = names.select("project_id", F.col("low").alias("longest")).distinct()
+    begins = heads.select("project_id", "longest", F.explode(F.transform(F.sequence(F.lit(1), F.length("longest")), lambda k: F.left("longest", k))).alias("low"))
+    entries = begins.join(names, ["project_id", "low"]).drop("low")
+    found = hits.join(entries, ["project_id", "longest"]).repartition("project_id", "run_id")
+    carried = ["pos", "spelling", "char_offset", "bytes", *(["tone"] if tone else [])]
+    first = found.groupBy("project_id", "run_id", "entity", "is_brand", "ordinal").agg(F.min_by(F.struct(*carried), F.struct("pos", "spelling")).alias("m"))
+    order = Window.partitionBy("project_id", "run_id").orderBy("m.pos", F.col("is_brand").desc(), "ordinal", "entity")
+    name = F.col("m.spelling.name")
+    return first.select(
+        "project_id", "run_id", "entity", "is_brand", "m.char_offset", F.row_number().over(order).alias("rank"),
+        F.coalesce(_byte_slice(F.col("m.bytes"), F.octet_length(name)), name).alias("matched_text"), *(["m.tone"] if tone else []),
+    )
 
 
 def rank_mentions(hits: DataFrame) -> DataFrame:
@@ -92,17 +133,12 @@ def sentiment(text: Column, char_offset: Column) -> Column:
     return F.struct(label.alias("label"), score.cast("int").alias("score"), F.lit(C.SENTIMENT_LANE).alias("lane"))
 
 
-def classify_sentiment(matches: DataFrame) -> DataFrame:
-    """Adds the three sentiment columns to match_entities rows and drops the text."""
-    tone = matches.withColumn("__s", sentiment(F.col("text"), F.col("char_offset")))
-    return tone.withColumns(
-        {"sentiment_label": F.col("__s.label"), "sentiment_score": F.col("__s.score"), "sentiment_lane": F.col("__s.lane")}
-    ).drop("__s", "text")
-
-
 def extract_mentions(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Ranked mentions with sentiment."""
-    return classify_sentiment(match_entities(answers, dictionary))
+    """Ranked mentions with the three sentiment columns."""
+    tone = match_entities(answers, dictionary, tone=True)
+    return tone.withColumns(
+        {"sentiment_label": F.col("tone.label"), "sentiment_score": F.col("tone.score"), "sentiment_lane": F.col("tone.lane")}
+    ).drop("tone")
 
 
 def _url_parts(url: Column) -> tuple[Column, Column]:
@@ -119,46 +155,75 @@ def _trim_url(c: Column) -> Column:
     return F.regexp_replace(c, r"[.,;:)]+\z", "")
 
 
-def _count_surfaces(found: DataFrame, keys: list[str]) -> DataFrame:
-    return found.groupBy(*keys, "domain", "url").agg(
-        F.count("*").cast("int").alias("frequency"), F.min("source_type").alias("source_type")
-    )
+def _counted(items: Column) -> Column:
+    """Different items with their numbers, in order: [(item, n)]. Sorted once, so linear in the items but for the sort."""
 
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)))
+        return S.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("item"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("n"))))
 
-def extract_citations(answers: DataFrame, emails: bool = True, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Absolute urls keyed (host, url), then bare domains outside them keyed (host, NULL).
+    return F.when(F.size(items) > 0, S.let(F.array_sort(items), runs))
 
-    `emails=False` drops the two halves of e-mail addresses, which otherwise count as domains.
-    """
-    text = F.col("text")
-    urls = F.transform(F.regexp_extract_all(text, F.lit(C.URL), F.lit(0)), lambda u: F.struct(_trim_url(u).alias("url")))
+
+def _surfaces(text: Column, emails: bool) -> Column:
+    """Urls and the bare domains outside them, in the order of their kinds: [(url, domain)] with one of the two NULL."""
+    none = F.lit(None).cast("string")
+    urls = F.transform(F.regexp_extract_all(text, F.lit(C.URL), F.lit(0)), lambda u: F.struct(_trim_url(u).alias("url"), none.alias("domain")))
     rest = F.regexp_replace(text, C.URL, " ")
     if not emails:
         rest = F.regexp_replace(rest, r"[^\s@]+@[^\s@]+", " ")
-    bare = F.transform(F.regexp_extract_all(rest, F.lit(C.BARE_DOMAIN), F.lit(0)), lambda d: F.struct(F.lower(d).alias("domain")))
+    bare = F.transform(F.regexp_extract_all(rest, F.lit(C.BARE_DOMAIN), F.lit(0)), lambda d: F.struct(none.alias("url"), F.lower(d).alias("domain")))
+    return F.concat(urls, bare)
+
+
+def extract_citations(answers: DataFrame, emails: bool = True, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Absolute urls keyed (host, url), then bare domains outside them keyed (host, NULL), with how often the text has them.
+
+    One pass over each text, counted in its row. `emails=False` drops the two halves of e-mail addresses, which otherwise count as domains.
+    """
     # Both patterns need a dot or "://"; other texts skip the regular expressions.
-    dotted = answers.filter(text.contains("."))
-    by_url = dotted.filter(text.contains("://")).select(*keys, F.inline(urls))
+    dotted = answers.filter(F.col("text").contains("."))
+    each = dotted.select(*keys, F.explode(_counted(_surfaces(F.col("text"), emails))).alias("s"))
+    return _located(each, keys, F.col("s.item.url"), F.col("s.item.domain"), F.col("s.n"))
+
+
+def _located(each: DataFrame, keys: Sequence[str], url: Column, domain: Column, n: Column) -> DataFrame:
+    """Host and kind of counted urls and domains; urls without a valid host go."""
     host, path = _url_parts(F.col("url"))
-    parts = S.compute_once(by_url, *keys, host.alias("domain"), "url", path.alias("__path")).filter("domain IS NOT NULL")
-    a = parts.select(*keys, "domain", "url", S.source_type(F.col("domain"), F.col("__path")).alias("source_type"))
-    by_name = dotted.select(*keys, F.inline(bare))
-    b = by_name.select(
-        *keys, "domain", F.lit(None).cast("string").alias("url"), S.source_type(F.col("domain"), F.lit("/")).alias("source_type")
-    )
-    return _count_surfaces(a.unionByName(b), list(keys))
+    named = each.select(*keys, url.alias("url"), domain.alias("__bare"), n.cast("int").alias("frequency"))
+    parts = S.compute_once(named, *keys, F.coalesce("__bare", host).alias("domain"), "url", "frequency", F.when(F.col("__bare").isNull(), path).otherwise("/").alias("__path"))
+    return parts.filter("domain IS NOT NULL").select(*keys, "domain", "url", "frequency", S.source_type(F.col("domain"), F.col("__path")).alias("source_type"))
 
 
-def citations_from_annotations(runs: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Urls of structured `choices[].message.annotations[].url_citation` objects."""
+def _annotation_urls(raw: Column) -> Column:
+    """Urls of structured `choices[].message.annotations[].url_citation` objects; NULL where the response has none."""
     shape = "choices ARRAY<STRUCT<message: STRUCT<annotations: ARRAY<STRUCT<url_citation: STRUCT<url: STRING>>>>>>"
-    has = runs.filter(F.col("raw_response").contains("url_citation"))
-    choices = has.select(*keys, F.explode(F.from_json("raw_response", shape)["choices"]).alias("c"))
-    urls = choices.select(*keys, F.explode("c.message.annotations").alias("a")).select(*keys, _trim_url(F.col("a.url_citation.url")).alias("url"))
-    host, path = _url_parts(F.col("url"))
-    parts = S.compute_once(urls, *keys, host.alias("domain"), "url", path.alias("__path")).filter("domain IS NOT NULL")
-    rows = parts.select(*keys, "domain", "url", S.source_type(F.col("domain"), F.col("__path")).alias("source_type"))
-    return _count_surfaces(rows, list(keys))
+    notes = F.transform(F.from_json(raw, shape)["choices"], lambda c: c["message"]["annotations"])
+    urls = F.transform(F.flatten(F.filter(notes, lambda n: n.isNotNull())), lambda a: _trim_url(a["url_citation"]["url"]))
+    return F.when(raw.contains("url_citation"), F.filter(urls, lambda u: u.isNotNull()))
+
+
+def _from_urls(rows: DataFrame, urls: Column, keys: Sequence[str]) -> DataFrame:
+    each = rows.select(*keys, F.explode(_counted(urls)).alias("s"))
+    return _located(each, keys, F.col("s.item"), F.lit(None).cast("string"), F.col("s.n"))
+
+
+def citations_from_annotations(runs: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Citations of structured annotations, counted in the response's row."""
+    return _from_urls(runs, _annotation_urls(F.col("raw_response")), keys)
+
+
+def _starts(lengths: Column) -> Column:
+    """Where each of the stretches begins that follow one another with these lengths.
+
+    Lengths are added up in blocks: work and memory grow with the number of stretches times the block, not with its square.
+    """
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    total = lambda values, upto: F.aggregate(F.slice(values, 1, upto), F.lit(0), lambda s, v: s + v)
+    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), F.lit(0), lambda s, v: s + v))
+    before = S.let(sums, lambda s: F.transform(s, lambda _, b: total(s, b)))
+    inside = lambda i: F.aggregate(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK), F.lit(0), lambda s, v: s + v)
+    return S.let(before, lambda at: F.transform(lengths, lambda _, i: F.get(at, F.floor(i / BLOCK).cast("int")) + inside(i)))
 
 
 def extract_claims(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -172,13 +237,10 @@ def extract_claims(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
     low = F.lower("text")
     base = answers.select("project_id", "run_id", "text").join(brand, "project_id")
     named = base.filter(F.exists("__names", lambda v: low.contains(v)))
-    spans = named.withColumn("__spans", F.regexp_extract_all("text", F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+"), F.lit(0)))
-    each = spans.withColumn("__answer", F.monotonically_increasing_id()).select(
-        "__answer", "project_id", "run_id", "entity", "__names", F.posexplode("__spans").alias("pos", "s")
-    )
-    # A running sum per answer: linear in its sentences, and a long answer is sorted, not copied for each of them.
-    before = Window.partitionBy("__answer").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("o", F.coalesce(F.sum(F.octet_length("s")).over(before), F.lit(0)).cast("int"))
+    spans = named.select("project_id", "run_id", "entity", "__names", F.regexp_extract_all("text", F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+"), F.lit(0)).alias("__spans"))
+    # The lengths are a column of their own, so that they are computed once.
+    sized = spans.withColumn("__sizes", F.transform("__spans", lambda s: F.octet_length(s)))
+    placed = sized.select("project_id", "run_id", "entity", "__names", F.inline(F.arrays_zip(F.col("__spans").alias("s"), _starts(F.col("__sizes")).alias("o"))))
     rows = placed.filter(F.exists("__names", lambda v: F.lower(S.squeeze(F.col("s"))).contains(v)))
     lead = F.octet_length("s") - F.octet_length(F.regexp_replace("s", r"(?U)\A\s+", ""))
     return S.compute_once(
@@ -214,25 +276,24 @@ def answer_text(raw: Column) -> Column:
 
 def answers_of(runs: DataFrame) -> DataFrame:
     """(project_id, run_id, text) of ok runs: given response text, else the text of the raw response."""
+    return _parsed(runs).select("project_id", "run_id", "text").filter(F.col("text").isNotNull())
+
+
+def _parsed(runs: DataFrame) -> DataFrame:
+    """(project_id, run_id, text, note_urls) of ok runs; text and urls may be NULL."""
     text = answer_text(F.col("raw_response"))
     if "response_text" in runs.columns:
         text = F.coalesce(F.when(S.squeeze(F.col("response_text")) != "", F.col("response_text")), text)
-    ok = S.compute_once(runs.filter(F.col("status") == "ok"), "project_id", "run_id", text.alias("text"))
-    return ok.filter(F.col("text").isNotNull())
+    ok = runs.filter(F.col("status") == "ok")
+    return S.compute_once(ok, "project_id", "run_id", text.alias("text"), _annotation_urls(F.col("raw_response")).alias("note_urls"))
 
 
 def resolve_domains(df: DataFrame) -> DataFrame:
-    """`domains`: the explicit `citation_domains` when given, else the domains found in `text`; lower, sorted, distinct."""
-    given = df.filter(F.col("citation_domains").isNotNull()).select("run_id", F.explode("citation_domains").alias("d"))
-    found = extract_citations(df.filter(F.col("citation_domains").isNull() & F.col("text").isNotNull()))
-    clean = given.unionByName(found.select("run_id", F.col("domain").alias("d"))).select(
-        "run_id", F.lower(S.squeeze(F.col("d"))).alias("domain")
-    ).filter(F.col("domain") != "").distinct()
-    # Domains of one run: as many as its text holds, so the array is bounded by the text.
-    sets = clean.groupBy("run_id").agg(F.sort_array(F.collect_list("domain")).alias("domains"))
-    return df.select("run_id").join(sets, "run_id", "left").select(
-        "run_id", F.coalesce("domains", F.array().cast("array<string>")).alias("domains")
-    )
+    """`domains`: the explicit `citation_domains` when given, else the domains found in `text`; lower, sorted, distinct. A row each, no shuffle."""
+    host = lambda s: F.coalesce(s["domain"], _url_parts(s["url"])[0])
+    found = F.transform(_surfaces(F.coalesce("text", F.lit("")), True), host)
+    each = F.transform(F.when(F.col("citation_domains").isNotNull(), F.col("citation_domains")).otherwise(found), lambda d: F.lower(S.squeeze(d)))
+    return df.select("run_id", F.array_sort(F.array_distinct(F.filter(each, lambda d: d != ""))).alias("domains"))
 
 
 _EXTRACTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -254,13 +315,12 @@ def run_extractors(answers: DataFrame, dictionary: DataFrame) -> DataFrame:
 def extract_all(runs: DataFrame, dictionary: DataFrame) -> dict[str, DataFrame]:
     """Mentions, citations (text and annotations merged) and claims of a batch; failed runs yield nothing.
 
-    The three outputs are separate plans over `answers`; write `answers_of(runs)` to a table first
-    when the responses are large, so the JSON is parsed once.
+    The responses are parsed once, into a table of texts and annotation urls in the shared folder that the three outputs read.
     """
-    answers = answers_of(runs)
-    ok = runs.filter(F.col("status") == "ok")
+    parsed = materialize(_parsed(runs), "answers")
+    answers = parsed.select("project_id", "run_id", "text").filter(F.col("text").isNotNull())
     return {
         "mentions": extract_mentions(answers, dictionary),
-        "citations": merge_citations(extract_citations(answers), citations_from_annotations(ok)),
+        "citations": merge_citations(extract_citations(answers), _from_urls(parsed, F.col("note_urls"), ("run_id",))),
         "claims": extract_claims(answers, dictionary),
     }

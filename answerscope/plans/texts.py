@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -9,6 +11,7 @@ from ..functions import scalars as S
 from ..operators import audit as A
 from ..operators import extract as X
 from ..operators import similarity as M
+from ..session import checkpoint_root
 from .catalog import query, r
 from .views import sql
 
@@ -28,7 +31,7 @@ _TONE = f""", ctx AS (SELECT *, [w FOR w IN regexp_split_to_array(lower(substrin
 
 @query("entity_matches", "J-8 W-5 T-1 T-2", sql(f"WITH {_HITS} SELECT project_id, run_id, entity, is_brand, char_offset, rank, substring(text, pos, length(v)) AS matched_text FROM ranked", "answers", "dictionary"))
 def _(v):
-    return X.match_entities(v.answers, v.dictionary).drop("text")
+    return X.match_entities(v.answers, v.dictionary)
 
 
 @query("extracted_mentions", "X-1 X-3", sql(f"""WITH {_HITS}{_TONE} SELECT project_id, run_id, entity, is_brand, char_offset, rank, substring(text, pos, length(v)) AS matched_text,
@@ -40,7 +43,7 @@ def _(v):
 
 @query("brand_rank", "X-2", sql(f"WITH {_HITS} SELECT a.run_id, r.rank AS brand_rank FROM answers a LEFT JOIN ranked r ON r.run_id = a.run_id AND r.is_brand", "answers", "dictionary"))
 def _(v):
-    return X.brand_rank(v.answers, X.match_entities(v.answers, v.dictionary).drop("text"))
+    return X.brand_rank(v.answers, X.match_entities(v.answers, v.dictionary))
 
 
 @query("ranked_hits", "W-5", sql(f"""WITH {_HITS} SELECT run_id, entity, rank FROM ranked""", "answers", "dictionary"))
@@ -219,20 +222,63 @@ def _(v):
     return sh.select("doc_id", F.size("shingles").alias("shingles"), S.sha256_tag(F.array_join(F.sort_array("shingles"), ",")).alias("tag"))
 
 
-@query("minhash_signatures", "D-2 T-8")
+_GRAMS = f"""{_SH}, gr AS (SELECT DISTINCT doc_id, ('0x' || left(md5(unnest(g)), {M.GRAM_DIGITS}))::BIGINT AS h FROM sh)"""
+_SIG = f"""{_GRAMS}, fs AS (SELECT doc_id, h >> {M.GRAM_BITS - M.SLOT_BITS} AS j, min(h) AS h FROM gr GROUP BY 1, 2),
+  sg AS (SELECT doc_id, i, arg_min(h, ((j - i) * {M.STEPS_BACK}[i + 1] % {M.SLOTS} + {M.SLOTS}) % {M.SLOTS}) AS v FROM fs, range({M.SLOTS}) t(i) GROUP BY 1, 2)"""
+
+
+@query("minhash_signatures", "D-2 T-8", f"""WITH {_SIG} SELECT doc_id, count(i) AS slots, coalesce(sha256(string_agg(v::VARCHAR, ',' ORDER BY i)), '') AS digest
+  FROM (SELECT doc_id FROM documents) LEFT JOIN sg USING (doc_id) GROUP BY 1""")
 def _(v):
-    return M.minhash(v.table("documents")).select("doc_id", F.size("signature").alias("slots"), F.xxhash64("signature").alias("digest"))
+    signed = M.minhash(v.table("documents"))
+    text = F.array_join(F.col("signature").cast("array<string>"), ",")
+    return signed.select("doc_id", F.coalesce(F.size("signature"), F.lit(0)).alias("slots"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("digest"))
 
 
 def _first_doc(v):
     return v.table("documents").agg(F.min_by("text", "doc_id").alias("text"))
 
 
-@query("similar_documents", "D-3")
+_ESTIMATED = f"""WITH {_SIG}, q AS (SELECT i, v FROM sg WHERE doc_id = (SELECT min(doc_id) FROM documents)),
+  e AS (SELECT sg.doc_id, count(*) / {M.SLOTS} AS score FROM sg JOIN q USING (i, v) GROUP BY 1)
+  SELECT doc_id, {r('score')} AS score FROM e WHERE e.score >= 0.05 ORDER BY e.score DESC, doc_id LIMIT 50"""
+
+
+@query("similar_documents", "D-3", _ESTIMATED)
 def _(v):
     return M.similar_to(v.table("documents"), _first_doc(v), 0.05, 50, name="doc_id").select("doc_id", "score")
 
 
+@query("similar_documents_indexed", "D-3", _ESTIMATED)
+def _(v):
+    """The same search in a stored index of all documents."""
+    path = f"{checkpoint_root(v.spark)}/similarity-{uuid.uuid4().hex}"
+    M.write_index(v.table("documents"), path, name="doc_id")
+    return M.similar_in_index(v.spark, path, _first_doc(v), 0.05, 50).select(F.col("name").alias("doc_id"), "score")
+
+
+_NEAR = f"""WITH {_GRAMS}, kd AS (SELECT sh.doc_id, sha256(string_agg(h::VARCHAR, ',' ORDER BY h)) AS k FROM sh JOIN gr USING (doc_id) GROUP BY 1),
+  cl AS (SELECT k, min(doc_id) AS class_id, count(*) AS copies FROM kd GROUP BY 1),
+  sets AS (SELECT doc_id AS class_id, h, count(*) OVER (PARTITION BY doc_id) AS n FROM gr WHERE doc_id IN (SELECT class_id FROM cl)),
+  links AS (SELECT a.class_id AS class_a, b.class_id AS class_b, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard
+    FROM sets a JOIN sets b ON a.h = b.h AND a.class_id < b.class_id GROUP BY 1, 2 HAVING jaccard >= 0.6)"""
+
+
+@query("near_duplicate_classes", "D-5", f"""{_NEAR}, ends AS (SELECT class_a AS class_id FROM links UNION ALL SELECT class_b FROM links), deg AS (SELECT class_id, count(*) AS n_links FROM ends GROUP BY 1)
+  SELECT d.doc_id, coalesce(cl.class_id, d.doc_id) AS class_id, coalesce(cl.copies, 1) AS copies, coalesce(deg.n_links, 0) AS n_links
+  FROM documents d LEFT JOIN kd USING (doc_id) LEFT JOIN cl USING (k) LEFT JOIN deg ON deg.class_id = cl.class_id""")
+def _(v):
+    """Classes of equal shingle sets and their links at 0.6, over all documents."""
+    return M.near_duplicate_classes(*M.near_duplicates(v.table("documents"), "doc_id")).withColumnRenamed("id", "doc_id")
+
+
+@query("near_duplicate_search", "D-5", f"""{_NEAR}, asked AS (SELECT DISTINCT cl.class_id FROM kd JOIN cl USING (k) WHERE doc_id % 50 = 0)
+  SELECT class_a, class_b, {r('jaccard')} AS jaccard FROM links WHERE class_a IN (SELECT class_id FROM asked) OR class_b IN (SELECT class_id FROM asked)""")
+def _(v):
+    """Documents with an id divisible by 50 against all documents."""
+    return M.near_duplicates(v.table("documents"), "doc_id", queries=F.col("doc_id") % 50 == 0)[1]
+
+
 _JAC = """CASE WHEN len(s.g) + len(q.g) > 0 THEN len(list_intersect(s.g, q.g))::DOUBLE / (len(s.g) + len(q.g) - len(list_intersect(s.g, q.g))) ELSE 0 END"""
 
 
