@@ -12,7 +12,7 @@ from ..operators import constraints as K
 from ..operators import privacy as P
 from ..operators import registry as G
 from ..session import checkpoint_root
-from ..sources import bundles, sinks
+from ..sources import bundles, exports, sinks
 from .catalog import query, r, t
 from .views import AS_OF, sql
 
@@ -281,6 +281,28 @@ def _(v):
     return v.spark.read.schema("domain STRING, total BIGINT").parquet(f"{path}/rows").select("domain", "total")
 
 
+@query("published_export", "S-11", sql("SELECT domain, sum(frequency)::BIGINT AS total FROM citations GROUP BY 1", "citations"))
+def _(v):
+    """What a reader sees while the next run, of half the rows, stands interrupted: the run before, whole."""
+    totals = v.citations.groupBy("domain").agg(F.sum("frequency").alias("total"))
+    root = f"{checkpoint_root(v.spark)}/published-{uuid.uuid4().hex}"
+    exports.export_run(totals, ["domain"], root, "totals", batch_size=20, commits=3, stop_after=1)
+    exports.export_run(totals, ["domain"], root, "totals", batch_size=20, commits=3)
+    exports.export_run(totals.filter("total % 2 = 0"), ["domain"], root, "totals", batch_size=20, commits=3, stop_after=1)
+    return exports.read_export(v.spark, root, "totals").select("domain", "total")
+
+
+@query("published_projects", "S-10", sql("SELECT project_id, prompt_id, CASE WHEN project_id = 1 THEN 'new' ELSE name END AS name FROM prompts WHERE project_id <> 2", "prompts"))
+def _(v):
+    """All projects, then a load of one of them that also covers a project without rows any more."""
+    rows = v.prompts.select("project_id", "prompt_id", "name")
+    root = f"{checkpoint_root(v.spark)}/published-{uuid.uuid4().hex}"
+    exports.export_projects(rows, "prompt_id", root, "points")
+    again = rows.filter("project_id = 1").withColumn("name", F.lit("new"))
+    exports.export_projects(again, "prompt_id", root, "points", v.projects.filter("project_id > 0"))
+    return exports.read_projects(v.spark, root, "points").select("project_id", "prompt_id", "name")
+
+
 @query("export_batches", "S-11")
 def _(v):
     return sinks.batch_of(v.citations.groupBy("domain").agg(F.sum("frequency").alias("total")), ["domain"], 8).groupBy("batch_id").agg(F.count("*").alias("rows"))

@@ -57,7 +57,7 @@ def batch_of(df: DataFrame, keys: Sequence[str], batches: int) -> DataFrame:
     return df.withColumn("batch_id", (F.pmod(F.xxhash64(*keys), F.lit(batches)) + 1).cast("int"))
 
 
-def _version(df: DataFrame) -> tuple[int, str]:
+def input_version(df: DataFrame) -> tuple[int, str]:
     """Row count and an order-free checksum of the rows."""
     total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")
     row = df.agg(F.count("*").alias("n"), F.coalesce(total, F.lit("0")).alias("digest")).first()
@@ -76,7 +76,7 @@ def export_metrics_batched(
     """
     spark = df.sparkSession
     schema = "job STRING, run INT, batches INT, input_rows BIGINT, digest STRING, done INT"
-    rows, digest = _version(df)
+    rows, digest = input_version(df)
     state = read_table(spark, state_path)
     last = None if state is None else state.filter(F.col("job") == job).orderBy(F.col("run").desc(), F.col("done").desc()).first()
     batches = max(-(-rows // max(batch_size, 1)), 1)
