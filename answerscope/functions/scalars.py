@@ -408,6 +408,16 @@ def store_ip(df: DataFrame, mode: str, salt: str = "", col: str = "client_ip") -
 
 def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
     """First and last address of a CIDR block as ip_key text; NULL for a malformed block."""
+    block = _cidr(cidr)
+    return block["lo"], block["hi"]
+
+
+def cidr_prefixes(cidr: Column) -> Column:
+    """The beginnings of ip_key text that the block's addresses have and no others: one, or two to eight where it ends inside a digit."""
+    return _cidr(cidr)["prefixes"]
+
+
+def _cidr(cidr: Column) -> Column:
 
     def bounds(x: Column) -> Column:
         digits, whole, rest = x["digits"], F.floor(x["prefix"] / 4).cast("int"), x["prefix"] % 4
@@ -421,6 +431,8 @@ def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
         return F.struct(
             F.when(ok, F.concat(head, mid(low_n), pad("0"))).alias("lo"),
             F.when(ok, F.concat(head, mid((low_n + span - 1).cast("int")), pad("f"))).alias("hi"),
+            F.when(ok & (rest == 0), F.array(head))
+            .when(ok, F.transform(F.sequence(low_n, low_n + span - 1), lambda v: F.concat(head, F.lower(F.hex(v))))).alias("prefixes"),
         )
 
     def parts(key: Column) -> Column:
@@ -428,8 +440,7 @@ def cidr_bounds(cidr: Column) -> tuple[Column, Column]:
         given = F.regexp_extract(cidr, r"/([0-9]{1,3})\z", 1).try_cast("int")
         return F.struct(F.left(key, F.lit(2)).alias("family"), digits.alias("digits"), F.coalesce(given, F.length(digits) * 4).alias("prefix"))
 
-    both = let(let(ip_key(F.split_part(cidr, F.lit("/"), F.lit(1))), parts), bounds)
-    return both["lo"], both["hi"]
+    return let(let(ip_key(F.split_part(cidr, F.lit("/"), F.lit(1))), parts), bounds)
 
 
 def ip_in_cidr(ip: Column, cidr: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ordering import exact_percentiles, page
+from .brands import sentiment_points
 from .visibility import base_runs
 
 
@@ -23,7 +24,8 @@ def run_detail(run_ids: DataFrame, runs, mentions, citations, provenance) -> tup
     tags = runs.join(run_ids.select("run_id"), "run_id", "left_semi")
     tag = S.with_provider_identity(tags).select("run_id", "provider_identity")
     steps = provenance.join(tag, "run_id")
-    raw = tags.join(tag, "run_id").select("run_id", "provider_identity", "raw_response")
+    # A run has one response: its provider, model, status and the frame as it came.
+    raw = S.with_provider_identity(tags).select("run_id", "provider_identity", "provider", "model", "status", "raw_response")
     return mentions.join(tag, "run_id"), citations.join(tag, "run_id"), steps, raw
 
 
@@ -175,6 +177,12 @@ def report(runs, prompts, as_of, since: str) -> DataFrame:
     return recent.groupingSets(sets, F.col("provider"), F.col("prompt")).agg(level.alias("level"), *sums)
 
 
+def report_sentiment(runs, prompts, mentions, as_of, since: str) -> DataFrame:
+    """Tone part of the report: sentiment points over the whole days of the window, 1 to 365 of them, with the prompt's name."""
+    days = min(max(parse_since(since) // 86_400, 1), 365)
+    return sentiment_points(runs, prompts, mentions, as_of, days).join(prompts.select("prompt_id", F.col("name").alias("prompt")), "prompt_id")
+
+
 def org_usage(runs: DataFrame, prompts: DataFrame, projects: DataFrame, members: DataFrame, as_of) -> DataFrame:
     """Per org: runs since UTC midnight, brands (projects) and members."""
     midnight = F.date_trunc("day", S.as_ts(as_of))

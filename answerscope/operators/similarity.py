@@ -243,13 +243,18 @@ def dedup_links(entities: DataFrame) -> DataFrame:
         F.col("rep").alias("domain_a"), F.col("domain").alias("domain_b"), F.lit(100).alias("score")
     )
 
+    # Deletions travel as 64-bit keys next to the name's own; the names meet again, and are compared, only where two keys agree.
+    names = names.withColumn("__id", F.xxhash64("n"))
     cuts = F.transform(
         F.sequence(F.lit(1), F.length("n")),
-        lambda i: F.concat(F.left("n", i - 1), F.substring("n", i + 1, F.length("n"))),
+        lambda i: F.xxhash64(F.concat(F.left("n", i - 1), F.substring("n", i + 1, F.length("n")))),
     )
-    keys = names.select("n", "rep", F.explode(F.array_distinct(F.array_append(F.when(F.length("n") > 0, cuts).otherwise(F.array().cast("array<string>")), F.col("n")))).alias("key"))
-    other = keys.select(F.col("n").alias("n2"), F.col("rep").alias("rep2"), "key")
-    edits = keys.join(other, "key").filter((F.col("n") < F.col("n2")) & (F.levenshtein("n", "n2", 1) >= 0)).select(
+    all_cuts = F.array_append(F.when(F.length("n") > 0, cuts).otherwise(F.array().cast("array<bigint>")), F.col("__id"))
+    keys = names.select("__id", F.explode(F.array_distinct(all_cuts)).alias("key"))
+    other = keys.select(F.col("__id").alias("__id2"), "key")
+    met = keys.join(other, "key").filter(F.col("__id") < F.col("__id2")).select("__id", "__id2").distinct()
+    of = names.select(F.col("__id").alias("__id2"), F.col("n").alias("n2"), F.col("rep").alias("rep2"))
+    edits = met.join(names.select("__id", "n", "rep"), "__id").join(of, "__id2").filter((F.col("n") != F.col("n2")) & (F.levenshtein("n", "n2", 1) >= 0)).select(
         F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(90).alias("score")
     ).distinct()
 

@@ -66,7 +66,7 @@ def runner(q: Query) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def load_all() -> dict[str, Query]:
-    from . import decisions, governance, metrics, texts, traffic  # noqa: F401
+    from . import decisions, governance, metrics, streams, texts, traffic  # noqa: F401
 
     return QUERIES
 

@@ -127,6 +127,18 @@ def _(v):
     return _sealed(R.rule_docs_not_cited(_facts(v), v.brand_config))
 
 
+@query("sealed_docs_not_cited", "R-8 R-1", sql(f"""WITH {_FACTS}, c AS (SELECT project_id, CAST(prompt_id AS VARCHAR) AS prompt_id, docs_domain, prompt, string_split(competitor_docs, '|') AS docs,
+    (SELECT min(provider) FROM pv WHERE pv.prompt_id = fx.prompt_id) AS provider FROM fx JOIN cfg USING (project_id) WHERE n_runs >= 5 AND NOT own_docs_cited AND competitor_docs <> ''),
+  p AS (SELECT *, CAST(to_json({{'affected_prompt_id': prompt_id, 'affected_provider': provider, 'competitor_docs_present': docs}}) AS VARCHAR) AS payload FROM c)
+  SELECT project_id, left(sha256('{R.KINDS[0]}|' || project_id || '|' || prompt_id), 32) AS rec_id,
+    'sha256:' || sha256(CAST(to_json({{'engine_version': '1.0', 'kind': '{R.KINDS[0]}', 'payload': payload, 'project_id': CAST(project_id AS VARCHAR), 'window': '14d'}}) AS VARCHAR)) AS input_fingerprint,
+    CASE WHEN length(s) > 240 THEN left(s, 239) || '…' ELSE s END AS summary, 'new' AS state FROM (SELECT *, 'Answers to "' || prompt || '" link competitor documentation and never ' || docs_domain AS s FROM p)""", *_SRC))
+def _(v):
+    """The envelope of one rule's cards: id, fingerprint of the canonical JSON and clamped summary."""
+    sealed = R.envelope(R.rule_docs_not_cited(_facts(v), v.brand_config), "1.0", "14d", AS_OF)
+    return sealed.select("project_id", "rec_id", "input_fingerprint", "summary", "state")
+
+
 @query("competitor_outranks", "R-2 R-8", sql(f"WITH {_FACTS} {_OUT}", *_SRC))
 def _(v):
     return _sealed(R.rule_competitor_outranks(_facts(v)))

@@ -86,7 +86,12 @@ def _(v):
     return P.redact_runs(v.observed, b"secret", F.col("terms"), TERMS)[0].drop("project_hmac")
 
 
-@query("redaction_hashes", "P-9")
+#: The key `secret` as HMAC pads it for the inner and the outer hash.
+_PADS = [bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query("redaction_hashes", "P-9", sql(f"""SELECT sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(CAST(project_id AS VARCHAR))))) AS project_hmac, count(*) AS runs
+  FROM observed WHERE terms = 'v2' AND prompt_slug NOT LIKE 'Prompt%' GROUP BY 1""", "observed"))
 def _(v):
     return P.redact_runs(v.observed, b"secret", F.col("terms"), TERMS)[0].groupBy("project_hmac").agg(F.count("*").alias("runs"))
 

@@ -192,6 +192,15 @@ def _(v):
     return R.run_detail(failed, runs, v.mentions, v.citations, v.provenance)[2].select("run_id", "step", "status", "step_at", "provider_identity")
 
 
+@query("run_detail_responses", "P-14", sql("""SELECT b.run_id, b.provider_identity, r.provider, r.model, b.status, '{"props":' || e.props || '}' AS raw_response FROM base b JOIN runs r USING (run_id)
+  JOIN events e ON e.event_id = b.run_id WHERE b.status = 'failed'""", "base", "runs"))
+def _(v):
+    """The response frame of each failed run, here the props of its event."""
+    frames = v.table("events").select(F.col("event_id").alias("run_id"), F.concat(F.lit('{"props":'), "props", F.lit("}")).alias("raw_response"))
+    failed = v.runs.filter(F.col("status") == "failed").select("run_id")
+    return R.run_detail(failed, v.runs.join(frames, "run_id"), v.mentions, v.citations, v.provenance)[3]
+
+
 @query("provenance_per_run", "A-43", sql("SELECT run_id, count(*) AS steps FROM provenance GROUP BY 1", "provenance"))
 def _(v):
     return R.provenance_summary(v.provenance, v.runs)[0]
@@ -248,6 +257,15 @@ def _(v):
     return R.report(v.runs, v.prompts, AS_OF, "7d")
 
 
+@query("window_report_sentiment", "A-49 A-15", sql(f"""WITH s AS (SELECT b.project_id, b.prompt_id, b.prompt, b.provider, m.entity, CAST(b.started_at AS DATE) AS day, count(*) FILTER (WHERE sentiment_label = 'positive') AS positive,
+  count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral, count(*) FILTER (WHERE sentiment_label = 'negative') AS negative, count(*) AS total, coalesce(avg(sentiment_score), 50) AS a
+  FROM mentions m JOIN base b ON b.run_id = m.run_id WHERE started_at >= TIMESTAMP '2024-01-24 00:00:00' AND sentiment_label IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6)
+  SELECT project_id, prompt_id, prompt, provider, entity, {d('day')} AS day, total, {r('a')} AS avg_score, {r('positive::DOUBLE / total')} AS positive_share,
+  {r('neutral::DOUBLE / total')} AS neutral_share, {r('negative::DOUBLE / total')} AS negative_share FROM s""", "mentions", "base"))
+def _(v):
+    return R.report_sentiment(v.runs, v.prompts, v.mentions, AS_OF, "7d").drop("positive", "neutral", "negative")
+
+
 @query("org_usage", "A-39", sql("""WITH u AS (SELECT org_id, count(*) AS n FROM runs WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00' AND org_id IS NOT NULL GROUP BY 1),
   b AS (SELECT org_id, count(DISTINCT project_id) AS n FROM projects GROUP BY 1), m AS (SELECT 'org-' || (c_nationkey % 6) AS org_id, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1)
   SELECT org_id, coalesce(u.n, 0) AS runs_today, coalesce(b.n, 0) AS brands, coalesce(m.n, 0) AS members FROM b FULL JOIN m USING (org_id) FULL JOIN u USING (org_id)""", "runs", "projects"))

@@ -45,9 +45,10 @@ def export_metrics(points: DataFrame, totals: DataFrame, path: str, projects: Da
                 df.drop("project_id").limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{name}/project_id={row[0]}")
 
 
-def read_table(spark, path: str) -> DataFrame | None:
+def read_table(spark, path: str, schema: str | None = None) -> DataFrame | None:
+    """A stored table, or None before its first write."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException:
         return None
 

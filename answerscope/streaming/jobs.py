@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +17,7 @@ from ..functions import scalars as S
 from ..functions.ordering import top_k_per_group
 from ..operators import anomaly, site
 from ..sources.logs import read_access_log
+from ..sources.sinks import read_table
 
 
 def stream_event_rollup(events: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -35,22 +39,38 @@ def stream_event_rollup(events: DataFrame, watermark: str = "1 day") -> DataFram
 
 
 def stream_open_rollup(
-    events: DataFrame, sessions_path: str, emit: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
+    events: DataFrame, sessions_path: str, emit: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None, compact_every: int = 16,
 ) -> StreamingQuery:
     """Daily counts and distinct sessions that include the open day: after each micro-batch, the rows of the days it touched.
 
-    A batch is collapsed to (day, type, session) and stored under its day and batch id, so a replayed batch overwrites itself and a
-    late event updates its day. `emit` gets the new totals of the touched days, read from their partitions alone, and the
-    batch id; the days stay open until the caller freezes them (see retain_after_rollup).
+    A batch is collapsed to (day, type, session) and stored under its day and batch id, so a replayed batch overwrites itself and a late
+    event updates its day. Every `compact_every` batches the touched days are stored anew, collapsed; from then on a batch reads that and the
+    batches after it, not all earlier ones. `emit` gets the new totals of the touched days and the batch id; the days stay open until
+    the caller freezes them (see retain_after_rollup).
     """
+    keys = ["event_type", "session_id"]
+    schema = "event_type STRING, session_id STRING, n BIGINT, day DATE, batch_id BIGINT"
+
+    def store(rows: DataFrame, part: str, batch_id: int) -> None:
+        tagged = rows.withColumn("batch_id", F.lit(batch_id))
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(f"{sessions_path}/{part}")
+
+    def read(spark: SparkSession, part: str, days: DataFrame) -> DataFrame:
+        found = read_table(spark, f"{sessions_path}/{part}", schema)
+        return (spark.createDataFrame([], schema) if found is None else found).join(days, "day", "left_semi")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        keys = ["event_type", "session_id"]
-        seen = batch.groupBy(*keys, S.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"), F.lit(batch_id).alias("batch_id"))
-        seen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(sessions_path)
-        stored = batch.sparkSession.read.schema("event_type STRING, session_id STRING, n BIGINT, day DATE, batch_id BIGINT").parquet(sessions_path)
-        touched = stored.join(batch.select(S.day(F.col("ts")).alias("day")).distinct(), "day", "left_semi")
-        per_session = touched.groupBy(*keys, "day").agg(F.sum("n").alias("n"))
+        spark = batch.sparkSession
+        store(batch.groupBy(*keys, S.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n")), "batches", batch_id)
+        days = batch.select(S.day(F.col("ts")).alias("day")).distinct()
+        # A replayed batch must not read what it stored itself the first time.
+        whole = read(spark, "compacted", days).filter(F.col("batch_id") < batch_id)
+        last = whole.groupBy("day").agg(F.max("batch_id").alias("__last"))
+        since = read(spark, "batches", days).filter(F.col("batch_id") <= batch_id).join(last, "day", "left").filter(F.col("batch_id") > F.coalesce("__last", F.lit(-1)))
+        newest = whole.join(last, "day").filter(F.col("batch_id") == F.col("__last"))
+        per_session = newest.unionByName(since).groupBy(*keys, "day").agg(F.sum("n").alias("n"))
+        if batch_id % compact_every == compact_every - 1:
+            store(per_session, "compacted", batch_id)
         daily = per_session.groupBy("event_type", "day").agg(F.sum("n").alias("event_count"), F.count("session_id").alias("unique_sessions"))
         emit(daily.withColumn("finalized", F.lit(False)), batch_id)
 
@@ -72,6 +92,17 @@ def tail_logs(spark: SparkSession, folder: str, source: str, as_of, max_files: i
 ADMIT_STATE = "accepted array<bigint>"
 
 
+def verdicts(times: Iterable[int], accepted: list[int], max_hits: int, span: int) -> list[bool]:
+    """Whether each time, in ascending order, is admitted; `accepted` holds the admitted times of the trailing span, ascending, and is kept up to date."""
+    out = []
+    for now in times:
+        del accepted[: bisect_right(accepted, now - span)]
+        out.append(len(accepted) < max_hits)
+        if out[-1]:
+            insort(accepted, now)
+    return out
+
+
 def admitter(max_hits: int, window_s: int, ts: str = "ts", key: str = "key", event: str = "event_id") -> Callable:
     """Per-key update that keeps only the accepted times of the trailing window: at most `max_hits` integers."""
     span = window_s * 1_000_000
@@ -80,25 +111,44 @@ def admitter(max_hits: int, window_s: int, ts: str = "ts", key: str = "key", eve
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows["__us"] = rows[ts].astype("datetime64[us]").astype("int64")
-        rows = rows.sort_values(["__us", event], kind="stable")
-        verdicts = []
-        for now in rows["__us"]:
-            accepted = [t for t in accepted if now - t < span]
-            ok = len(accepted) < max_hits
-            if ok:
-                accepted.append(now)
-            verdicts.append(ok)
+        accepted = sorted(state.get[0]) if state.exists else []
+        # Of a micro-batch's rows only times and ids are held, for their order.
+        parts = [(rows[ts].astype("datetime64[us]").astype("int64").to_numpy(), rows[event].to_numpy()) for rows in batches]
+        times, events = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.lexsort((events, times))
+        found = verdicts(times[order].tolist(), accepted, max_hits, span)
         state.update((accepted,))
         # The times mean nothing once the watermark is past the window of the last one.
         state.setTimeoutTimestamp(max(accepted[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({event: rows[event].to_numpy(), key: k[0], "accepted": verdicts})
+        yield pd.DataFrame({event: events[order], key: k[0], "accepted": found})
 
     return update
 
 
+def admit_stored(events: DataFrame, key: str, max_hits: int = 60, window_s: int = 60, event: str = "event_id", ts: str = "ts") -> DataFrame:
+    """The batch form of admit over stored events: event, key, accepted.
+
+    A key's rows follow one another in a sorted partition; a task reads them as they come and holds `max_hits` times, so a hot key takes time but no
+    memory. Rows of a NULL key are one key.
+    """
+    span = window_s * 1_000_000
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, accepted = object(), []
+        for frame in frames:
+            keys, times, out = frame.column(1).to_pylist(), frame.column(2).to_pylist(), []
+            for k, now in zip(keys, times, strict=True):
+                if k != last:
+                    last, accepted = k, []
+                out += verdicts((now,), accepted, max_hits, span)
+            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(out, pa.bool_())], names=[event, key, "accepted"])
+
+    rows = events.filter(F.col(ts).isNotNull()).select(event, key, F.unix_micros(ts).alias("__us"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "__us", event)
+    kinds = [f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (event, key)]
+    return ordered.mapInArrow(run, ", ".join([*kinds, "accepted boolean"]))
+
+
 def admit(
     events: DataFrame, key: str, max_hits: int = 60, window_s: int = 60, event: str = "event_id", ts: str = "ts", watermark: str = "10 minutes",
 ) -> DataFrame:

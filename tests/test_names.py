@@ -1,10 +1,11 @@
 """Mentions against a plain search of every name, the shared pattern, and work that doesn't grow with the names."""
 
+import ipaddress
 import random
 import re
 import time
 
-from answerscope.operators import extract
+from answerscope.operators import crawlers, extract
 
 
 def plain(text, entries):
@@ -86,3 +87,31 @@ def test_starts_of_many_stretches(spark):
     got = sorted(r.char_offset for r in extract.extract_claims(answers, frame).collect())
     data = text.encode()
     assert got == [m.start() for m in re.finditer(b"brand", data)]
+
+
+def test_addresses_in_many_ranges(spark):
+    """Two bots with 300 blocks of all lengths each, both families, against the address library."""
+    rng = random.Random(8)
+    blocks, hits = [], []
+    for bot in "ab":
+        for _ in range(300):
+            if rng.random() < 0.6:
+                net = ipaddress.ip_network((rng.getrandbits(32), rng.choice([7, 8, 13, 22, 24, 29, 31, 32])), strict=False)
+            else:
+                net = ipaddress.ip_network(((0x20010DB8 << 96) | rng.getrandbits(96), rng.choice([33, 47, 48, 62, 64, 127, 128])), strict=False)
+            blocks.append((bot, net))
+            inside = net[rng.randrange(net.num_addresses)]
+            hits += [(bot, str(inside)), ("a", str(inside)), (bot, str(inside + rng.choice([-1, 1, 256, 1 << 16])) if 70_000 < int(inside) < (1 << 32) - 70_000 else "no address")]
+    hits += [("c", "10.0.0.1"), ("a", None), (None, "10.0.0.1")]
+    ranges = spark.createDataFrame([(b, str(n)) for b, n in blocks] + [("a", "bad/99")], "bot_id string, cidr string")
+    df = spark.createDataFrame([(i, b, ip) for i, (b, ip) in enumerate(hits)], "i int, bot_id string, client_ip string")
+    got = {r.i: r.ip_verified for r in crawlers.verify_ips(df, ranges).collect()}
+
+    def verified(bot, ip):
+        try:
+            address = ipaddress.ip_address(ip)
+        except ValueError:
+            return False
+        return any(b == bot and n.version == address.version and address in n for b, n in blocks)
+
+    assert got == {i: verified(b, ip) for i, (b, ip) in enumerate(hits)}

@@ -58,6 +58,33 @@ def test_open_day_is_updated_by_each_batch(spark, tmp_path, rows):
         assert out[b] == [r for r in rows(batch, *cols) if r[1] in days]
 
 
+def test_compacted_days_give_the_same_totals(spark, tmp_path, rows):
+    """Seven batches over two days, stored anew after every second one; each emits what all batches so far hold."""
+    parts = [[("page_view", f"s{(i * b) % 5}", "/", None, "{}", T0 + timedelta(days=(i + b) % 2, minutes=i)) for i in range(6)] for b in range(1, 8)]
+    stream, out = source(spark, tmp_path / "in", SITE, parts), {}
+    cols = ("event_type", "day", "event_count", "unique_sessions")
+    q = jobs.stream_open_rollup(stream, str(tmp_path / "sessions"), lambda df, b: out.__setitem__(b, rows(df, *cols)), str(tmp_path / "cp"), compact_every=2)
+    q.awaitTermination()
+    for b in range(7):
+        batch = site.event_rollup(spark.createDataFrame([r for part in parts[: b + 1] for r in part], SITE), None, T0)
+        assert out[b] == rows(batch, *cols)
+    assert len(list((tmp_path / "sessions" / "compacted").glob("day=*/batch_id=*"))) == 6
+
+
+def test_stored_admission_equals_the_stream(spark):
+    """The batch form, with a hot key over several Arrow batches, a NULL key and equal times."""
+    import random
+
+    rnd = random.Random(4)
+    events = [(i, rnd.choice(["hot"] * 6 + ["a", "b", None]), T0 + timedelta(seconds=rnd.randrange(900))) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r["event_id"]: r["accepted"] for r in jobs.admit_stored(spark.createDataFrame(events, "event_id bigint, key string, ts timestamp"), "key", 5, 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert got == sequential(events, 5, 20) and 0 < sum(got.values()) < 3000
+
+
 def test_dedup_by_key(spark, tmp_path, rows):
     schema = "source_adapter string, raw_event_id string, ts timestamp"
     hits = [("a", f"e{i % 5}", T0 + timedelta(minutes=i)) for i in range(20)]
