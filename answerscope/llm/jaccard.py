@@ -5,21 +5,18 @@
    |x| - ceil(0.8 |x|) + f ones (`heads`). The tokens of the heads are counted over all documents; a head whose tokens are mostly its
    own can't have a partner. The rest keep, rarest first, as many tokens as must hold one that a partner keeps too.
    So no frequent token brings documents together that don't consist of frequent tokens.
-3. Tokens that the same documents keep count once. Within the documents of a token, links to one leader are tried first, a few times with other leaders. What is then
-   connected needs no further link.
-4. Where a token's documents still lie in several components, signature trees are built over them: leaves hold a document's
-   size and token bitmap, inner nodes the OR of the bitmaps and the range of sizes. Two trees (or one with itself)
-   are traversed together; a pair of nodes is left when the largest overlap possible is too small or all below is connected already.
-5. Every pair that remains is compared exactly, and components of the links are found by alternating stars.
-
-6. How many links a set has is counted apart: the trees of all tokens are traversed once more, connected or not, and compared exactly in the task.
-
-Steps 2 to 5 lose no link between components: a pair is left out only when it can't link or needn't.
+3. Tokens that the same documents keep count once, and tokens with the same least document are a family: its documents meet together,
+   in blocks, every two blocks at a place of their own.
+4. At a place signature trees are built over the blocks: leaves hold a document's size and token bitmap, inner nodes the OR of the bitmaps
+   and the range of sizes. Two trees (or one with itself) are traversed together; a pair of nodes is left when the largest overlap possible is too small.
+5. Every pair of documents that remains is compared exactly in the task, at the least family that both belong to. What leaves the task is each document's
+   number of links and one edge to the least document that the place's links lead to; components of the edges are found by alternating stars.
+
+No step loses a link: a pair is left out only when it can't link.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +30,10 @@ from .common import batches, column, prepare, save, table, text_or_empty
 WORDS, PERCENT = 5, 80
 #: Words whose hashes a Python worker remembers.
 MAX_KEPT = 300_000
-#: Bits of a document's signature, children of a tree node, rows of one tree, rounds of links to leaders.
-BITS, FANOUT, TREE_ROWS, LEADER_ROUNDS = 2048, 8, 1024, 2
-#: Places to which the tokens of a family are dealt; pairs that a place remembers, to leave it once (a full memory starts anew).
-SALTS, MAX_SEEN = 2, 500_000
+#: Bits of a document's signature, children of a tree node, rows of one tree.
+BITS, FANOUT, TREE_ROWS = 2048, 8, 1024
+#: Members of the sets of one block, on average: long sets make smaller blocks.
+BLOCK_MEMBERS = 2_000_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -294,160 +291,145 @@ class SignatureTree:
         return nodes[:, None] * FANOUT + np.arange(FANOUT), FANOUT
 
 
-def tree_of(rows: pa.Table) -> SignatureTree:
-    bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
-    return SignatureTree(*[rows[c].to_numpy() for c in ("node", "n")], rows["spare"].to_numpy().astype(np.int64), bits, rows["comp"].to_numpy())
-
-
-def group_pairs(group: pa.Table, percent: int) -> Iterator[tuple[int, int]]:
-    """What the trees of one token's documents (or of two blocks of them) leave."""
-    second = group["second"].to_numpy(zero_copy_only=False)
-    if group["p"][0] == group["q"][0]:
-        own = tree_of(group)
-        found = own.pairs(own, percent)
-    elif second.all() or not second.any():
-        return
-    else:
-        found = tree_of(group.filter(pa.array(~second))).pairs(tree_of(group.filter(pa.array(second))), percent)
-    for a, b in found:
-        yield from zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
-
+def families(rows: DataFrame, tree_rows: int, members: int = BLOCK_MEMBERS) -> DataFrame:
+    """family, p, q, second, node, comp, kin: the places where nodes meet.
 
-def tree_pairs(rows: DataFrame, signatures: DataFrame, percent: int, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Pairs (a, b) of different components that the trees of their common tokens leave.
-
-    A token with more documents than `tree_rows` is cut into blocks, a tree for each, and every two blocks meet in a task of their own.
-    Near copies meet under many tokens: the tokens of a family (those whose least node is the same) are dealt to the same SALTS
-    places and pass one after the other, so that a pair leaves a place once.
+    The tokens whose least node is the same are a family; near copies share nearly all of theirs, so they meet in a few families, not under
+    each token. The nodes of a family are cut into blocks of about `tree_rows` sets, or fewer where sets are long (`members` members); every two
+    blocks meet at a place of their own (p, q), a node once for each other block. `kin` are all families of a node.
     """
-    counts = (
-        rows.groupBy("token").agg(F.count("*").alias("rows_"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("family")).filter("lo <> hi")
-    )
-    blocks = F.ceil(F.col("rows_") / tree_rows).cast("int")
-    split = rows.join(counts.select("token", "family", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    least = rows.groupBy("token").agg(F.min("node").alias("family"))
+    own = save(rows.join(least, "token").select("family", "node", "n", "comp").distinct(), "jaccard-families")
+    kin = own.groupBy("node").agg(F.sort_array(F.collect_list("family")).alias("kin"))
+    parts = F.greatest(F.ceil(F.count("*") / tree_rows), F.ceil(F.sum("n") / members)).cast("int")
+    sizes = own.groupBy("family").agg(F.count("*").alias("size"), parts.alias("blocks")).filter("size > 1").drop("size")
+    split = own.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meeting = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = meeting.select(
-        "family", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int").alias("salt"), F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-        "token", (F.col("block") > F.col("other")).alias("second"), "node", "comp",
-    )
-    place = ["family", "salt", "p", "q"]
-    full = dealt.join(signatures.select("node", "n", "spare", "bits"), "node").repartition(*place).sortWithinPartitions(*place, "token")
+    return meeting.join(kin, "node").select(
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).alias("second"), "node", "comp", "kin"
+    )
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[tuple, pa.Table]]:
-            key, held = None, []
-            for batch in batches_:
-                keys = np.stack([batch.column(c).to_numpy() for c in (*place, "token")], axis=1)
-                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-                for at, end in zip(cuts, cuts[1:]):  # noqa: B905
-                    if end > at:
-                        own = tuple(keys[at].tolist())
-                        if own != key and held:
-                            yield key, pa.Table.from_batches(held)
-                            held = []
-                        key = own
-                        held.append(batch.slice(at, end - at))
-            if held:
-                yield key, pa.Table.from_batches(held)
-
-        family, seen = None, set()
-        for key, group in groups():
-            if key[:4] != family or len(seen) > MAX_SEEN:
-                family, seen = key[:4], set()
-            new = [pair for pair in group_pairs(group, percent) if pair not in seen]
-            if new:
-                seen.update(new)
-                a, b = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return full.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def common_sizes(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Common members of a sorted set with each of some other sets."""
-    flat = np.concatenate(others)
-    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
-
-
-def link_counts(rows: DataFrame, sets: DataFrame, percent: int, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """node, n_links: how many other nodes each node links to, connected already or not.
-
-    The trees of each token's nodes are traversed without regard to components, and what they leave is compared exactly in the same task. A pair
-    counts under the least token that both nodes keep, so once, and only sums per node are shuffled. A token with more nodes than `tree_rows` is cut into
-    blocks as in tree_pairs; the tokens of a family pass at one place, to which a node's set is sent once.
+
+def common_members(members: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 16, pairs: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, exactly: bitmaps over the members that two sets at least hold, `columns` of them at a time."""
+    sizes = np.array([len(own) for own in members])
+    _, place, uses = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    at = np.where(uses > 1, np.cumsum(uses > 1) - 1, -1)[place]
+    holder = np.repeat(np.arange(len(members)), sizes)[at >= 0]
+    at, both = at[at >= 0], np.zeros(len(left), dtype=np.int64)
+    order = np.argsort(at, kind="stable")
+    at, holder = at[order], holder[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        first, end = np.searchsorted(at, (low, low + columns))
+        width = -(-(int(at[end - 1]) - low + 1) // 64) * 64
+        spots = np.zeros((len(members), width), dtype=bool)
+        spots[holder[first:end], at[first:end] - low] = True
+        bits = np.packbits(spots, axis=1).view(np.uint64)
+        for k in range(0, len(left), pairs):
+            both[k : k + pairs] += np.bitwise_count(bits[left[k : k + pairs]] & bits[right[k : k + pairs]]).sum(axis=1, dtype=np.int64)
+    return both
+
+
+def first_meeting(family: int, kin: list[list[int]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of nodes share no lesser family: a pair counts in the least one that both belong to."""
+    patterns: dict[tuple, int] = {}
+    of = np.array([patterns.setdefault(tuple(f for f in own if f < family), len(patterns)) for own in kin], dtype=np.int64)
+    lesser = [set(pattern) for pattern in patterns]
+    code, back = np.unique(of[left] * len(lesser) + of[right], return_inverse=True)
+    return np.array([lesser[c // len(lesser)].isdisjoint(lesser[c % len(lesser)]) for c in code.tolist()], dtype=bool)[back]
+
+
+def least_reached(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that links lead to."""
+    label = np.arange(n)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        for end in (left, right):
+            np.minimum.at(label, before[end], low)
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if (label[left] == label[right]).all() and (label == label[label]).all():
+            break
+    return label
+
+
+def place_links(family: int, across: bool, rows: dict[str, list], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """node, root, n_links of the linked nodes of one place: its trees are traversed, what they leave is compared exactly, each link counts once."""
+    n = len(rows["node"])
+    sizes, spare, comps = (np.array(values, dtype=np.int64) for values in ([len(own) for own in rows["members"]], rows["spare"], rows["comp"]))
+    bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(n, -1)
+    tree = lambda at: SignatureTree(at, sizes[at], spare[at], bits[at], comps[at])
+    second = np.array(rows["second"], dtype=bool)
+    none = np.empty(0, dtype=np.int64)
+    if not across:
+        own = tree(np.arange(n))
+        found = list(own.pairs(own, percent))
+    elif second.all() or not second.any():
+        return none, none, none
+    else:
+        found = list(tree(np.flatnonzero(~second)).pairs(tree(np.flatnonzero(second)), percent))
+    if not found:
+        return none, none, none
+    left, right = (np.concatenate(ends) for ends in zip(*found, strict=True))
+    once = first_meeting(family, rows["kin"], left, right)
+    left, right = left[once], right[once]
+    both = common_members(rows["members"], left, right)
+    linked_ = 100 * both >= percent * (sizes[left] + sizes[right] - both)
+    left, right = left[linked_], right[linked_]
+    links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+    at, node = np.flatnonzero(links), np.array(rows["node"], dtype=np.int64)
+    return node[at], node[least_reached(n, left, right)[at]], links[at]
+
+
+def family_links(rows: DataFrame, sets: DataFrame, percent: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """a, b, n_links: per place and linked node a, a node b that links of the place lead to, and how many links a has there.
+
+    All links between different components of `rows` (node, n, comp, token) are met, each at one place; links never leave their task, only sums and
+    at most one edge for each node do.
     """
-    counts = rows.groupBy("token").agg(F.count("*").alias("rows_"), F.min("node").alias("family"))
-    split = rows.join(counts.select("token", "family", F.ceil(F.col("rows_") / tree_rows).cast("int").alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meeting = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = ["family", "p", "q"]
-    dealt = meeting.select(
-        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.struct("token", (F.col("block") > F.col("other")).alias("second")).alias("t"), "node"
-    ).groupBy(*place, "node").agg(F.collect_list("t").alias("own"))
-    kept = rows.groupBy("node").agg(F.collect_list("token").alias("kept"))
-    full = dealt.join(kept, "node").join(sets, "node").select(*place, "node", F.col("own.token").alias("tokens"), F.col("own.second").alias("seconds"), "kept", "members", "spare", "bits")
+    held = ["second", "node", "comp", "kin", "spare", "bits"]
+    full = families(rows, tree_rows).join(sets.select("node", "members", "spare", "bits"), "node").select(*place, *held, "members")
     full = full.repartition(*place).sortWithinPartitions(*place)
 
-    def counted(nodes: list[tuple], across: bool) -> Counter:
-        """Links of the nodes of one place, between its two blocks or within the one."""
-        members, keeps, info, groups, found = {}, {}, {}, {}, Counter()
-        for node, tokens, seconds, keep, own, spare, bits in nodes:
-            members[node], keeps[node], info[node] = own, frozenset(keep), (spare, bits)
-            for token, second in zip(tokens, seconds, strict=True):
-                groups.setdefault(token, ([], []))[second].append(node)
-
-        def tree(ids: list[int]) -> SignatureTree:
-            sizes, spare = (np.array(x, dtype=np.int64) for x in ([len(members[i]) for i in ids], [info[i][0] for i in ids]))
-            bits = np.frombuffer(b"".join(info[i][1] for i in ids), dtype=np.uint64).reshape(len(ids), -1)
-            return SignatureTree(np.array(ids, dtype=np.int64), sizes, spare, bits, np.array(ids, dtype=np.int64))
-
-        for token, (first, second) in groups.items():
-            if across and not (first and second):
-                continue
-            left = tree(first)
-            for a, b in left.pairs(tree(second) if across else left, percent):
-                order = np.argsort(a, kind="stable")
-                partners: dict[int, list[int]] = {}
-                for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
-                    if min(keeps[x] & keeps[y]) == token:
-                        partners.setdefault(x, []).append(y)
-                for x, ys in partners.items():
-                    both = common_sizes(members[x], [members[y] for y in ys])
-                    total = np.array([len(members[y]) for y in ys]) + len(members[x]) - both
-                    for y in np.array(ys)[100 * both >= percent * total].tolist():
-                        found[x] += 1
-                        found[y] += 1
-        return found
-
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def places() -> Iterator[tuple[list[tuple], bool]]:
-            key, held = None, []
-            for batch in batches_:
-                keys = np.stack([batch.column(c).to_numpy() for c in place], axis=1).tolist()
-                plain = [batch.column(c).to_pylist() for c in ("node", "tokens", "seconds", "kept", "spare", "bits")]
-                for i, (own, node, tokens, seconds, keep, spare, bits) in enumerate(zip(keys, *plain, strict=True)):
-                    if own != key and held:
-                        yield held, key[1] != key[2]
-                        held = []
-                    key = own
-                    held.append((node, tokens, seconds, keep, batch.column("members")[i].values.to_numpy().copy(), spare, bits))
-            if held:
-                yield held, key[1] != key[2]
-
-        for nodes, across in places():
-            found = counted(nodes, across)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["node", "n_links"])
-
-    return full.mapInArrow(run, "node bigint, n_links bigint").groupBy("node").agg(F.sum("n_links").alias("n_links"))
-
-
-def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = LEADER_ROUNDS, tree_rows: int = TREE_ROWS, links: bool = False) -> DataFrame:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places() -> Iterator[tuple[list, dict[str, list]]]:
+            key, own = None, {}
+            for frame in frames:
+                keys = np.stack([frame.column(c).to_numpy() for c in place], axis=1)
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for at, end in zip(cuts, cuts[1:]):  # noqa: B905
+                    if at == end:
+                        continue
+                    if keys[at].tolist() != key:
+                        if own:
+                            yield key, own
+                        key, own = keys[at].tolist(), {c: [] for c in (*held, "members")}
+                    part = frame.slice(at, end - at)
+                    for c in held:
+                        own[c] += part.column(c).to_pylist()
+                    own["members"] += [row.values.to_numpy().copy() for row in part.column("members")]
+            if own:
+                yield key, own
+
+        for (family, p, q), own in places():
+            a, b, n = place_links(family, p != q, own, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "n_links"])
+
+    return full.mapInArrow(run, "a bigint, b bigint, n_links bigint")
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCENT, rounds: int = 0, tree_rows: int = TREE_ROWS, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`, and with `links` n_links, the number of other distinct sets that the row's set links to.
 
     component_id is the smallest doc_id that is reached by links (copies are linked). Texts without words, NULL ones too, have no
     shingles and are linked with nothing: their component is their own id. Rows without id take part; where all rows of a
     component have none, component_id is NULL. Repeated rows repeat.
+
+    The trees meet every link. `rounds` of links to leaders before them leave less to the trees where only components are wanted;
+    with `links` there are none.
     """
     sketches = save(sketched(docs.select("doc_id", column(text).alias("text")), "text", percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sketches")
     nodes = candidates(sketches)
@@ -468,8 +450,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
         found = components(ends.filter("a <> b")).select(F.col("node").alias("comp"), F.col("comp").alias("joined"))
         return save(comps.join(found, "comp", "left").select("node", F.coalesce("joined", "comp").alias("comp")), "jaccard-comps")
 
-    left = with_comps()
-    for salt in range(rounds):
+    left = with_comps() if rounds and not links else rows.withColumn("comp", F.col("node"))
+    for salt in range(0 if links else rounds):
         if left.isEmpty():
             break
         more = save(linked(leader_pairs(left, salt, percent), sets, percent), "jaccard-links")
@@ -477,15 +459,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", percent: int = PERCE
             break
         comps = joined(more)
         left = with_comps()
-    if not left.isEmpty():
-        more = save(linked(tree_pairs(left, sets, percent, tree_rows), sets, percent), "jaccard-links")
-        if not more.isEmpty():
-            comps = joined(more)
+    found = save(family_links(left, sets, percent, tree_rows), "jaccard-links")
+    more = found.filter("a <> b").select("a", "b")
+    if not more.isEmpty():
+        comps = joined(more)
     placed = nodes.join(comps, "node")
     least = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     smallest = placed.join(least, "comp")
     if links:
-        smallest = smallest.join(save(link_counts(rows, sets, percent, tree_rows), "jaccard-degrees"), "node", "left")
+        degrees = found.groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
+        smallest = smallest.join(degrees, "node", "left")
     else:
         smallest = smallest.withColumn("n_links", F.lit(0))
     per_set = sketches.filter("n > 0").groupBy("s0", "s1").agg(F.min("doc_id").alias("own_first"))
