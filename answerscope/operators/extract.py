@@ -75,7 +75,7 @@ def match_entities(answers: DataFrame, dictionary: DataFrame, tone: bool = False
     longer name's row in the dictionary lists the names it begins with. The names of one project fit in a row.
     """
     names = _names(dictionary)
-    every = F.udf(names_pattern, "string")(F.collect_set("low")).alias("__pattern")
+    every = F.udf(names_pattern, "string", useArrow=False)(F.collect_set("low")).alias("__pattern")
     patterns = names.groupBy("project_id").agg(every, F.max(-F.col("spelling.neg")).alias("__longest"))
     # In the order of projects a pattern is compiled once for all answers of its project in a task.
     ordered = answers.select("project_id", "run_id", "text").sortWithinPartitions("project_id")

@@ -291,9 +291,9 @@ def _(v):
     """What a reader sees while the next run, of half the rows, stands interrupted: the run before, whole."""
     totals = v.citations.groupBy("domain").agg(F.sum("frequency").alias("total"))
     root = f"{checkpoint_root(v.spark)}/published-{uuid.uuid4().hex}"
-    exports.export_run(totals, ["domain"], root, "totals", batch_size=20, commits=3, stop_after=1)
-    exports.export_run(totals, ["domain"], root, "totals", batch_size=20, commits=3)
-    exports.export_run(totals.filter("total % 2 = 0"), ["domain"], root, "totals", batch_size=20, commits=3, stop_after=1)
+    exports.export_run(totals, ["domain"], root, "totals", batch_size=2, commits=3, stop_after=1)
+    exports.export_run(totals, ["domain"], root, "totals", batch_size=2, commits=3)
+    exports.export_run(totals.filter("total % 2 = 0"), ["domain"], root, "totals", batch_size=2, commits=3, stop_after=1)
     return exports.read_export(v.spark, root, "totals").select("domain", "total")
 
 
