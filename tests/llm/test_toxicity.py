@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,30 @@ def test_spread_evidence_adds_up():
     p, offending = T.Scorer({"hint": z}).sentences("A hint here. " * 40)
     assert p == pytest.approx(1 - 0.951**40) and p > T.THRESHOLD and offending == []
     assert T.Scorer({"hint": z}).sentences("Nothing here. " * 4000) == (0, [])
+
+
+def plain_score(text, model):
+    """Noisy-or over sentences: the product of what each leaves, relative to a sentence without evidence."""
+    alive = 1.0
+    for sentence in T.SENTENCE.findall(text.lower()):
+        z = sum(model.get(f, 0.0) for w in set(T.WORD.findall(sentence)) for f in T.features(w))
+        if z > 0:
+            alive *= (1 + math.exp(T.BIAS)) / (1 + math.exp(min(T.BIAS + z, 30.0)))
+    return 1 - alive
+
+
+def test_query_against_plain_scores(session, tmp_path):
+    """Every row of the query, ids and NULL ids, scored by the plain product with the same model."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = table(session, folder, "documents"), table(session, folder, "labels")
+    more = session.createDataFrame([(None, "No id, stupid!"), (-7, None)], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = T.train(table(session, str(tmp_path), "documents"), labels)
+    got = sorted(((r.doc_id, r.held_out, r.predicted, r.score) for r in T.op10_toxicity(session, str(tmp_path)).collect()), key=str)
+    want = []
+    for r in table(session, str(tmp_path), "documents").collect():
+        p = plain_score(r.text or "", model)
+        want.append((r.doc_id, r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1, int(p >= T.THRESHOLD), p))
+    want.sort(key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(g[3] == pytest.approx(w[3], abs=1e-9) for g, w in zip(got, want, strict=True))
