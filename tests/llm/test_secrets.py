@@ -60,3 +60,14 @@ def test_query_digest(session):
     got = {r.doc_id: r for r in secrets.op2_blob_ledger(session, "/root/testdata/sf0.001").collect()}
     for r in table(session, "/root/testdata/sf0.001", "documents").collect():
         assert got[r.doc_id].base_sha256 == hashlib.sha256(plain(r.text).encode()).hexdigest()
+
+
+def test_web_tokens_in_linear_time():
+    """Broken tokens one after the other, 4 MB of them, and a whole one at the end."""
+    import time
+
+    find = next(r for r in secrets.RULES if r.kind == "web_token").spans()
+    for piece in ("-eyJ", "eyJaaaaaaaa.", ".eyJaaaaaaaaaaa"):
+        text = piece * (4_000_000 // len(piece)) + " eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4"
+        began = time.time()
+        assert find(text)[-1][1] == len(text) and time.time() - began < 20
