@@ -13,9 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Joins are written without hints. A side is broadcast only when its estimated
-    # size (before the run) or its measured size (by AQE) is below this bound.
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Joins are written without hints. A side is broadcast, through the driver, when it is small. Before the run its size is known from
+    # compressed files only, whose rows may take fifty times as much, so that bound is low; AQE measures the rows of a shuffled side.
+    "spark.sql.autoBroadcastJoinThreshold": "1MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     # Per-group limits up to this size are applied before the shuffle, so a hot group stays small.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
