@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: One chunk, or nested ones from the coarsest to the finest. None may decrease along the order of the rows.
 Chunks = Column | Sequence[Column]
+#: Rows of a key that one task may sort.
+LONG = 100_000
 
 
 def time_chunks(ts: Column, *units: str) -> list[Column]:
@@ -75,11 +77,26 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     return placed.withColumn(out, (F.coalesce("__start", F.lit(0)) + F.col("__in")).cast("long")).drop(*levels, "__in", "__start")
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Chunks) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Chunks, long: int = LONG) -> DataFrame:
     """Adds, per entry (out: column) of `take`, the column's value in the row before, NULL in a key's first row.
 
-    Inside a chunk the row before is a lag; the first row of a chunk gets the last row of the chunks before, from tables of one row per chunk.
+    Keys of up to `long` rows are sorted whole, which moves each row once. In longer ones the row before is a lag inside a chunk; the first row
+    of a chunk gets the last row of the chunks before, from tables of one row per chunk. There are few long keys, one to `long` rows at most.
     """
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    most = df.filter(named).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > long).select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.lit(True).alias("__long"))
+    marked = df.join(F.broadcast(most), [F.col(k) == F.col(f"__l_{k}") for k in keys], "left").drop(*[f"__l_{k}" for k in keys])
+    chunky = marked.filter(~named | F.col("__long")).drop("__long")
+    before = Window.partitionBy(*keys).orderBy(*order)
+    whole = marked.filter(named & F.col("__long").isNull()).drop("__long")
+    taken = F.struct(*[F.col(c).alias(out) for out, c in take.items()])
+    plain = whole.withColumn("__before", F.lag(taken).over(before)).withColumns({out: F.col("__before")[out] for out in take}).drop("__before")
+    return plain.unionByName(_previous_by_chunk(chunky, keys, order, take, chunk))
+
+
+def _previous_by_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: dict[str, str], chunk: Chunks) -> DataFrame:
     chunked, levels = _chunked(df, chunk)
     taken = F.struct(*[F.col(c).alias(out) for out, c in take.items()])
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], taken.alias("taken"))

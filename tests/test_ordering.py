@@ -48,6 +48,24 @@ def test_rows_before(busy, rows):
     assert rows(got, "k", "i", "was", "then") == rows(want, "k", "i", "was", "then")
 
 
+@pytest.mark.parametrize("long", [0, 3, 10**9])
+def test_row_before_whatever_the_length_of_a_key(spark, rows, long):
+    df = spark.range(60).select(F.when(F.col("id") % 20 > 0, F.least(F.col("id") % 9, F.lit(4))).alias("k"), F.timestamp_seconds(F.col("id") * 611 % 9000).alias("at"), "id")
+    got = O.with_previous(df.filter("k IS NOT NULL"), ["k"], ["at", "id"], {"was": "id"}, O.time_chunks(F.col("at")), long)
+    want = df.filter("k IS NOT NULL").withColumn("was", F.lag("id").over(Window.partitionBy("k").orderBy("at", "id")))
+    assert rows(got, "k", "id", "was") == rows(want, "k", "id", "was")
+    assert O.with_previous(df, ["k"], ["at", "id"], {"was": "id"}, O.time_chunks(F.col("at")), long).count() == 60
+
+
+def test_row_before_moves_the_rows_of_short_keys_once(spark):
+    df = spark.range(50_000).select((F.col("id") % 10_000).alias("k"), F.timestamp_seconds(F.col("id") * 611 % 90_000).alias("at"), "id")
+    got = O.with_previous(df, ["k"], ["at", "id"], {"was": "id"}, O.time_chunks(F.col("at")))
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # The rows, and the counts of the keys.
+    assert final.count("Exchange hashpartitioning") <= 2
+
+
 def test_running_sums(busy, rows):
     daily = busy.groupBy("k", "at").agg(F.sum("v").alias("v"), F.count("*").cast("int").alias("n"))
     plain = Window.partitionBy("k").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
