@@ -17,6 +17,8 @@ SETTINGS = {
     # compressed files only, whose rows may take fifty times as much, so that bound is low; AQE measures the rows of a shuffled side.
     "spark.sql.autoBroadcastJoinThreshold": "1MB",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # Counted in compressed bytes; sorted rows of a task may take thirty times as much.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     # Per-group limits up to this size are applied before the shuffle, so a hot group stays small.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from answerscope.session import configure
+from answerscope.session import SETTINGS, configure
 
 
 def _final(df):
@@ -23,3 +23,9 @@ def test_small_tables_are_broadcast_still(spark, tmp_path):
     spark.range(200_000).write.parquet(f"{tmp_path}/b")
     configure(spark)
     assert "BroadcastHashJoin" in _final(spark.read.parquet(f"{tmp_path}/b").join(spark.read.parquet(f"{tmp_path}/a"), "id").agg(F.max("name")))
+
+
+def test_tasks_take_small_shares_of_a_shuffle(spark):
+    configure(spark)
+    assert int(SETTINGS["spark.sql.adaptive.advisoryPartitionSizeInBytes"].removesuffix("MB")) <= 16
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
