@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ordering import at_least_one
+from ..session import materialize
 
 #: Slots of a signature, and bits of a gram number (so many hex digits of an MD5).
 SLOT_BITS, GRAM_DIGITS = 7, 15
@@ -131,8 +132,12 @@ def _query_text(spark: SparkSession, text: str | DataFrame) -> DataFrame:
 
 def slot_postings(df: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """(entry, name): one row per text and slot; the entry is the slot's number and value in one key."""
-    signed = minhash(df, text).select(F.col(name).alias("name"), F.posexplode("signature").alias("slot", "value"))
-    return signed.select(_entry(F.col("slot"), F.col("value")).alias("entry"), "name")
+    return _postings(minhash(df, text).select(F.col(name).alias("name"), "signature"))
+
+
+def _postings(signed: DataFrame) -> DataFrame:
+    slots = signed.select("name", F.posexplode("signature").alias("slot", "value"))
+    return slots.select(_entry(F.col("slot"), F.col("value")).alias("entry"), "name")
 
 
 def _entry(slot: Column, value: Column) -> Column:
@@ -145,7 +150,9 @@ def write_index(df: DataFrame, path: str, name: str = "name", text: str = "text"
 
     `mode="append"` adds texts to a stored index; a text is added once.
     """
-    entries = slot_postings(df, name, text)
+    # Range bounds are sampled by a job of its own, which would sign all texts a second time; so the signatures are stored first.
+    signed = materialize(minhash(df, text).select(F.col(name).alias("name"), "signature"), "signatures")
+    entries = _postings(signed)
     ordered = entries.repartitionByRange("entry", "name").sortWithinPartitions("entry", "name")
     ordered.write.mode(mode).option("parquet.block.size", 16 << 20).parquet(path)
 

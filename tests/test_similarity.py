@@ -138,3 +138,16 @@ def test_many_copies_stay_one_class(spark):
     members, links = M.near_duplicates(df)
     assert members.filter("class_id = 0").count() == 1000 and links.count() == 0
     assert M.near_duplicates(df.limit(0))[0].count() == 0 and M.near_duplicates(df.limit(0))[1].count() == 0
+
+
+def test_an_index_signs_each_text_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"word{i} two three four {i * 7}") for i in range(50)], "name int, text string").repartition(3)
+    M.write_index(texts.withColumn("text", counted.asNondeterministic()("text")), str(tmp_path / "index"))
+    assert seen.value == 50
