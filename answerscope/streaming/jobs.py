@@ -90,6 +90,8 @@ def tail_logs(spark: SparkSession, folder: str, source: str, as_of, max_files: i
 
 
 ADMIT_STATE = "accepted array<bigint>"
+#: Rows of a frame that the admission gives back at a time.
+ADMIT_ROWS = 65_536
 
 
 def verdicts(times: Iterable[int], accepted: list[int], max_hits: int, span: int) -> list[bool]:
@@ -115,12 +117,18 @@ def admitter(max_hits: int, window_s: int, ts: str = "ts", key: str = "key", eve
         # Of a micro-batch's rows only times and ids are held, for their order.
         parts = [(rows[ts].astype("datetime64[us]").astype("int64").to_numpy(), rows[event].to_numpy()) for rows in batches]
         times, events = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.lexsort((events, times))
-        found = verdicts(times[order].tolist(), accepted, max_hits, span)
+        del parts
+        order, found = np.lexsort((events, times)), np.empty(len(times), bool)
+        # Python's own numbers take five times the room of the arrays, so they are made for some rows at a time only.
+        pieces = [slice(at, at + ADMIT_ROWS) for at in range(0, len(order), ADMIT_ROWS)]
+        for piece in pieces:
+            found[piece] = verdicts(times[order[piece]].tolist(), accepted, max_hits, span)
+        del times
         state.update((accepted,))
         # The times mean nothing once the watermark is past the window of the last one.
         state.setTimeoutTimestamp(max(accepted[-1] // 1000 + window_s * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({event: events[order], key: k[0], "accepted": found})
+        for piece in pieces:
+            yield pd.DataFrame({event: events[order[piece]], key: k[0], "accepted": found[piece]})
 
     return update
 

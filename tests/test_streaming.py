@@ -175,3 +175,30 @@ def test_prune_only_after_rollup(spark, tmp_path):
     with pytest.raises(Exception):
         jobs.retain_after_rollup(spark, events, None, path, T0)
     assert jobs.prune_days(events, T0 + timedelta(days=45), 30).count() == 1
+
+
+def test_admission_gives_a_hot_key_back_in_frames(spark):
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    n = 200_000
+    ids = pd.Series(range(n))[::-1].reset_index(drop=True)
+    frame = pd.DataFrame({"event_id": ids, "ts": pd.to_datetime(ids * 1_000, unit="us"), "key": "k"})
+    state = State()
+    got = list(jobs.admitter(2, 3600)(("k",), iter([frame.iloc[: n // 2], frame.iloc[n // 2 :]]), state))
+    assert max(len(part) for part in got) <= jobs.ADMIT_ROWS
+    whole = pd.concat(got)
+    assert whole.event_id.tolist() == list(range(n))
+    assert whole.accepted.tolist() == jobs.verdicts(range(0, n * 1_000, 1_000), [], 2, 3_600_000_000)
+    assert state.value == ([0, 1_000],)
