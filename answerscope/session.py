@@ -15,8 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Joins are written without hints. A side is broadcast, through the driver, when it is small. Before the run its size is known from
     # compressed files only, whose rows may take fifty times as much, so that bound is low; AQE measures the rows of a shuffled side.
-    "spark.sql.autoBroadcastJoinThreshold": "1MB",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # The driver keeps all broadcasts of a query until its end, twenty and more for the recommendations, so both bounds hold for one of many.
+    "spark.sql.autoBroadcastJoinThreshold": "256KB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "2MB",
     # Counted in compressed bytes; sorted rows of a task may take thirty times as much.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     # Per-group limits up to this size are applied before the shuffle, so a hot group stays small.

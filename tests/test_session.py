@@ -29,3 +29,15 @@ def test_tasks_take_small_shares_of_a_shuffle(spark):
     configure(spark)
     assert int(SETTINGS["spark.sql.adaptive.advisoryPartitionSizeInBytes"].removesuffix("MB")) <= 16
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+
+
+def test_rows_of_some_megabytes_do_not_go_through_the_driver(spark, tmp_path):
+    # 150 000 rows: in about 0.6 MB of files, and in larger ones whose rows AQE measures at 5 MB.
+    spark.range(150_000).select("id", F.lit("the same agent in all rows").alias("agent")).write.parquet(f"{tmp_path}/files")
+    spark.range(150_000).select("id", F.rand(3).alias("agent"), F.rand(4).alias("z")).write.parquet(f"{tmp_path}/rows")
+    spark.range(1_000_000).select("id", F.rand(1).alias("x"), F.rand(2).alias("y")).write.parquet(f"{tmp_path}/b")
+    configure(spark)
+    b = spark.read.parquet(f"{tmp_path}/b")
+    for name in ("files", "rows"):
+        a = spark.read.parquet(f"{tmp_path}/{name}")
+        assert "BroadcastHashJoin" not in _final(a.join(b, "id").agg(*[F.max(c) for c in (*a.columns, "x", "y")])), name
