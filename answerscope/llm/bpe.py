@@ -284,6 +284,13 @@ def codec(path: str, pattern: str, tables: tuple[int, int] = (MAX_STATES, MAX_PI
     return _LOADED[key]
 
 
+def forget(path: str, pattern: str, tables: tuple[int, int]) -> None:
+    """Drops an encoder and decoder from this Python process."""
+    _LOADED.pop((path, pattern, tables), None)
+    gc.unfreeze()
+    gc.collect()  # states refer to each other in circles
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """Adds `ids`, the token ids of each whole text (NULL counts as empty: no ids). Other columns stay as they are.
 
@@ -306,10 +313,13 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return tokens.withColumn(text, F.arrow_udf(run, "string")(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, tables: tuple[int, int] = (MAX_STATES, MAX_PIECES)) -> DataFrame:
+def digests(
+    docs: DataFrame, path: str, pattern: str, with_ids: bool = False, tables: tuple[int, int] = (MAX_STATES, MAX_PIECES), keep: bool = True
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and token_ids) per row; NULL text counts as empty, repeated rows give repeated results.
 
-    Smaller `tables` save memory (about 1 kB a state, 0.2 kB a piece) and cost time.
+    Smaller `tables` save memory (about 1 kB a state, 0.2 kB a piece) and cost time. Without `keep` a task drops them at its end and the
+    next one starts anew: Spark hands out its workers in turn, more than there are tasks at once where a stage before needed them.
 
     Encoding, decoding and hashing of a text happen in one visit, so that the ids of long texts aren't moved unless asked for.
     """
@@ -330,6 +340,9 @@ def digests(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, ta
                     all_ids.append(np.asarray(ids, np.int32))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+        if not keep:
+            del encoder, machine
+            forget(path, pattern, tables)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids

@@ -32,13 +32,13 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed_texts(docs)
 
 
-#: Tables of the encoder (states, pieces): smaller than its own, as executors have grown in the stages before.
+#: Tables of the encoder (states, pieces): smaller than its own and dropped with each task, as executors have grown in the stages before.
 ENCODER_TABLES = (100_000, 150_000)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: token ids of each text, with the digests of the ids and of what they decode to."""
-    return bpe.digests(docs, *bpe.vocabulary(), with_ids=True, tables=ENCODER_TABLES)
+    return bpe.digests(docs, *bpe.vocabulary(), with_ids=True, tables=ENCODER_TABLES, keep=False)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -85,3 +86,16 @@ def test_hard_rows_pass_all_stages(session, edge, tmp_path):
     edge.select(*COLUMNS).limit(0).write.parquet(str(empty / "documents.parquet"))
     session.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
     assert corpus_pipeline.run(session, str(empty)).count() == 0
+
+
+def test_encoding_stage_leaves_no_tables_in_python_workers(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(16)], "doc_id long, text string").repartition(8)
+    assert len(corpus_pipeline.encoded(spark, docs, FOLDER).collect()) == 16
+    tables = corpus_pipeline.ENCODER_TABLES
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(key[2] == tables for key in bpe._LOADED)])], names=["n"])
+
+    assert {r.n for r in docs.mapInArrow(kept, "n long").collect()} == {0}
