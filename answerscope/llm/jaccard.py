@@ -310,21 +310,29 @@ def families(rows: DataFrame, tree_rows: int, members: int = BLOCK_MEMBERS) -> D
     )
 
 
-def common_members(members: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 16, pairs: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets, exactly: bitmaps over the members that two sets at least hold, `columns` of them at a time."""
-    sizes = np.array([len(own) for own in members])
-    _, place, uses = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    at = np.where(uses > 1, np.cumsum(uses > 1) - 1, -1)[place]
-    holder = np.repeat(np.arange(len(members)), sizes)[at >= 0]
-    at, both = at[at >= 0], np.zeros(len(left), dtype=np.int64)
-    order = np.argsort(at, kind="stable")
-    at, holder = at[order], holder[order]
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
-        first, end = np.searchsorted(at, (low, low + columns))
-        width = -(-(int(at[end - 1]) - low + 1) // 64) * 64
-        spots = np.zeros((len(members), width), dtype=bool)
-        spots[holder[first:end], at[first:end] - low] = True
+def common_members(members: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 13, pairs: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, exactly: bitmaps over the members that two sets at least hold, `columns` of them at a time.
+
+    An executor's workers do this at once, so little is held beside the sets: narrow bitmaps, and one order of the members.
+    """
+    both = np.zeros(len(left), dtype=np.int64)
+    every = np.concatenate(members)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, dtype=np.int64)
+    uses = np.diff(starts, append=len(every))
+    del every, starts
+    holder = np.repeat(np.arange(len(members), dtype=np.int32), [len(own) for own in members])[order][np.repeat(uses > 1, uses)]
+    del order
+    uses = uses[uses > 1]
+    ends = np.cumsum(uses)
+    for low in range(0, len(uses), columns):
+        held = uses[low : low + columns]
+        first = int(ends[low] - uses[low])
+        spots = np.zeros((len(members), -(-len(held) // 64) * 64), dtype=bool)
+        spots[holder[first : first + int(held.sum())], np.repeat(np.arange(len(held)), held)] = True
         bits = np.packbits(spots, axis=1).view(np.uint64)
+        del spots
         for k in range(0, len(left), pairs):
             both[k : k + pairs] += np.bitwise_count(bits[left[k : k + pairs]] & bits[right[k : k + pairs]]).sum(axis=1, dtype=np.int64)
     return both

@@ -150,3 +150,24 @@ def test_links_of_edge_rows(edge):
     got = J.jaccard_components(edge, links=True)
     assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == degrees(rows)
     assert J.jaccard_components(edge.limit(0), links=True).count() == 0
+
+
+def test_comparing_the_sets_of_a_place_holds_little_beside_them():
+    """512 sets of 1000 members of which all are shared: the bitmaps and the pairs at work stay narrow."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    members = [np.unique(rng.choice(40_000, 1000)).astype(np.int64) * 2**40 for _ in range(512)]
+    left, right = np.triu_indices(512, 1)
+    tracemalloc.start()
+    both = J.common_members(members, left, right)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert peak < 80, peak
+    for k in rng.integers(0, len(left), 200):
+        assert both[k] == len(np.intersect1d(members[left[k]], members[right[k]]))
+
+
+def test_sets_without_common_members():
+    members = [np.array([1, 2], dtype=np.int64), np.array([3], dtype=np.int64)]
+    assert J.common_members(members, np.array([0]), np.array([1])).tolist() == [0]
