@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.ordering import at_least_one
+from ..functions.sets import common_before, similar_pairs
 from ..session import materialize
 
 #: Slots of a signature, and bits of a gram number (so many hex digits of an MD5).
@@ -15,8 +19,12 @@ SLOTS, GRAM_BITS = 1 << SLOT_BITS, 4 * GRAM_DIGITS
 #: Step of each slot's walk through the slots, and its inverse.
 STEPS = [2 * (37 * i % (SLOTS // 2)) + 1 for i in range(SLOTS)]
 STEPS_BACK = [pow(step, -1, SLOTS) for step in STEPS]
+#: Places of a walk that are looked up one after the other, before all filled slots are compared.
+WALKED = 16
 #: Bands of rows of a signature: sets of similarity 0.6 share one with a probability of 0.99996, of 0.1 with 0.04.
 BANDS, ROWS = 42, 3
+#: A bucket of more classes is large: its pairs are made at places of two blocks, of so many classes or grams each.
+LARGE, BLOCK, BLOCK_GRAMS = 64, 1024, 1 << 19
 AUTO_MERGE, REVIEW = 90, 60
 
 
@@ -64,13 +72,17 @@ def signature_of(grams: Column) -> Column:
     agree in a slot with a probability of their Jaccard similarity, as with a permutation for each slot, for one hash per gram in place of SLOTS.
     """
     slot = lambda h: F.shiftright(h, GRAM_BITS - SLOT_BITS).cast("int")
-    steps, back = (F.array(*[F.lit(x) for x in values]) for values in (STEPS, STEPS_BACK))
+    listed = lambda values: F.array(*[F.lit(x) for x in values])
+    back, walks = listed(STEPS_BACK), [listed((i + k * step) % SLOTS for i, step in enumerate(STEPS)) for k in range(1, WALKED)]
 
     def spread(firsts: Column) -> Column:
-        filled = F.map_from_arrays(F.transform(firsts, slot), firsts)
+        # All slots in order, NULL where empty: a look-up by place, where a map would be searched.
+        gap = lambda h, i: slot(h) - F.when(i > 0, slot(F.get(firsts, i - 1))).otherwise(-1) - 1
+        empty = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
+        filled = F.flatten(F.transform(firsts, lambda h, i: F.concat(empty(gap(h, i)), F.array(h))))
 
         def value(m: Column, i: Column) -> Column:
-            walked = [F.try_element_at(m, (i + k * F.get(steps, i)) % SLOTS) for k in range(4)]
+            walked = [F.get(m, i), *[F.get(m, F.get(walk, i)) for walk in walks]]
             place = lambda h: F.pmod((slot(h) - i) * F.get(back, i), F.lit(SLOTS))
             nearest = F.array_min(F.transform(firsts, lambda h: F.struct(place(h).alias("k"), h.alias("h"))))["h"]
             return F.coalesce(*walked, nearest)
@@ -78,7 +90,8 @@ def signature_of(grams: Column) -> Column:
         return S.let(filled, lambda m: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: value(m, i)))
 
     def signed(g: Column) -> Column:
-        firsts = F.filter(g, lambda h, i: (i == 0) | (slot(h) != slot(F.get(g, i - 1))))
+        # Neighbours of one slot differ below its bits only.
+        firsts = F.filter(g, lambda h, i: F.coalesce(h.bitwiseXOR(F.get(g, i - 1)) >= 1 << GRAM_BITS - SLOT_BITS, F.lit(True)))
         return F.when(F.size(g) > 0, S.let(firsts, lambda f: F.when(F.size(f) == SLOTS, f).otherwise(spread(f))))
 
     return S.let(grams, signed)
@@ -195,38 +208,94 @@ def near_duplicates(
     condition on the columns of `df`, links have a class of a query row on one side at least. Texts without words are a class
     for themselves and linked with nothing.
 
-    Candidates are classes that agree in all rows of a band of their signatures. Bands travel without the sets; the candidates are
-    distinct before the sets are fetched and compared.
+    Candidates are classes that agree in all rows of a band of their signatures. Each text is cut into grams once: sets and bands are stored, and
+    bands travel without the sets. Classes that meet with few others are paired, the distinct pairs of fitting sizes fetch their sets. What many
+    classes have in common (a large family of near copies, a line of many short texts) would be a number of pairs that grows with its square, each
+    with two sets; there the classes go to places of two blocks instead, and pairs are made and compared inside a place.
     """
     marked = df.select(F.col(id).alias("id"), F.col(text).alias("__text"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asked"))
-    sets = S.compute_once(marked, "id", "asked", gram_hashes(tokens(F.coalesce("__text", F.lit("")))).alias("grams"))
-    # The sets are compared by their SHA-256; a text without words has a key of its own.
-    key = F.when(F.size("grams") > 0, F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256))
-    keyed = sets.withColumn("key", key)
-    filled = keyed.filter("key IS NOT NULL")
-    heads = filled.groupBy("key").agg(F.min("id").alias("class_id"), F.max("asked").alias("asked"), F.count("*").alias("copies"))
-    members = keyed.select("id", "key").join(heads.select("key", "class_id", "copies"), "key", "left").select(
+    worded = S.compute_once(marked, "id", "asked", F.transform(tokens(F.coalesce("__text", F.lit(""))), lambda w: F.xxhash64(w)).alias("words"))
+    sets = S.compute_once(worded, "id", "asked", F.sort_array(F.array_distinct(_gram_numbers(F.col("words")))).alias("grams"))
+    signed = S.compute_once(sets, "id", "asked", "grams", signature_of(F.col("grams")).alias("signature"))
+    # Sets are equal when their sizes and two hashes of 64 bits are.
+    key = [F.size("grams").alias("n"), F.xxhash64("grams").alias("key"), F.xxhash64(F.lit("second"), "grams").alias("key2")]
+    stored = materialize(
+        signed.select(F.monotonically_increasing_id().alias("row"), "id", "asked", *key, _bands(F.col("signature"), bands, rows).alias("bands"), "grams"), "near-sets"
+    )
+    same = ["n", "key", "key2"]
+    head = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row")))
+    heads = stored.filter("n > 0").groupBy(*same).agg(head.alias("head"), F.max("asked").alias("asked"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = materialize(heads.select(*same, F.col("head.id").alias("class_id"), F.col("head.row").alias("row"), "asked", "copies", "bands"), "near-classes")
+    members = stored.select("id", *same).join(classes.select(*same, "class_id", "copies"), same, "left").select(
         "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 
-    classes = filled.select("id", "key", "grams").join(heads.select("key", F.col("class_id").alias("id"), "asked"), ["key", "id"]).dropDuplicates(["key"])
-    signed = S.compute_once(classes, F.col("id").alias("class_id"), "asked", "grams", signature_of(F.col("grams")).alias("signature"))
-    banded = signed.select("class_id", "asked", F.posexplode(_bands(F.col("signature"), bands, rows)).alias("band", "bucket"))
-    asking = banded.filter("asked").select(F.col("class_id").alias("__a"), "band", "bucket")
-    # A pair with two asking classes comes from the lesser one.
-    other = banded.select(F.col("class_id").alias("__b"), F.col("asked").alias("__asked_b"), "band", "bucket")
-    met = asking.join(other, ["band", "bucket"]).filter((F.col("__a") < F.col("__b")) | (~F.col("__asked_b") & (F.col("__a") != F.col("__b"))))
-    pairs = met.select(F.least("__a", "__b").alias("class_a"), F.greatest("__a", "__b").alias("class_b")).distinct()
-    of = lambda side: signed.select(F.col("class_id").alias(f"class_{side}"), F.col("grams").alias(f"__grams_{side}"))
-    compared = pairs.join(of("a"), "class_a").join(of("b"), "class_b")
-    links = S.compute_once(compared, "class_a", "class_b", jaccard(F.col("__grams_a"), F.col("__grams_b")).alias("jaccard"))
-    return members, links.filter(F.col("jaccard") >= threshold)
+    banded = classes.filter("class_id IS NOT NULL").select("row", "class_id", "asked", "n", F.explode("bands").alias("bucket"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("held"), parts.alias("blocks"), F.max("asked").alias("any")).filter("held > 1 AND any").drop("any")
+    met = materialize(banded.join(buckets, "bucket"), "near-met")
+    links = _paired_links(met, stored.select("row", "grams"), threshold).unionByName(_placed_links(met, stored.select("row", "grams"), threshold))
+    return members, links
+
+
+def _gram_numbers(words: Column, n: int = 3) -> Column:
+    """60-bit number of each word n-gram, from the hashes of its words; a shorter text has one."""
+    grams = F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]), 64 - GRAM_BITS))
+    return F.slice(grams, 1, F.greatest(F.size(words) - (n - 1), F.lit(1)))
 
 
 def _bands(signature: Column, bands: int, rows: int) -> Column:
+    """One bucket a band, the band's number in its hash."""
     if bands * rows > SLOTS:
         raise ValueError(f"{bands} bands of {rows} rows need more than {SLOTS} slots")
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(*[F.get(signature, b * rows + k) for k in range(rows)]))
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *[F.get(signature, b * rows + k) for k in range(rows)]))
+
+
+def _large_buckets(met: DataFrame) -> DataFrame:
+    """The large buckets of each class that has any."""
+    return met.filter(F.col("held") > LARGE).groupBy("row").agg(F.collect_list(F.struct("bucket", "blocks")).alias("large"))
+
+
+def _paired_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of classes that share a small bucket, but no large one."""
+    small = met.filter(F.col("held") <= LARGE).join(_large_buckets(met).select("row", F.col("large.bucket").alias("large")), "row", "left")
+    of = lambda side: small.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("row", "class_id", "asked", "n", "large")])
+    fits = F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= threshold
+    apart = ~F.coalesce(F.arrays_overlap("large_a", "large_b"), F.lit(False))
+    hits = of("a").join(of("b"), "bucket").filter((F.col("class_id_a") < F.col("class_id_b")) & (F.col("asked_a") | F.col("asked_b")) & fits & apart)
+    pairs = hits.select(*[f"{c}_{side}" for side in "ab" for c in ("row", "class_id", "n")]).distinct()
+    # Both sides by the same names, so one shuffle of the sets serves both.
+    fetched = pairs.join(sets.alias("a"), F.col("row_a") == F.col("a.row")).join(sets.alias("b"), F.col("row_b") == F.col("b.row"))
+    # A column of its own, not inside a lambda: so it is compiled.
+    sized = S.compute_once(fetched, "class_id_a", "class_id_b", (F.col("n_a") + F.col("n_b")).alias("n"), F.size(F.array_intersect("a.grams", "b.grams")).alias("both"))
+    links = sized.select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"), (F.col("both") / (F.col("n") - F.col("both"))).alias("jaccard"))
+    return links.filter(F.col("jaccard") >= threshold)
+
+
+def _placed_links(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of classes that share a large bucket. A bucket is cut into blocks, every two of them meet at a place; a pair counts in its least bucket."""
+    rows = met.filter(F.col("held") > LARGE).groupBy("row", "class_id", "asked", "n").agg(F.collect_list(F.struct("bucket", "blocks")).alias("large"))
+    filled = rows.join(sets, "row").withColumn("others", F.col("large.bucket")).withColumn("__l", F.explode("large")).drop("large").select("*", "__l.*").drop("__l")
+    dealt = filled.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "class_id", "asked", "n", "others", "grams")
+
+    def compare(key: tuple, place: pa.Table) -> pa.Table:
+        bucket, p, q = (k.as_py() for k in key)
+        flat = lambda name: place.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        size = lambda name: pc.list_value_length(place.column(name)).to_numpy().astype(np.int64)
+        mine, asked = place.column("mine").to_numpy(), place.column("asked").to_numpy()
+        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+        allowed = (asked[left][:, None] | asked[right][None, :]) & ~common_before(flat("others"), size("others"), bucket, left, right)
+        if p == q:
+            allowed &= left[:, None] < right[None, :]
+        a, b, score = similar_pairs(flat("grams"), size("grams"), allowed, left, right, threshold)
+        ids = place.column("class_id")
+        return pa.table({"x": ids.take(pa.array(a)), "y": ids.take(pa.array(b)), "jaccard": score})
+
+    kind = met.schema["class_id"].dataType.simpleString()
+    found = placed.groupBy("bucket", "p", "q").applyInArrow(compare, f"x {kind}, y {kind}, jaccard double")
+    # Different classes have one id where ids repeat; such a pair is none.
+    return found.filter("x != y").select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), "jaccard")
 
 
 def near_duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from answerscope.functions import sets
 from answerscope.operators import similarity as M
 
 
@@ -151,3 +153,63 @@ def test_an_index_signs_each_text_once(spark, tmp_path):
     texts = spark.createDataFrame([(i, f"word{i} two three four {i * 7}") for i in range(50)], "name int, text string").repartition(3)
     M.write_index(texts.withColumn("text", counted.asNondeterministic()("text")), str(tmp_path / "index"))
     assert seen.value == 50
+
+
+def test_near_duplicates_cut_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, f"some words of family {i // 5} and the rest of it {'x' * (i % 5)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3).withColumn("text", counted.asNondeterministic()("text"))
+    assert len(M.near_duplicate_classes(*M.near_duplicates(df)).collect()) == 60
+    assert seen.value == 60
+
+
+def test_large_buckets_give_the_same_links(texts, monkeypatch):
+    """Buckets of more than two classes, cut into blocks of three, give each link once, as pairs do; ids may be text."""
+    given, df = texts
+    named = df.withColumn("name", F.concat(F.lit("d"), F.col("id")))
+    monkeypatch.setattr(M, "LARGE", 2)
+    monkeypatch.setattr(M, "BLOCK", 3)
+    members, links = M.near_duplicates(named, "name")
+    heads = {r.class_id for r in members.collect()}
+    got = [(r.class_a, r.class_b, r.jaccard) for r in links.collect()]
+    assert len({g[:2] for g in got}) == len(got) and heads >= {c for g in got for c in g[:2]}
+    # The least id of a class is another one as text; links go between classes all the same.
+    by_number = M.near_duplicates(df)
+    number = {r.id: r.class_id for r in by_number[0].collect()}
+    assert {tuple(sorted((number[int(a[1:])], number[int(b[1:])]))): round(s, 9) for a, b, s in got} == {
+        (r.class_a, r.class_b): round(r.jaccard, 9) for r in by_number[1].collect()
+    }
+    assert len(got) >= 0.99 * len(plain_links(given, 0.6)[1]) > 50
+    asked = M.near_duplicates(df, queries=F.col("id") % 10 == 0)[1].count()
+    monkeypatch.undo()
+    assert asked == M.near_duplicates(df, queries=F.col("id") % 10 == 0)[1].count() > 0
+
+
+def test_ids_may_repeat_or_be_missing(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "A b, c d"), (2, "x y z"), (None, "q r s"), (3, None), (None, "")]
+    members, links = M.near_duplicates(spark.createDataFrame(rows, "id int, text string"))
+    got = Counter((r.id, r.class_id, r.copies) for r in members.collect())
+    assert got == Counter([(1, 1, 3), (1, 1, 3), (None, 1, 3), (2, 2, 1), (None, None, 1), (3, 3, 1), (None, None, 1)])
+    assert links.count() == 0
+
+
+def test_sets_of_a_place():
+    rng = np.random.default_rng(5)
+    own = [np.sort(rng.choice(90, rng.integers(1, 60), replace=False)) for _ in range(40)]
+    own += [np.append(s[1:], 1000 + i) for i, s in enumerate(own[:20])]
+    groups = [np.sort(rng.choice(6, rng.integers(0, 3), replace=False)) for _ in own]
+    size, n_groups = (np.array([len(s) for s in x]) for x in (own, groups))
+    left, right = np.arange(0, 30), np.arange(20, 60)
+    before = sets.common_before(np.concatenate(groups), n_groups, 4, left, right)
+    assert before.tolist() == [[any(g < 4 for g in set(groups[a]) & set(groups[b])) for b in right] for a in left]
+    allowed = rng.random((30, 40)) < 0.7
+    a, b, score = sets.similar_pairs(np.concatenate(own), size, allowed, left, right, 0.5, columns=64, pairs=7)
+    true = {(x, y): len(set(own[x]) & set(own[y])) / len(set(own[x]) | set(own[y])) for i, x in enumerate(left) for j, y in enumerate(right) if allowed[i, j]}
+    assert dict(zip(zip(a.tolist(), b.tolist()), score.tolist())) == {(int(x), int(y)): s for (x, y), s in true.items() if s >= 0.5}  # noqa: B905
+    assert len(a) > 10
